@@ -153,23 +153,48 @@ def count(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
     return rows.select("text").mapInArrow(batches, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, tuple[float, bool]]:
-    """The lexicon: beginnings that several words share, then words; each with its log odds."""
+def log_odds(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Of the candidates that are much likelier in toxic documents, how much."""
     odds = {c: math.log((t + 0.5) / (n_toxic + 1)) - math.log((clean.get(c, 0) + 0.5) / (n_clean + 1)) for c, t in toxic.items()}
-    good = {c for c, x in odds.items() if x >= ODDS}
+    return {c: x for c, x in odds.items() if x >= ODDS}
+
+
+def holders(rows: DataFrame, wanted: set[str]) -> list[list[str]]:
+    """Of each (toxic) row, the wanted candidates in it: as many rows as are learned from, at most."""
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            have = [sorted(candidates_of(text.as_py() or "") & wanted) for text in part.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(have, pa.list_(pa.string()))], ["have"])
+
+    return [r["have"] for r in rows.select("text").mapInArrow(batches, "have array<string>").collect()]
+
+
+def choose(odds: dict[str, float], toxic: dict[str, int], have: list[list[str]]) -> dict[str, tuple[float, bool]]:
+    """The lexicon: words, and beginnings that several words share, each with its log odds.
+
+    The strongest come first, and an entry must mark enough toxic documents that fewer than two
+    entries before it mark: words that copies of one document happen to share do not.
+    """
     family: Counter = Counter()
     for c in toxic:
         if c.endswith(" "):
             family.update(c[:n] for n in PREFIXES if len(c) > n)
-    entries: dict[str, tuple[float, bool]] = {}
-    for c in sorted(good, key=lambda c: (c.endswith(" "), len(c), c)):
-        word = c.rstrip(" ")
-        if any(word[:n] in entries for n in PREFIXES if n <= len(word)):
+    within: dict[str, list[int]] = {}
+    for i, some in enumerate(have):
+        for c in some:
+            within.setdefault(c, []).append(i)
+    marked, entries = [0] * len(have), {}
+    for c in sorted(within, key=lambda c: (-toxic[c] * odds[c], not c.endswith(" "), len(c), c)):
+        word, whole = c.rstrip(" "), c.endswith(" ")
+        if word in entries or not whole and family[c] < FAMILY or any(word[:n] in entries and not entries[word[:n]][1] for n in PREFIXES if n < len(word)):
             continue
-        if c.endswith(" ") or family[c] >= FAMILY:
-            entries[word] = (round(odds[c], 6), c.endswith(" "))
-    heaviest = sorted(entries, key=lambda c: (-toxic.get(c, toxic.get(f"{c} ", 0)) * entries[c][0], c))[:ENTRIES]
-    return {c: entries[c] for c in heaviest}
+        if sum(marked[i] < 2 for i in within[c]) >= SUPPORT:
+            entries[word] = (round(odds[c], 6), whole)
+            for i in within[c]:
+                marked[i] += 1
+            if len(entries) == ENTRIES:
+                break
+    return entries
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> tuple[float, float, float]:
@@ -191,7 +216,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     often = count(known.filter("toxic"), None).filter(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "entry").limit(CANDIDATES)
     toxic = {r["entry"]: r["n"] for r in often.collect()}
     clean = {r["entry"]: r["n"] for r in count(known.filter("not toxic"), set(toxic)).collect()}
-    model = Model(choose(toxic, clean, n[True], n[False]))
+    odds = log_odds(toxic, clean, n[True], n[False])
+    model = Model(choose(odds, toxic, holders(known.filter("toxic"), set(odds))))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
