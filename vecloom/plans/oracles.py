@@ -1,3 +1,97 @@
-"""DuckDB SQL of the registered queries."""
+"""DuckDB SQL of the registered queries, over the same tables."""
 
-ORACLES = {}
+from __future__ import annotations
+
+_C = "c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 25 <> 0)"
+_Q = "q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 25 = 0)"
+
+
+def _l2(a: str, b: str) -> str:
+    return f"pow(list_distance({a}, {b}), 2)"
+
+
+_P = f"p AS (SELECT qid, vec_id, qv, v, {_l2('qv', 'v')} AS d FROM q, c)"
+_N = "n AS (SELECT qid, vec_id, d, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rk FROM p)"
+_E = f"""e0 AS (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_l2('a.v', 'b.v')}, b.vec_id) AS rk
+  FROM c a, c b WHERE a.vec_id <> b.vec_id), e AS (SELECT * FROM e0 WHERE rk <= 12)"""
+_PIV = "piv AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pv, v FROM c ORDER BY vec_id LIMIT 32), ch AS (SELECT range AS chunk FROM range(16))"
+_SUB = "pow(list_distance({a}[chunk * 4 + 1 : chunk * 4 + 4], {b}[chunk * 4 + 1 : chunk * 4 + 4]), 2)"
+_LUT = f"lut AS (SELECT qid, chunk, pv, {_SUB.format(a='qv', b='piv.v')} AS d FROM q, piv, ch)"
+_CODE = f"""code AS (SELECT vec_id, chunk, pv FROM (SELECT vec_id, chunk, pv,
+  row_number() OVER (PARTITION BY vec_id, chunk ORDER BY {_SUB.format(a='c.v', b='piv.v')}, pv) AS n FROM c, piv, ch) WHERE n = 1)"""
+_ADC = "adc AS (SELECT qid, vec_id, round(sum(d), 9) AS d FROM code JOIN lut USING (chunk, pv) GROUP BY 1, 2)"
+_NAV = "nav AS (SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS nav_id, vec_id, v FROM c ORDER BY 1 LIMIT 32)"
+_BFS = "RECURSIVE {c}, {e}, b(node, hop) AS (SELECT 1, 0 UNION SELECT e.dst, b.hop + 1 FROM b JOIN e ON b.node = e.src WHERE b.hop < {most})"
+
+_PAGE = "CAST(floor({id} / 13) + 1 AS BIGINT)"
+
+ORACLES = {
+    "scan_vectors": f"WITH {_C} SELECT vec_id, CAST(len(v) AS INTEGER) AS dims, round(list_sum(v), 6) AS total FROM c",
+    "point_lookup": "SELECT vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings WHERE vec_id IN (1, 7, 49)",
+    "l2_distance": f"WITH {_C}, {_Q}, {_P} SELECT qid, vec_id, round(d, 6) AS dist FROM p",
+    "inner_product": f"WITH {_C}, {_Q} SELECT qid, vec_id, round(list_dot_product(qv, v), 6) AS sim FROM q, c",
+    "cosine_similarity": f"WITH {_C}, {_Q} SELECT qid, vec_id, round(list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v)) + 1e-6), 6) AS sim FROM q, c",
+    "cosine_distance": f"WITH {_C}, {_Q} SELECT qid, vec_id, round(1 - list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v)) + 1e-6), 6) AS dist FROM q, c",
+    "cast_vector": "SELECT vec_id, CAST(i AS INTEGER) AS i, CAST(floor(embedding[i + 1] * 255) AS DOUBLE) AS x FROM embeddings, range(64) r(i)",
+    "center_vectors": f"""WITH {_C}, d AS (SELECT vec_id, i, v[i + 1] AS x FROM c, range(64) r(i)), m AS (SELECT i, avg(x) AS mean FROM d GROUP BY i)
+SELECT vec_id, round(sum((x - mean) * (x - mean)), 6) AS norm2, round(max(CASE WHEN i = 0 THEN x - mean END), 6) AS first FROM d JOIN m USING (i) GROUP BY vec_id""",
+    "pq_chunks": f"WITH {_C}, {_PIV} SELECT vec_id, CAST(chunk AS INTEGER) AS chunk, round(list_sum(v[chunk * 4 + 1 : chunk * 4 + 4]), 6) AS total FROM c, ch",
+    "pq_lut": f"WITH {_C}, {_Q}, {_PIV}, {_LUT} SELECT qid, CAST(chunk AS INTEGER) AS chunk, CAST(pv AS INTEGER) AS \"pivot\", round(d, 6) AS dist FROM lut",
+    "pq_encode": f"WITH {_C}, {_PIV}, {_CODE} SELECT vec_id, CAST(chunk AS INTEGER) AS chunk, CAST(pv AS INTEGER) AS \"pivot\" FROM code",
+    "pq_adc": f"WITH {_C}, {_Q}, {_PIV}, {_LUT}, {_CODE}, {_ADC} SELECT qid, vec_id, round(d, 6) AS dist FROM adc",
+    "adc_neighbors": f"WITH {_C}, {_Q}, {_PIV}, {_LUT}, {_CODE}, {_ADC}, {_E} SELECT src, dst, round(d, 6) AS dist FROM e JOIN adc ON adc.vec_id = e.dst AND adc.qid = 0",
+    "pq_rerank": f"""WITH {_C}, {_Q}, {_PIV}, {_LUT}, {_CODE}, {_ADC},
+t AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY round(d, 6), vec_id) AS n FROM adc),
+x AS (SELECT t.qid, t.vec_id, {_l2('qv', 'v')} AS d FROM t JOIN q ON t.qid = q.qid JOIN c ON t.vec_id = c.vec_id WHERE n <= 50),
+y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rk FROM x)
+SELECT qid, rk, vec_id, round(d, 6) AS dist FROM y WHERE rk <= 10""",
+    "page_layout": f"SELECT vec_id, {_PAGE.format(id='vec_id')} AS page, CAST(vec_id % 13 * 308 AS BIGINT) AS byte_offset FROM embeddings",
+    "shard_assign": "SELECT vec_id, vec_id % 4 AS shard, CAST(floor(vec_id / 4) AS BIGINT) AS place FROM embeddings",
+    "replicate_dims": f"WITH {_C} SELECT vec_id, CAST(3 * len(v) AS INTEGER) AS dims, round(3 * list_sum(v), 6) AS total, round(v[2], 6) AS fourth FROM c",
+    "replicate_queries": f"""WITH {_Q}, i AS (SELECT qv, row_number() OVER (ORDER BY qid) - 1 AS i, count(*) OVER () AS n FROM q)
+SELECT CAST(r * n + i AS BIGINT) AS qid, round(qv[1], 6) AS first FROM i, range(3) t(r)""",
+    "exact_knn": f"WITH {_C}, {_Q}, {_P}, {_N} SELECT qid, rk, vec_id, round(d, 6) AS dist FROM n WHERE rk <= 10",
+    "exact_knn_lateral": f"WITH {_C}, {_Q}, {_P}, {_N} SELECT qid, vec_id, round(d, 6) AS dist FROM n WHERE rk <= 10",
+    "topk_per_query": f"""WITH {_C}, {_Q}, s AS (SELECT qid, vec_id, list_dot_product(qv, v) AS s FROM q, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS rk FROM s) SELECT qid, rk, vec_id, round(s, 6) AS sim FROM r WHERE rk <= 10""",
+    "radius_search": f"WITH {_C}, {_Q}, {_P} SELECT qid, vec_id, round(d, 6) AS dist FROM p WHERE d <= 1.5",
+    "filtered_knn": f"""WITH c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 25 <> 0 AND label = 3), {_Q}, {_P}, {_N}
+SELECT qid, rk, vec_id, round(d, 6) AS dist FROM n WHERE rk <= 10""",
+    "found_cnt": f"WITH {_C}, {_Q}, {_P} SELECT qid, count(CASE WHEN d <= 1.5 THEN 1 END) AS found FROM p GROUP BY qid",
+    "dist_percentiles": f"WITH {_C}, {_Q}, {_P} SELECT round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(quantile_cont(d, 0.99), 6) AS p99 FROM p",
+    "recall_at_k": f"""WITH {_C}, {_Q}, {_P}, {_N},
+h AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY pow(list_distance(qv[1:32], v[1:32]), 2), vec_id) AS rk FROM p)
+SELECT round((SELECT count(*) FROM n JOIN h USING (qid, vec_id) WHERE n.rk <= 10 AND h.rk <= 10) / ((SELECT count(*) FROM q) * 10.0::DOUBLE), 6) AS recall""",
+    "knn_graph": f"WITH {_C}, {_E} SELECT src, dst, rk FROM e",
+    "nav_sample": f"WITH {_C}, {_NAV} SELECT nav_id, vec_id FROM nav",
+    "nav_graph": f"""WITH {_C}, {_NAV}, x AS (SELECT a.nav_id AS src, b.nav_id AS dst,
+  row_number() OVER (PARTITION BY a.nav_id ORDER BY {_l2('a.v', 'b.v')}, b.nav_id) AS rk FROM nav a, nav b WHERE a.nav_id <> b.nav_id) SELECT * FROM x WHERE rk <= 8""",
+    "nav_entry": f"""WITH {_C}, {_Q}, {_NAV}, x AS (SELECT qid, nav_id, vec_id, round({_l2('qv', 'nav.v')}, 9) AS d FROM q, nav),
+y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, nav_id) AS n FROM x) SELECT qid, nav_id, vec_id AS entry, round(d, 6) AS dist FROM y WHERE n = 1""",
+    "nav_translate": f"WITH {_C}, {_Q}, {_NAV} SELECT qid, nav_id, nav.vec_id AS entry FROM q JOIN nav ON qid % 32 = nav_id",
+    "centroid": f"WITH {_C} SELECT CAST(i AS INTEGER) AS i, round(avg(v[i + 1]), 6) AS x FROM c, range(64) r(i) GROUP BY i",
+    "medoid": f"""WITH {_C}, m AS (SELECT i, avg(v[i + 1]) AS mean FROM c, range(64) r(i) GROUP BY i), d AS (
+SELECT vec_id, sum(pow(v[i + 1] - mean, 2)) AS d FROM c, m GROUP BY vec_id) SELECT vec_id, round(d, 6) AS dist FROM d ORDER BY d, vec_id LIMIT 1""",
+    "degree_stats": f"""WITH {_C}, {_E}, g AS (SELECT dst, count(*) AS n FROM e GROUP BY dst)
+SELECT min(n) AS min_degree, max(n) AS max_degree, round(avg(n), 6) AS avg_degree, count(*) AS nodes FROM g""",
+    "dangling_edges": f"WITH {_C}, {_E} SELECT src, dst FROM e WHERE dst % 10 = 1",
+    "bfs_hops": f"WITH {_BFS.format(c=_C, e=_E, most=9)} SELECT CAST(node AS BIGINT) AS node, CAST(min(hop) AS INTEGER) AS hop FROM b GROUP BY node",
+    "hop_histogram": f"""WITH {_BFS.format(c=_C, e=_E, most=2)}, h AS (SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM b GROUP BY node)
+SELECT hop, count(*) AS n FROM c LEFT JOIN h ON c.vec_id = h.node GROUP BY hop""",
+    "expand_frontier": f"WITH {_C}, {_Q}, {_E} SELECT qid, src, dst, rk FROM q JOIN e ON qid + 1 = src WHERE rk <= 3",
+    "neighbor_codes": f"""WITH {_C}, {_PIV}, {_CODE}, {_E}, s AS (SELECT vec_id, CAST(sum(pv) AS BIGINT) AS total, max(CASE WHEN chunk = 0 THEN pv END) AS f FROM code GROUP BY vec_id)
+SELECT src, dst, CAST(f AS INTEGER) AS first_code, total FROM e JOIN s ON e.dst = s.vec_id""",
+    "unvisited_anti": f"WITH {_C}, {_E} SELECT src, dst FROM e WHERE dst NOT IN (SELECT dst FROM e WHERE src = 1)",
+    "beam_union": f"WITH {_C}, {_E} SELECT dst FROM e WHERE src = 1 UNION SELECT dst FROM e WHERE src = 2",
+    "sort_neighbors": f"""WITH {_C}, {_E}, s AS (SELECT src, dst, round({_l2('a.v', 'b.v')}, 6) AS dist FROM e JOIN c a ON a.vec_id = src JOIN c b ON b.vec_id = dst)
+SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1 AS INTEGER) AS pos, dst, dist FROM s""",
+    "beam_merge": f"""WITH {_C}, {_Q}, {_P}, {_N} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vec_id) - 1 AS INTEGER) AS pos, vec_id
+FROM n WHERE rk <= 16 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vec_id) <= 12""",
+    "beam_round": f"""WITH {_C}, {_Q}, {_PIV}, {_LUT}, {_CODE}, {_ADC}, {_E},
+x AS (SELECT adc.qid, adc.vec_id, adc.d, row_number() OVER (PARTITION BY adc.qid ORDER BY d, vec_id) - 1 AS pos FROM e JOIN adc ON adc.vec_id = e.dst WHERE e.src = 1)
+SELECT qid, CAST(pos AS INTEGER) AS pos, vec_id, round(d, 6) AS dist FROM x""",
+    "access_frequency": "WITH " + _C + ", " + _E + ", g AS (SELECT dst, count(*) AS n FROM e GROUP BY dst) SELECT count(*) AS nodes, max(n) AS most, "
+    + ", ".join(f"quantile_cont(n, {i / 10}) AS p{i * 10}" for i in range(1, 10)) + " FROM g",
+    "stripe_skew": f"""WITH {_C}, {_E}, d AS (SELECT {_PAGE.format(id='dst')} % 4 AS device, count(*) AS reads FROM e GROUP BY 1)
+SELECT device, reads, round(reads / CAST(sum(reads) OVER () AS DOUBLE), 6) AS share FROM d""",
+}

@@ -1,3 +1,377 @@
-"""Registered queries."""
+"""Registered queries over the table ``embeddings``. Queries are the rows whose vec_id divides by 25."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import distance as D
+from ..operators import beam, graph, knn, pq
+from .scratch import cut
+
+K, DEGREE, EF, CHUNKS, PIVOTS, NAV, DIGITS = 10, 12, 20, 16, 32, 32, 6
+ENTRY = 1
+qv, v = F.col("qv"), F.col("v")
 
 QUERIES = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c, name):
+    return F.round(c, DIGITS).alias(name)
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def corpus(spark, sf_dir) -> DataFrame:
+    return embeddings(spark, sf_dir).filter("vec_id % 25 != 0").select("vec_id", D.cast_vector(F.col("embedding")).alias("v"))
+
+
+def held_out(spark, sf_dir) -> DataFrame:
+    return embeddings(spark, sf_dir).filter("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), D.cast_vector(F.col("embedding")).alias("qv"))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("dist", F.round("dist", DIGITS))
+
+
+def edges(spark, sf_dir) -> DataFrame:
+    return cut(graph.knn_graph(corpus(spark, sf_dir), DEGREE))
+
+
+def model(spark, sf_dir) -> pq.PQModel:
+    return pq.model_from_rows(corpus(spark, sf_dir), CHUNKS, PIVOTS)
+
+
+def pairs(spark, sf_dir) -> DataFrame:
+    return held_out(spark, sf_dir).crossJoin(corpus(spark, sf_dir))
+
+
+@query
+def scan_vectors(spark, sf_dir):
+    return corpus(spark, sf_dir).select("vec_id", F.size("v").alias("dims"), r6(D.vec_sum(v), "total"))
+
+
+@query
+def point_lookup(spark, sf_dir):
+    return embeddings(spark, sf_dir).filter(F.col("vec_id").isin(1, 7, 49)).select("vec_id", "label", r6(F.element_at("embedding", 1).cast("double"), "first"))
+
+
+@query
+def l2_distance(spark, sf_dir):
+    return pairs(spark, sf_dir).select("qid", "vec_id", r6(D.l2(qv, v), "dist"))
+
+
+@query
+def inner_product(spark, sf_dir):
+    return pairs(spark, sf_dir).select("qid", "vec_id", r6(D.dot(qv, v), "sim"))
+
+
+@query
+def cosine_similarity(spark, sf_dir):
+    return pairs(spark, sf_dir).select("qid", "vec_id", r6(D.cosine(qv, v), "sim"))
+
+
+@query
+def cosine_distance(spark, sf_dir):
+    return pairs(spark, sf_dir).select("qid", "vec_id", r6(D.cosine_distance(qv, v), "dist"))
+
+
+@query
+def cast_vector(spark, sf_dir):
+    return embeddings(spark, sf_dir).select("vec_id", F.posexplode(F.transform("embedding", lambda x: F.floor(x * 255).cast("smallint"))).alias("i", "x")).select(
+        "vec_id", "i", F.col("x").cast("double").alias("x"))
+
+
+@query
+def center_vectors(spark, sf_dir):
+    rows = corpus(spark, sf_dir)
+    centred = rows.join(F.broadcast(graph.centroid(rows)), F.lit(True)).select("vec_id", D.center(v, F.col("centroid")).alias("c"))
+    return centred.select("vec_id", r6(D.dot(F.col("c"), F.col("c")), "norm2"), r6(F.element_at("c", 1), "first"))
+
+
+@query
+def pq_chunks(spark, sf_dir):
+    return corpus(spark, sf_dir).select("vec_id", F.posexplode(D.chunks(v, CHUNKS, 4)).alias("chunk", "part")).select("vec_id", "chunk", r6(D.vec_sum(F.col("part")), "total"))
+
+
+@query
+def pq_lut(spark, sf_dir):
+    tables = pq.lookup_tables(held_out(spark, sf_dir), model(spark, sf_dir))
+    rows = tables.select("qid", F.posexplode("lut").alias("chunk", "t")).select("qid", "chunk", F.posexplode("t").alias("pivot", "d"))
+    return rows.select("qid", "chunk", "pivot", r6(F.col("d"), "dist"))
+
+
+@query
+def pq_encode(spark, sf_dir):
+    codes = pq.encode(corpus(spark, sf_dir), model(spark, sf_dir))
+    return codes.select("vec_id", F.posexplode("code").alias("chunk", "pivot")).select("vec_id", "chunk", F.col("pivot").cast("int").alias("pivot"))
+
+
+@query
+def pq_adc(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return rounded(pq.adc_distances(pq.lookup_tables(held_out(spark, sf_dir), m), pq.encode(corpus(spark, sf_dir), m)))
+
+
+@query
+def adc_neighbors(spark, sf_dir):
+    m = model(spark, sf_dir)
+    one = pq.lookup_tables(held_out(spark, sf_dir).filter("qid = 0"), m)
+    near = edges(spark, sf_dir).join(pq.encode(corpus(spark, sf_dir), m), F.col("dst") == F.col("vec_id"))
+    return near.crossJoin(one).select("src", "dst", r6(D.adc(F.col("lut"), F.col("code")), "dist"))
+
+
+@query
+def pq_rerank(spark, sf_dir):
+    rows, m, asked = corpus(spark, sf_dir), model(spark, sf_dir), held_out(spark, sf_dir)
+    near = knn.top_k(rounded(pq.adc_distances(pq.lookup_tables(asked, m), pq.encode(rows, m))), 50)
+    return rounded(pq.rerank(asked, near, rows, K))
+
+
+@query
+def pq_train(spark, sf_dir):
+    m = pq.train(corpus(spark, sf_dir), CHUNKS, PIVOTS)
+    codes = pq.encode(corpus(spark, sf_dir), m)
+    return codes.select(F.posexplode("code").alias("chunk", "pivot")).groupBy("chunk").agg(F.count_distinct("pivot").alias("used"))
+
+
+@query
+def page_layout(spark, sf_dir):
+    page, offset = graph.page_layout(F.col("vec_id"), 64 * 4 + 4 + 4 * DEGREE)
+    return embeddings(spark, sf_dir).select("vec_id", page.alias("page"), offset.alias("byte_offset"))
+
+
+@query
+def shard_assign(spark, sf_dir):
+    shard, place = graph.shard_assign(F.col("vec_id"), 4)
+    return embeddings(spark, sf_dir).select("vec_id", shard.alias("shard"), place.alias("place"))
+
+
+@query
+def replicate_dims(spark, sf_dir):
+    out = graph.replicate_dims(corpus(spark, sf_dir), 3)
+    return out.select("vec_id", F.size("v").alias("dims"), r6(D.vec_sum(v), "total"), r6(F.element_at("v", 4), "fourth"))
+
+
+@query
+def replicate_queries(spark, sf_dir):
+    return knn.replicate_queries(held_out(spark, sf_dir), 3).select("qid", r6(F.element_at("qv", 1), "first"))
+
+
+@query
+def exact_knn(spark, sf_dir):
+    return rounded(knn.exact_knn(held_out(spark, sf_dir), corpus(spark, sf_dir), K))
+
+
+@query
+def exact_knn_lateral(spark, sf_dir):
+    D.register(spark)
+    return spark.sql(
+        "SELECT q.qid, t.vec_id, round(t.d, 6) AS dist FROM {q} q, LATERAL (SELECT c.vec_id, vec_l2(q.qv, c.v) AS d FROM {c} c ORDER BY d, c.vec_id LIMIT 10) t",
+        q=held_out(spark, sf_dir), c=corpus(spark, sf_dir))
+
+
+@query
+def topk_per_query(spark, sf_dir):
+    scored = knn.score_pairs(held_out(spark, sf_dir), corpus(spark, sf_dir), D.dot(qv, v))
+    return knn.top_k(scored, K, order=(F.desc("dist"), "vec_id")).select("qid", F.col("rk").cast("bigint").alias("rk"), "vec_id", r6(F.col("dist"), "sim"))
+
+
+@query
+def radius_search(spark, sf_dir):
+    return rounded(knn.radius_search(held_out(spark, sf_dir), corpus(spark, sf_dir), 1.5))
+
+
+@query
+def filtered_knn(spark, sf_dir):
+    some = embeddings(spark, sf_dir).filter("vec_id % 25 != 0 AND label = 3").select("vec_id", D.cast_vector(F.col("embedding")).alias("v"))
+    return rounded(knn.exact_knn(held_out(spark, sf_dir), some, K))
+
+
+@query
+def found_cnt(spark, sf_dir):
+    near = knn.radius_search(held_out(spark, sf_dir), corpus(spark, sf_dir), 1.5)
+    return held_out(spark, sf_dir).join(near, "qid", "left").groupBy("qid").agg(F.count("vec_id").alias("found"))
+
+
+@query
+def dist_percentiles(spark, sf_dir):
+    scored = knn.score_pairs(held_out(spark, sf_dir), corpus(spark, sf_dir))
+    return scored.agg(*[r6(F.expr(f"percentile(dist, {p / 100})"), f"p{p}") for p in (50, 90, 99)])
+
+
+@query
+def recall_at_k(spark, sf_dir):
+    """Of the neighbours by the first half of the dimensions, how many are true ones."""
+    asked, rows = held_out(spark, sf_dir), corpus(spark, sf_dir)
+    half = knn.exact_knn(asked.withColumn("qv", F.slice("qv", 1, 32)), rows.withColumn("v", F.slice("v", 1, 32)), K)
+    return knn.recall(half, knn.exact_knn(asked, rows, K), K).select(r6(F.col("recall"), "recall"))
+
+
+@query
+def knn_graph(spark, sf_dir):
+    return graph.knn_graph(corpus(spark, sf_dir), DEGREE)
+
+
+@query
+def vamana_graph(spark, sf_dir):
+    return graph.cell_graph(corpus(spark, sf_dir), DEGREE)
+
+
+@query
+def nav_sample(spark, sf_dir):
+    return graph.nav_sample(corpus(spark, sf_dir), NAV)
+
+
+@query
+def nav_graph(spark, sf_dir):
+    chosen = graph.nav_sample(corpus(spark, sf_dir), NAV).join(corpus(spark, sf_dir), "vec_id")
+    return graph.knn_graph(chosen.select(F.col("nav_id").alias("vec_id"), "v"), 8)
+
+
+@query
+def nav_entry(spark, sf_dir):
+    out = beam.nav_entry(held_out(spark, sf_dir), graph.nav_sample(corpus(spark, sf_dir), NAV), corpus(spark, sf_dir))
+    return rounded(out)
+
+
+@query
+def nav_translate(spark, sf_dir):
+    nav = graph.nav_sample(corpus(spark, sf_dir), NAV)
+    return held_out(spark, sf_dir).select("qid", F.pmod("qid", F.lit(NAV)).alias("nav_id")).join(nav, "nav_id").select("qid", "nav_id", F.col("vec_id").alias("entry"))
+
+
+@query
+def centroid(spark, sf_dir):
+    return graph.centroid(corpus(spark, sf_dir)).select(F.posexplode("centroid").alias("i", "x")).select("i", r6(F.col("x"), "x"))
+
+
+@query
+def medoid(spark, sf_dir):
+    return rounded(graph.medoid(corpus(spark, sf_dir)))
+
+
+@query
+def degree_stats(spark, sf_dir):
+    reverse = graph.knn_graph(corpus(spark, sf_dir), DEGREE).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.degree_stats(reverse).withColumn("avg_degree", F.round("avg_degree", DIGITS))
+
+
+@query
+def dangling_edges(spark, sf_dir):
+    some = corpus(spark, sf_dir).filter("vec_id % 10 != 1")
+    return graph.dangling_edges(graph.knn_graph(corpus(spark, sf_dir), DEGREE), some)
+
+
+@query
+def bfs_hops(spark, sf_dir):
+    return graph.bfs_hops(edges(spark, sf_dir), ENTRY)
+
+
+@query
+def hop_histogram(spark, sf_dir):
+    return graph.hop_histogram(graph.bfs_hops(edges(spark, sf_dir), ENTRY, 2), corpus(spark, sf_dir))
+
+
+@query
+def expand_frontier(spark, sf_dir):
+    near = edges(spark, sf_dir).filter("rk <= 3")
+    return held_out(spark, sf_dir).select("qid", (F.col("qid") + 1).alias("src")).join(near, "src").select("qid", "src", "dst", "rk")
+
+
+@query
+def neighbor_codes(spark, sf_dir):
+    near = edges(spark, sf_dir).join(pq.encode(corpus(spark, sf_dir), model(spark, sf_dir)), F.col("dst") == F.col("vec_id"))
+    return near.select("src", "dst", F.element_at("code", 1).cast("int").alias("first_code"), F.aggregate("code", F.lit(0), lambda t, c: t + c.cast("int")).cast("bigint").alias("total"))
+
+
+@query
+def unvisited_anti(spark, sf_dir):
+    all_edges = edges(spark, sf_dir)
+    seen = all_edges.filter(F.col("src") == ENTRY).select("dst")
+    return all_edges.join(seen, "dst", "left_anti").select("src", "dst")
+
+
+@query
+def beam_union(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return e.filter("src = 1").select("dst").union(e.filter("src = 2").select("dst")).distinct()
+
+
+@query
+def sort_neighbors(spark, sf_dir):
+    rows = corpus(spark, sf_dir)
+    near = edges(spark, sf_dir).join(rows.select(F.col("vec_id").alias("src"), F.col("v").alias("qv")), "src").join(rows.select(F.col("vec_id").alias("dst"), "v"), "dst")
+    listed = near.groupBy("src").agg(F.array_sort(F.collect_list(F.struct(F.round(D.l2(qv, v), DIGITS).alias("dist"), "dst"))).alias("l"))
+    return listed.select("src", F.posexplode("l").alias("pos", "x")).select("src", "pos", "x.dst", "x.dist")
+
+
+def _ranked(spark, sf_dir, low: int, high: int) -> DataFrame:
+    near = knn.exact_knn(held_out(spark, sf_dir), corpus(spark, sf_dir), high)
+    return near.filter(F.col("rk") > low).groupBy("qid").agg(F.collect_list(F.struct(F.round("dist", 9).alias("d"), F.col("vec_id").alias("id"))).alias("b"))
+
+
+@query
+def beam_merge(spark, sf_dir):
+    a, b = _ranked(spark, sf_dir, 4, 16), _ranked(spark, sf_dir, 0, 8).withColumnRenamed("b", "fresh")
+    merged = a.join(b, "qid").select("qid", F.posexplode(beam.merge_beam(F.col("b"), F.col("fresh"), 12)).alias("pos", "x"))
+    return merged.select("qid", "pos", F.col("x.id").alias("vec_id"))
+
+
+def _prepared(spark, sf_dir):
+    rows, m = corpus(spark, sf_dir), model(spark, sf_dir)
+    codes = cut(pq.encode(rows, m))
+    entries = held_out(spark, sf_dir).select("qid", F.lit(ENTRY).cast("bigint").alias("entry"))
+    return rows, m, codes, entries, edges(spark, sf_dir)
+
+
+@query
+def beam_round(spark, sf_dir):
+    rows, m, codes, entries, links = _prepared(spark, sf_dir)
+    state = beam.start_state(pq.lookup_tables(held_out(spark, sf_dir), m), entries)
+    state = beam.beam_round(state, beam.search_graph(links, rows, codes), EF, K)
+    return state.select("qid", F.posexplode("beam").alias("pos", "x")).select("qid", "pos", F.col("x.id").alias("vec_id"), r6(F.col("x.d"), "dist"))
+
+
+@query
+def beam_search(spark, sf_dir):
+    rows, m, codes, entries, links = _prepared(spark, sf_dir)
+    tables = pq.lookup_tables(held_out(spark, sf_dir), m)
+    return rounded(beam.beam_search(tables, entries, beam.search_graph(links, rows, codes), EF, K))
+
+
+@query
+def beam_search_batch(spark, sf_dir):
+    rows, m, codes, _, links = _prepared(spark, sf_dir)
+    return rounded(beam.beam_search_batch(held_out(spark, sf_dir), m, ENTRY, links, rows, codes, EF, K))
+
+
+@query
+def beam_recall(spark, sf_dir):
+    found = beam_search_batch(spark, sf_dir)
+    return knn.recall(found, knn.exact_knn(held_out(spark, sf_dir), corpus(spark, sf_dir), K), K)
+
+
+@query
+def search_stats(spark, sf_dir):
+    spent = beam_search_batch(spark, sf_dir).select("qid", "n_expanded").distinct()
+    return spent.agg(F.sum("n_expanded").alias("expanded"), F.max("n_expanded").alias("most"), F.count("*").alias("queries"))
+
+
+@query
+def access_frequency(spark, sf_dir):
+    return graph.access_frequency(graph.knn_graph(corpus(spark, sf_dir), DEGREE).select(F.col("dst").alias("node")))
+
+
+@query
+def stripe_skew(spark, sf_dir):
+    near = graph.knn_graph(corpus(spark, sf_dir), DEGREE)
+    page, _ = graph.page_layout(F.col("dst"), 64 * 4 + 4 + 4 * DEGREE)
+    return graph.stripe_skew(near.select(page.alias("page")), 4).withColumn("share", F.round("share", DIGITS))
