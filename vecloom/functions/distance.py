@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ColumnOrName = Column | str
+
 #: Added to the product of norms in a cosine, so that a zero vector divides.
 COSINE_EPS = 1e-6
 
@@ -14,32 +16,32 @@ def cast_vector(v: Column) -> Column:
     return v.cast("array<double>")
 
 
-def vec_sum(v: Column) -> Column:
+def vec_sum(v: ColumnOrName) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda total, x: total + x)
 
 
-def l2(a: Column, b: Column) -> Column:
+def l2(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Squared Euclidean distance, without a root."""
     return vec_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: ColumnOrName, b: ColumnOrName) -> Column:
     return vec_sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
-def cosine(a: Column, b: Column) -> Column:
+def cosine(a: ColumnOrName, b: ColumnOrName) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + F.lit(COSINE_EPS))
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
+def cosine_distance(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.lit(1.0) - cosine(a, b)
 
 
-def center(v: Column, mean: Column) -> Column:
+def center(v: ColumnOrName, mean: ColumnOrName) -> Column:
     return F.zip_with(v, mean, lambda x, m: x - m)
 
 
-def chunks(v: Column, n: int, width: int) -> Column:
+def chunks(v: ColumnOrName, n: int, width: int) -> Column:
     """v cut into n runs of width (the last takes what is left)."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.slice(v, j * width + 1, F.lit(width)))
 

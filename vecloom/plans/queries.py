@@ -11,7 +11,7 @@ from .scratch import cut
 
 K, DEGREE, EF, CHUNKS, PIVOTS, NAV, DIGITS = 10, 12, 20, 16, 32, 32, 6
 ENTRY = 1
-qv, v = F.col("qv"), F.col("v")
+qv, v = "qv", "v"
 
 QUERIES = {}
 
