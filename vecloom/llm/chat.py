@@ -2,7 +2,8 @@
 
 Messages form trees by their parent. Iterative self-joins double the stretch of ancestors that every
 message knows: after n rounds each knows the 2^n nearest, so that a path of any length takes a
-logarithmic number of rounds. Only ids travel; scores add up along the way. Branches are ranked by
+logarithmic number of rounds, and a round joins only the messages whose root is still unknown. Only
+ids travel; scores add up along the way. Branches are ranked by
 score per tree, and the text is joined once, to the chosen paths.
 
 The template is ``<turn ROLE>TEXT</turn>`` and a line feed per message. Within role and text, ``&``,
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, discard
+from ._common import cut
 
 OPEN, OPENED, CLOSE = "<turn ", ">", "</turn>\n"
 TRAINED_ROLES = ("assistant",)
@@ -43,21 +44,14 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.array("id").alias("path"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     replied = nodes.filter("up is not null").select(F.col("up").alias("id")).distinct()
-    open_before, start = None, nodes
-    while True:
-        n_open = nodes.filter("up is not null").count()
-        if not n_open or n_open == open_before:
-            break
-        upper = nodes.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("score").alias("score2"))
-        further = nodes.join(upper, "up", "left").select(
-            "id", F.col("up2").alias("up"),
-            F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"),
-            (F.coalesce("score2", F.lit(0.0)) + F.col("score")).alias("score"))
-        further = cut(further)
-        if nodes is not start:
-            discard(nodes)
-        nodes, open_before = further, n_open
-    leaves = nodes.filter("up is null").join(replied, "id", "left_anti").withColumn("root", F.element_at("path", 1))
+    closed, still_open, before = nodes.filter("up is null"), nodes.filter("up is not null"), None
+    while (n_open := still_open.count()) and n_open != before:
+        known = closed.unionByName(still_open)
+        upper = known.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("score").alias("score2"))
+        further = cut(still_open.join(upper, "up").select(
+            "id", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"), (F.col("score2") + F.col("score")).alias("score")))
+        closed, still_open, before = closed.unionByName(further.filter("up is null")), further.filter("up is not null"), n_open
+    leaves = closed.join(replied, "id", "left_anti").withColumn("root", F.element_at("path", 1))
     order = Window.partitionBy("root").orderBy(F.desc("score"), "id")
     return leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= branches).select(
         "root", "rank", F.col("id").alias("leaf"), "score", "path")
