@@ -82,3 +82,11 @@ def test_vector_files_round_trip(spark, tmp_path, kind):
         f.truncate(9)
     with pytest.raises(ValueError):
         vecs.shape(written.file, kind)
+
+
+def test_truth_files_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, [5, 6], [0.5, 1.0]), (0, [3, 4], [0.25, 2.0])], "qid bigint, ids array<int>, dists array<float>")
+    (written,) = vecs.write_truth(df, str(tmp_path / "truth.bin")).collect()
+    back = [tuple(r) for r in vecs.read_truth(spark, written.file).orderBy("qid").collect()]
+    assert written.rows == 2 and back == [(0, [3, 4], [0.25, 2.0]), (1, [5, 6], [0.5, 1.0])]
+    assert [p.name for p in tmp_path.iterdir()] == ["truth.bin"]

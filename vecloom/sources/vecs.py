@@ -8,8 +8,11 @@ Unsigned bytes become ``smallint``, as Spark has no unsigned type.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ FORMATS = {
     "fbin": ("<f4", "float", False), "ibin": ("<i4", "int", False), "bbin": ("u1", "smallint", False)}
 ROWS_PER_TASK = 100_000
 ROWS_PER_BATCH = 4096
+COPY_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -105,28 +109,90 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return ids.mapInArrow(batches, "qid bigint, ids array<int>, dists array<float>")
 
 
+@contextmanager
+def whole_file(name: str):
+    """A stream to a file that bears its name only once it is whole, so that a task that is run again leaves no half."""
+    where, target = open_at(name)
+    where.create_dir(target.rpartition("/")[0], recursive=True)
+    draft = f"{target}.{uuid.uuid4().hex}.draft"
+    try:
+        with where.open_output_stream(draft) as f:
+            yield f
+        if where.get_file_info(target).type != fs.FileType.NotFound:
+            where.delete_file(target)
+        where.move(draft, target)
+    finally:
+        if where.get_file_info(draft).type != fs.FileType.NotFound:
+            where.delete_file(draft)
+
+
+def append(f, name: str) -> None:
+    """Copy the file of that name to the end of a stream, and delete it."""
+    where, target = open_at(name)
+    with where.open_input_stream(target) as body:
+        while chunk := body.read(COPY_BYTES):
+            f.write(chunk)
+    where.delete_file(target)
+
+
 def write_vectors(df: DataFrame, path: str, kind: str, order: str = "pos", vector: str = "vector") -> DataFrame:
     """Write df's vectors under the folder path, a file a partition, in the order of a column.
 
     The result lists the files with their rows. For a single file, coalesce df to one partition first.
+    A task holds one batch at a time: where the header counts the rows, they go to a file beside it first.
     """
     dtype, _, per_row = FORMATS[kind]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [v for part in parts for v in part.column(0).to_pylist()]
-        if rows:
-            from pyspark import TaskContext
-
-            m = np.array(rows).astype(dtype)
-            name = f"{path.rstrip('/')}/part-{TaskContext.get().partitionId():05d}.{kind}"
-            where, target = open_at(name)
-            where.create_dir(target.rpartition("/")[0], recursive=True)
-            with where.open_output_stream(target) as f:
+        from pyspark import TaskContext
+
+        name = f"{path.rstrip('/')}/part-{TaskContext.get().partitionId():05d}.{kind}"
+        rows = width = 0
+        body = name if per_row else f"{name}.{uuid.uuid4().hex}.body"
+        parts = (part for part in parts if part.num_rows)
+        first = next(parts, None)
+        if first is None:
+            return
+        with whole_file(body) as f:
+            for part in chain([first], parts):
+                lists = part.column(0)
+                m = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(dtype)
+                if rows and m.shape[1] != width or np.ptp(np.diff(lists.offsets.to_numpy())):
+                    raise ValueError(f"{name}: rows differ in width")
+                rows, width = rows + len(m), m.shape[1]
                 if per_row:
-                    heads = np.full((len(m), 1), m.shape[1], dtype="<i4").view(np.uint8)
+                    heads = np.full((len(m), 1), width, dtype="<i4").view(np.uint8)
                     f.write(np.concatenate((heads, m.view(np.uint8).reshape(len(m), -1)), axis=1).tobytes())
                 else:
-                    f.write(np.array(m.shape, dtype="<i4").tobytes() + m.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(m)])], ["file", "rows"])
+                    f.write(m.tobytes())
+        if not per_row:
+            with whole_file(name) as f:
+                f.write(np.array([rows, width], dtype="<i4").tobytes())
+                append(f, body)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows])], ["file", "rows"])
 
     return df.sortWithinPartitions(order).select(vector).mapInArrow(batches, "file string, rows bigint")
+
+
+def write_truth(df: DataFrame, path: str) -> DataFrame:
+    """Write qid, ids, dists as a ground-truth file, in the order of qid; one file is one task's work. Lists file and rows."""
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = width = 0
+        bodies = [f"{path}.{uuid.uuid4().hex}.{what}" for what in ("ids", "dists")]
+        with whole_file(bodies[0]) as ids, whole_file(bodies[1]) as dists:
+            for part in parts:
+                if part.num_rows:
+                    for f, lists, dtype in ((ids, part.column(0), "<i4"), (dists, part.column(1), "<f4")):
+                        m = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(dtype)
+                        if width and m.shape[1] != width:
+                            raise ValueError(f"{path}: rows differ in width")
+                        width = m.shape[1]
+                        f.write(m.tobytes())
+                    rows += part.num_rows
+        with whole_file(path) as f:
+            f.write(np.array([rows, width], dtype="<i4").tobytes())
+            for body in bodies:
+                append(f, body)
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rows])], ["file", "rows"])
+
+    return df.coalesce(1).sortWithinPartitions("qid").select("ids", "dists").mapInArrow(batches, "file string, rows bigint")
