@@ -11,6 +11,8 @@ batch form in which each shard of the graph is searched by a task of its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,15 +24,22 @@ from .knn import query_blocks, top_k
 from .pq import PQModel
 
 DIGITS = 9
+#: Vectors that one task of the batch form holds, at most.
+SHARD_ROWS = 200_000
 _BEAM = "array<struct<d:double,id:bigint>>"
 
 
-def search_graph(edges: DataFrame, corpus: DataFrame, codes: DataFrame) -> DataFrame:
-    """node, v, nb: one row a node, with its neighbours' codes beside their ids, so that a round is one join."""
+def search_graph(edges: DataFrame, corpus: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """node, v, nb: one row a node, with its neighbours' codes beside their ids, so that a round is one join.
+
+    Without codes the neighbours' vectors stand there, and beam_search() ranks them by exact distance.
+    """
+    if codes is None:
+        codes = corpus.select("vec_id", F.col("v").alias("code"))
     near = edges.join(codes.withColumnRenamed("vec_id", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("dst").alias("id"), "code"))).alias("nb"))  # a node's degree is bounded
     rows = corpus.select(F.col("vec_id").alias("node"), "v").join(near, "node", "left")
-    return rows.select("node", "v", F.coalesce("nb", F.expr("cast(array() as array<struct<id:bigint,code:array<smallint>>>)")).alias("nb"))
+    return rows.select("node", "v", F.coalesce("nb", F.array().cast(near.schema["nb"].dataType)).alias("nb"))
 
 
 def merge_beam(beam, fresh, ef: int):
@@ -44,7 +53,9 @@ def beam_round(state: DataFrame, graph: DataFrame, ef: int, k: int) -> DataFrame
     there = F.col("node").isNotNull()
     exact = F.struct(F.round(l2(F.col("qv"), F.col("v")), DIGITS).alias("d"), F.col("u").alias("id"))
     open_nb = F.filter("nb", lambda n: ~F.array_contains(F.col("vis"), n["id"]))
-    fresh = F.transform(open_nb, lambda n: F.struct(F.round(adc(F.col("lut"), n["code"]), DIGITS).alias("d"), n["id"].alias("id")))
+    coded = graph.schema["nb"].dataType.elementType["code"].dataType.elementType.typeName() == "short"
+    near = (lambda code: adc(F.col("lut"), code)) if coded else (lambda code: l2(F.col("qv"), code))
+    fresh = F.transform(open_nb, lambda n: F.struct(F.round(near(n["code"]), DIGITS).alias("d"), n["id"].alias("id")))
     after = joined.select(
         "qid", "qv", "lut", "vis",
         F.when(there, merge_beam(F.col("beam"), fresh, ef)).otherwise(F.col("beam")).alias("beam"),
@@ -74,56 +85,79 @@ def beam_search(tables: DataFrame, entries: DataFrame, graph: DataFrame, ef: int
     return found.select("qid", (F.col("pos") + 1).cast("bigint").alias("rk"), F.col("r.id").alias("vec_id"), F.col("r.d").alias("dist"), F.col("n_expanded").cast("bigint").alias("n_expanded"))
 
 
-def walk(query: np.ndarray, table: list[np.ndarray], entry: int, vectors: dict, links: dict, codes: dict, ef: int, k: int) -> tuple[list[tuple[float, int]], int]:
-    """One search in memory: the k best (distance, id) of the expanded nodes, and how many were expanded."""
+def walk(query: np.ndarray, near: Callable[[list[int]], np.ndarray], entry: int, vectors: dict, links: dict, ef: int, k: int) -> tuple[list[tuple[float, int]], int]:
+    """One search in memory: the k best (distance, id) of the expanded nodes, and how many were expanded.
+
+    ``near`` gives the distances that guide the search, of a list of nodes.
+    """
     beam: list[tuple[float, int]] = []
     seen, result, at = {entry}, [], entry
-    rows = np.arange(len(table))
-    flat = np.zeros((len(table), max(map(len, table))))
-    for j, t in enumerate(table):
-        flat[j, : len(t)] = t
     while at is not None:
         if at in vectors:
             result.append((round(float(((query - vectors[at]) ** 2).sum()), DIGITS), at))
-            fresh = [n for n in links.get(at, ()) if n not in seen and n in codes]
-            near = {(round(float(flat[rows, codes[n]].sum()), DIGITS), n) for n in fresh}
-            beam = sorted(near.union(beam))[:ef]
+            fresh = [n for n in links.get(at, ()) if n not in seen and n in vectors]
+            if fresh:
+                beam = sorted({(round(float(d), DIGITS), n) for d, n in zip(near(fresh), fresh)}.union(beam))[:ef]
         at = next((n for _, n in beam if n not in seen), None)
         if at is not None:
             seen.add(at)
     return sorted(result)[:k], len(seen)
 
 
-def beam_search_batch(queries: DataFrame, model: PQModel, entry: int | None, edges: DataFrame, corpus: DataFrame, codes: DataFrame,
-                      ef: int, k: int, shards: int = 1) -> DataFrame:
+def _guide(query: np.ndarray, model: PQModel | None, vectors: dict, codes: dict) -> Callable[[list[int]], np.ndarray]:
+    """Distances of nodes to a query: from codes, or exact ones without a model."""
+    if model is None:
+        return lambda nodes: ((np.array([vectors[n] for n in nodes]) - query) ** 2).sum(axis=1)
+    table = model.table(query)
+    flat, chunk = np.zeros((len(table), max(map(len, table)))), np.arange(len(table))
+    for j, t in enumerate(table):
+        flat[j, : len(t)] = t
+    return lambda nodes: flat[chunk, np.array([codes[n] for n in nodes])].sum(axis=1)
+
+
+def shard_count(corpus: DataFrame, rows: int = SHARD_ROWS) -> int:
+    """Shards that hold at most about ``rows`` vectors each."""
+    return max(1, -(-corpus.count() // rows))
+
+
+def beam_search_batch(queries: DataFrame, model: PQModel | None, entry: int | DataFrame | None, edges: DataFrame, corpus: DataFrame, codes: DataFrame | None,
+                      ef: int, k: int, shards: int | None = None) -> DataFrame:
     """qid, rk, vec_id, dist, n_expanded by the batch form.
 
-    The corpus is dealt into shards by id, each small enough for a task; a shard is searched along the
-    edges within it, from ``entry`` or, if that lies elsewhere, from its smallest id. Queries are
-    broadcast in bounded blocks, and the shards' results merge.
+    The corpus is dealt into shards by id, each small enough for a task (as many as its size asks for
+    unless given); a shard is searched along the edges within it, from ``entry`` (a node, or qid, entry)
+    or, if that lies elsewhere, from its smallest id. Build the edges of several shards with
+    shard_graph(): of another graph's edges most lead from shard to shard. Queries are broadcast in
+    bounded blocks, and the shards' results merge. Without model and codes distances are exact.
     """
     if ef < k:
         raise ValueError("ef must be at least k")
     spark, schema, out = corpus.sparkSession, "shard bigint, qid bigint, vec_id bigint, dist double, n_expanded bigint", None
-    node = corpus.join(codes, "vec_id").join(edges.groupBy(F.col("src").alias("vec_id")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs")), "vec_id", "left")
-    node = node.select(F.pmod("vec_id", F.lit(shards)).alias("shard"), "vec_id", "v", "code", "nbrs")
-    for block in query_blocks(queries):
-        shared = spark.sparkContext.broadcast(block)
-
+    shards = shard_count(corpus) if shards is None else shards
+    of = (lambda c: F.pmod(c, F.lit(shards)))
+    within = edges.filter(of(F.col("src")) == of(F.col("dst")))
+    node = corpus if codes is None else corpus.join(codes, "vec_id")
+    node = node.join(within.groupBy(F.col("src").alias("vec_id")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs")), "vec_id", "left")
+    node = node.select(of(F.col("vec_id")).alias("shard"), "vec_id", "v", F.expr("cast(null as array<smallint>)").alias("code") if codes is None else "code", "nbrs")
+    asked = queries.join(entry, "qid") if isinstance(entry, DataFrame) else queries.withColumn("entry", F.lit(-1 if entry is None else entry).cast("bigint"))
+
+    def searcher(shared) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def search(part: pd.DataFrame) -> pd.DataFrame:
-            ids, vectors = shared.value
             known = {int(i): np.array(v, dtype=np.float64) for i, v in zip(part["vec_id"], part["v"])}
-            code = {int(i): np.array(c, dtype=np.int64) for i, c in zip(part["vec_id"], part["code"])}
+            code = {int(i): np.array(c, dtype=np.int64) for i, c in zip(part["vec_id"], part["code"]) if c is not None}
             links = {int(i): [int(n) for n in nb] for i, nb in zip(part["vec_id"], part["nbrs"]) if nb is not None}
-            first, rows = entry if entry in known else min(known), []
-            for qid, q in zip(ids.tolist(), vectors):
-                found, n = walk(q, model.table(q), first, known, links, code, ef, k)
-                rows += [(int(part["shard"].iloc[0]), qid, i, d, n) for d, i in found]
+            smallest, shard, rows = min(known), int(part["shard"].iloc[0]), []
+            for qid, q, first in zip(*(column.tolist() if column.ndim == 1 else column for column in shared.value)):
+                found, n = walk(q, _guide(q, model, known, code), first if first in known else smallest, known, links, ef, k)
+                rows += [(shard, qid, i, d, n) for d, i in found]
             return pd.DataFrame(rows, columns=["shard", "qid", "vec_id", "dist", "n_expanded"])
 
-        found = node.groupBy("shard").applyInPandas(search, schema)
+        return search
+
+    for block in query_blocks(asked, "entry"):
+        found = node.groupBy("shard").applyInPandas(searcher(spark.sparkContext.broadcast(block)), schema)
         out = found if out is None else out.unionByName(found)
-    out = spark.createDataFrame([], schema) if out is None else out
+    out = cut(spark.createDataFrame([], schema) if out is None else out)
     spent = out.select("shard", "qid", "n_expanded").distinct().groupBy("qid").agg(F.sum("n_expanded").alias("n_expanded"))
     best = top_k(out.drop("shard", "n_expanded"), k).join(spent, "qid")
     return best.select("qid", F.col("rk").cast("bigint").alias("rk"), "vec_id", "dist", "n_expanded")

@@ -16,6 +16,8 @@ from .knn import exact_knn
 PAGE_BYTES = 4096
 #: Vectors in a cell of cell_graph(), at most: what one task holds.
 CELL_ROWS = 20_000
+#: Rows whose distances to their cell prune() holds at a time.
+PRUNE_ROWS = 256
 
 
 def knn_graph(corpus: DataFrame, degree: int) -> DataFrame:
@@ -33,26 +35,35 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def prune(ids: np.ndarray, m: np.ndarray, degree: int, alpha: float) -> list[tuple[int, int, int]]:
-    """Edges of one cell: near neighbours, without those that another kept neighbour makes redundant."""
-    near = np.maximum((m * m).sum(1)[:, None] + (m * m).sum(1)[None] - 2 * m @ m.T, 0)
-    np.fill_diagonal(near, np.inf)
-    edges = []
-    for i in range(len(ids)):
-        kept: list[int] = []
-        for j in np.lexsort((ids, near[i]))[: 4 * degree]:
-            if not np.isfinite(near[i, j]) or len(kept) == degree:
-                break
-            if all(alpha * near[j, c] > near[i, j] for c in kept):
-                kept.append(int(j))
-        edges += [(int(ids[i]), int(ids[j]), r) for r, j in enumerate(kept, 1)]
+    """Edges of one cell: near neighbours, without those that another kept neighbour makes redundant.
+
+    Distances are computed for PRUNE_ROWS rows at a time, so that memory grows with the cell, not its square.
+    """
+    edges, squares, wide = [], (m * m).sum(1), min(4 * degree, len(ids) - 1)
+    for at in range(0, len(ids) if wide > 0 else 0, PRUNE_ROWS):
+        block = m[at : at + PRUNE_ROWS]
+        near = np.maximum(squares[at : at + PRUNE_ROWS, None] + squares[None] - 2 * block @ m.T, 0)
+        near[np.arange(len(block)), np.arange(at, at + len(block))] = np.inf
+        cut_off = np.partition(near, wide - 1, axis=1)[:, wide - 1]
+        for i, row in enumerate(near):
+            close = np.flatnonzero(row <= cut_off[i])
+            close = close[np.lexsort((ids[close], row[close]))][:wide]
+            among = np.maximum(squares[close, None] + squares[close][None] - 2 * m[close] @ m[close].T, 0)
+            kept: list[int] = []
+            for j in range(len(close)):
+                if len(kept) == degree:
+                    break
+                if not kept or (alpha * among[j, kept] > row[close[j]]).all():
+                    kept.append(j)
+            edges += [(int(ids[at + i]), int(ids[close[j]]), r) for r, j in enumerate(kept, 1)]
     return edges
 
 
-def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int = 2, seed: int = 7) -> DataFrame:
+def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int = 2, seed: int = 7, within: Column | None = None) -> DataFrame:
     """src, dst, rk: an alpha-pruned graph, built cell by cell, with reverse edges, degree at most.
 
     Centres are a bounded sample; every vector goes to the cells of its ``overlap`` nearest centres, so
-    that cells join up. Cells that are too large are split by hash.
+    that cells join up. Cells that are too large are split by hash. Edges stay within groups of equal ``within``.
     """
     n = corpus.count()
     cells = max(1, min(4096, n * overlap * 2 // CELL_ROWS))
@@ -61,7 +72,7 @@ def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
-        for part in parts:
+        for part in (p for p in parts if len(p)):
             m = np.array(part["v"].tolist(), dtype=np.float64)
             near = (m * m).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * m @ c.T
             for which in np.argsort(near, axis=1, kind="stable")[:, :overlap].T:
@@ -71,15 +82,24 @@ def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int
         part = part.sort_values("vec_id")
         return pd.DataFrame(prune(part["vec_id"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64), degree, alpha), columns=["src", "dst", "rk"])
 
-    placed = cut(corpus.select("vec_id", "v").mapInPandas(assign, "vec_id bigint, v array<double>, cell bigint"))
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))
-    split = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / CELL_ROWS)))
-    edges = split.groupBy("cell", "part").applyInPandas(build, "src bigint, dst bigint, rk bigint")
+    placed = corpus.select("vec_id", "v").mapInPandas(assign, "vec_id bigint, v array<double>, cell bigint")
+    placed = cut(placed.withColumn("shard", F.lit(0).cast("bigint") if within is None else within.cast("bigint")))
+    sizes = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    split = placed.join(sizes, ["shard", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / CELL_ROWS)))
+    edges = split.groupBy("shard", "cell", "part").applyInPandas(build, "src bigint, dst bigint, rk bigint")
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rk")).groupBy("src", "dst").agg(F.min("rk").alias("rk"))
     order = Window.partitionBy("src").orderBy("rk", "dst")
     return both.withColumn("rk", F.row_number().over(order).cast("bigint")).filter(F.col("rk") <= degree)
 
 
+def shard_graph(corpus: DataFrame, degree: int, shards: int, alpha: float = 1.2) -> DataFrame:
+    """src, dst, rk: an alpha-pruned graph within each shard, as the batch search deals the corpus.
+
+    A shard is built in cells of its own (cell_graph's centres are shared by all), so no task holds more than a cell.
+    """
+    return cell_graph(corpus, degree, alpha, within=F.pmod(F.col("vec_id"), F.lit(shards)))
+
+
 def centroid(corpus: DataFrame) -> DataFrame:
     """centroid: one row, the mean vector."""
     means = corpus.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))

@@ -36,6 +36,9 @@ class Shape:
 
 
 def open_at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the name there."""
+    if path.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
