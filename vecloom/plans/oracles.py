@@ -94,4 +94,10 @@ SELECT qid, CAST(pos AS INTEGER) AS pos, vec_id, round(d, 6) AS dist FROM x""",
     + ", ".join(f"quantile_cont(n, {i / 10}) AS p{i * 10}" for i in range(1, 10)) + " FROM g",
     "stripe_skew": f"""WITH {_C}, {_E}, d AS (SELECT {_PAGE.format(id='dst')} % 4 AS device, count(*) AS reads FROM e GROUP BY 1)
 SELECT device, reads, round(reads / CAST(sum(reads) OVER () AS DOUBLE), 6) AS share FROM d""",
+    "index_file_scan": f"""WITH {_C}, {_E}, g AS (SELECT src, count(*) AS n, sum(dst) AS t FROM e GROUP BY src)
+SELECT vec_id AS node, CAST(coalesce(n, 0) AS INTEGER) AS degree, CAST(coalesce(t, 0) AS BIGINT) AS nbr_sum, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total
+FROM embeddings LEFT JOIN g ON vec_id = src""",
+    "index_node_read": f"WITH {_C}, {_E} SELECT src AS node, CAST(rk - 1 AS INTEGER) AS pos, dst AS nbr FROM e WHERE src IN (1, 7, 49)",
+    "vector_file_scan": "SELECT vec_id AS pos, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings WHERE vec_id >= 10",
+    "stream_knn": f"WITH {_C}, {_Q}, {_P}, {_N} SELECT qid, rk, vec_id, round(d, 6) AS dist FROM n WHERE rk <= 10",
 }

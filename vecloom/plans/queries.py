@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..operators import beam, graph, knn, pq
-from .scratch import cut
+from ..index import VectorIndex
+from ..sources import index_files as files
+from ..sources import vecs
+from ..streaming.search import search_stream
+from .scratch import cut, scratch_dir
 
 K, DEGREE, EF, CHUNKS, PIVOTS, NAV, DIGITS = 10, 12, 20, 16, 32, 32, 6
 ENTRY = 1
@@ -375,3 +381,55 @@ def stripe_skew(spark, sf_dir):
     near = graph.knn_graph(corpus(spark, sf_dir), DEGREE)
     page, _ = graph.page_layout(F.col("dst"), 64 * 4 + 4 + 4 * DEGREE)
     return graph.stripe_skew(near.select(page.alias("page")), 4).withColumn("share", F.round("share", DIGITS))
+
+
+def _folder(spark) -> str:
+    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def _paged(spark, sf_dir) -> list[str]:
+    """All vectors, with the edges of the corpus, as a paged index in two stripes."""
+    near = graph.adjacency(edges(spark, sf_dir))
+    nodes = embeddings(spark, sf_dir).select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector")).join(near, "node", "left")
+    return files.write_index(nodes, f"{_folder(spark)}/index", DEGREE, ENTRY, stripes=2)
+
+
+@query
+def index_file_scan(spark, sf_dir):
+    """Written as a paged index and read again."""
+    nodes = files.read_index(spark, _paged(spark, sf_dir))
+    return nodes.select("node", F.size("nbrs").alias("degree"), F.aggregate("nbrs", F.lit(0).cast("bigint"), lambda t, n: t + n).alias("nbr_sum"), r6(D.vec_sum(D.cast_vector(F.col("vector"))), "total"))
+
+
+@query
+def index_node_read(spark, sf_dir):
+    """Single nodes of a paged index, each from its page; ids that are not there give no row."""
+    asked = spark.createDataFrame([(1,), (7,), (49,), (10**9,)], "node bigint")
+    nodes = files.read_nodes(asked, _paged(spark, sf_dir))
+    return nodes.select("node", F.posexplode("nbrs").alias("pos", "nbr"))
+
+
+@query
+def vector_file_scan(spark, sf_dir):
+    """Written as an fvecs file and read again from its tenth row on."""
+    rows = embeddings(spark, sf_dir).select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vector")).coalesce(1)
+    (written,) = vecs.write_vectors(rows, _folder(spark), "fvecs").collect()
+    return vecs.read_vectors(spark, written.file, "fvecs", first=10).select("pos", r6(D.vec_sum(D.cast_vector(F.col("vector"))), "total"))
+
+
+@query
+def index_search(spark, sf_dir):
+    """Beam search by exact distances over an index that is built, saved and loaded."""
+    index = VectorIndex.build(corpus(spark, sf_dir), DEGREE, nav=NAV).save(_folder(spark))
+    return rounded(index.search(held_out(spark, sf_dir), K, EF))
+
+
+@query
+def stream_knn(spark, sf_dir):
+    """The held-out queries as a stream, answered exactly, micro-batch by micro-batch."""
+    folder, asked = _folder(spark), held_out(spark, sf_dir)
+    asked.repartition(2).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    index = VectorIndex(corpus(spark, sf_dir), edges(spark, sf_dir), ENTRY)
+    search_stream(stream, index, K, EF, f"{folder}/out", f"{folder}/log", "exact").awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/out").select("qid", "rk", "vec_id", "dist"))
