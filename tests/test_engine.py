@@ -49,13 +49,15 @@ def test_quantisation_round_trip(points):
 
 
 def test_beam_forms_agree_and_reach_all(spark, sf_dir):
-    rows, asked = corpus(spark, sf_dir).filter("vec_id < 150"), held_out(spark, sf_dir).limit(4)
+    rows, asked = corpus(spark, sf_dir).filter("vec_id < 150"), held_out(spark, sf_dir).filter("qid < 100")
     model, edges = pq.model_from_rows(rows, 16, 16), graph.knn_graph(rows, 8)
     codes, entries = pq.encode(rows, model), asked.select("qid", F.lit(1).cast("bigint").alias("entry"))
     loop = beam.beam_search(pq.lookup_tables(asked, model), entries, beam.search_graph(edges, rows, codes), 12, 5)
     batch = beam.beam_search_batch(asked, model, 1, edges, rows, codes, 12, 5)
     key = lambda df: sorted((r.qid, r.rk, r.vec_id, round(r.dist, 8), r.n_expanded) for r in df.collect())
     assert key(loop) == key(batch)
+    scanned = beam.beam_search(pq.lookup_tables(asked.filter("qid < 50"), model), entries, beam.search_graph(edges, rows, codes), 5, 5, small=0)
+    assert key(scanned) == key(beam.beam_search_batch(asked.filter("qid < 50"), model, 1, edges, rows, codes, 5, 5))
     wide = beam.beam_search_batch(asked, model, 1, edges, rows, codes, 200, 5)
     if graph.bfs_hops(edges, 1, 30).count() == rows.count():
         assert knn.recall(wide, knn.exact_knn(asked, rows, 5), 5).first().recall == 1.0

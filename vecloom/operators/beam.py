@@ -24,6 +24,10 @@ from .knn import query_blocks, top_k
 from .pq import PQModel
 
 DIGITS = 9
+#: Queries whose current nodes (two numbers each) are broadcast, at most.
+FRONTIER_ROWS = 500_000
+#: Nodes of a graph that rounds may join as it is, and the rounds between two tables of their state then.
+SMALL_GRAPH, ROUNDS = 50_000, 4
 #: Vectors that one task of the batch form holds, at most.
 SHARD_ROWS = 200_000
 _BEAM = "array<struct<d:double,id:bigint>>"
@@ -47,9 +51,19 @@ def merge_beam(beam, fresh, ef: int):
     return F.slice(F.array_sort(F.array_distinct(F.concat(beam, fresh))), 1, ef)
 
 
-def beam_round(state: DataFrame, graph: DataFrame, ef: int, k: int) -> DataFrame:
-    """Expand node u of every state row (qid, qv, lut, beam, vis, result, u)."""
-    joined = state.join(graph, state["u"] == graph["node"], "left")
+def beam_round(state: DataFrame, graph: DataFrame, ef: int, k: int, scan: bool = False) -> DataFrame:
+    """Expand node u of every state row (qid, qv, lut, beam, vis, result, u).
+
+    State and graph are joined as they are, or, for ``scan``, only (qid, u) of not more than FRONTIER_ROWS
+    queries meets the graph: that is broadcast, so that the graph is scanned but not shuffled, and the
+    records found, one a query at most, then join the wider state.
+    """
+    if scan:
+        frontier = state.filter(F.col("u").isNotNull()).select(F.col("qid").alias("at_qid"), F.col("u").alias("at"))
+        found = graph.join(F.broadcast(frontier), F.col("node") == F.col("at")).drop("at")
+        joined = state.join(found, state["qid"] == found["at_qid"], "left").drop("at_qid")
+    else:
+        joined = state.join(graph, state["u"] == graph["node"], "left")
     there = F.col("node").isNotNull()
     exact = F.struct(F.round(l2(F.col("qv"), F.col("v")), DIGITS).alias("d"), F.col("u").alias("id"))
     open_nb = F.filter("nb", lambda n: ~F.array_contains(F.col("vis"), n["id"]))
@@ -71,15 +85,19 @@ def start_state(tables: DataFrame, entries: DataFrame) -> DataFrame:
         "qid", "qv", "lut", F.expr(f"cast(array() as {_BEAM})").alias("beam"), F.array("entry").alias("vis"), F.expr(f"cast(array() as {_BEAM})").alias("result"), F.col("entry").alias("u"))
 
 
-def beam_search(tables: DataFrame, entries: DataFrame, graph: DataFrame, ef: int, k: int, every: int = 4) -> DataFrame:
-    """qid, rk, vec_id, dist, n_expanded by the fixpoint form; state goes to a table every few rounds."""
+def beam_search(tables: DataFrame, entries: DataFrame, graph: DataFrame, ef: int, k: int, small: int = SMALL_GRAPH) -> DataFrame:
+    """qid, rk, vec_id, dist, n_expanded by the fixpoint form.
+
+    State goes to a table every few rounds; over a graph of more than ``small`` nodes every round, as a
+    round that scans reads the state twice. Both ways give the same rows.
+    """
     if ef < k:
         raise ValueError("ef must be at least k")
-    graph = cut(graph)
-    state = cut(start_state(tables, entries))
+    graph, state = cut(graph), cut(start_state(tables, entries))
+    scan = graph.count() > small and state.count() <= FRONTIER_ROWS
     while state.filter(F.col("u").isNotNull()).take(1):
-        for _ in range(every):
-            state = beam_round(state, graph, ef, k)
+        for _ in range(1 if scan else ROUNDS):
+            state = beam_round(state, graph, ef, k, scan)
         state = cut(state)
     found = state.select("qid", F.size("vis").alias("n_expanded"), F.posexplode("result").alias("pos", "r"))
     return found.select("qid", (F.col("pos") + 1).cast("bigint").alias("rk"), F.col("r.id").alias("vec_id"), F.col("r.d").alias("dist"), F.col("n_expanded").cast("bigint").alias("n_expanded"))
