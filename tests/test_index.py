@@ -44,6 +44,17 @@ def test_shards_merge(points):
     assert beam.shard_count(df, 100) == 3
 
 
+def test_large_indexes_of_one_shard_are_searched_in_the_loop(points, monkeypatch):
+    _, df, asked = points
+    index, taken = VectorIndex(df, df.select(F.col("vec_id").alias("src"), F.col("vec_id").alias("dst")), 0), []
+    monkeypatch.setattr(beam, "beam_search", lambda *a: taken.append("loop"))
+    monkeypatch.setattr(beam, "beam_search_batch", lambda *a: taken.append("batch"))
+    index.search(asked, 5, 5)
+    monkeypatch.setattr(beam, "shard_count", lambda corpus: 2)
+    index.search(asked, 5, 5)
+    assert taken == ["batch", "loop"]
+
+
 def test_pruning_in_blocks_is_pruning_at_once(points, monkeypatch):
     m, _, _ = points
     whole = graph.prune(np.arange(300), m.astype(float), 6, 1.2)

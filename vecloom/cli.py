@@ -142,7 +142,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--pq_data", help="prefix of the quantisation files")
     p.add_argument("--nav_graph", help="folder of the navigation files")
     p.add_argument("-R", "--repeat", type=int, default=20)
-    p.add_argument("--mode", choices=MODES, default="batch")
+    p.add_argument("--mode", choices=MODES, help="by the size of the index, unless given")
     p.add_argument("--output", help="folder for the ids found")
     command(recall, "compare ids found with the truth", "result", "ground_truth").add_argument("--topk", type=int, required=True)
     command(sample, "sample vectors and write their ids", "vectors", "out").add_argument("--n", type=int, required=True)

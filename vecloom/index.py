@@ -99,12 +99,14 @@ class VectorIndex:
             return queries.select("qid", F.lit(self.medoid).cast("bigint").alias("entry"))
         return beam.nav_entry(queries, self.nav, self.corpus).select("qid", "entry")
 
-    def search(self, queries: DataFrame, k: int, ef: int, mode: str = "batch") -> DataFrame:
+    def search(self, queries: DataFrame, k: int, ef: int, mode: str | None = None) -> DataFrame:
         """qid, rk, vec_id, dist, n_expanded of queries (qid, qv), qid being unique.
 
         ``batch`` searches each shard in a task, ``loop`` advances all queries a step at a time over the
-        whole graph, ``exact`` looks at every vector (n_expanded is null then).
+        whole graph, ``exact`` looks at every vector (n_expanded is null then). Without a mode it is
+        ``batch`` if the index's shards are small enough for a task, else ``loop``.
         """
+        mode = mode or ("batch" if beam.shard_count(self.corpus) <= self.shards else "loop")
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
         queries = queries.select("qid", cast_vector(F.col("qv")).alias("qv"))

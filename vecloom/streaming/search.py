@@ -9,7 +9,7 @@ from ..index import VectorIndex
 from ..plans.scratch import cut
 
 
-def search_stream(queries: DataFrame, index: VectorIndex, k: int, ef: int, out: str, checkpoint: str, mode: str = "batch", **trigger) -> StreamingQuery:
+def search_stream(queries: DataFrame, index: VectorIndex, k: int, ef: int, out: str, checkpoint: str, mode: str | None = None, **trigger) -> StreamingQuery:
     """Answer streaming queries (qid, qv) into Parquet under ``out``, a folder ``batch=n`` a micro-batch.
 
     A micro-batch that is run again after a failure overwrites its own folder, so every query is answered
