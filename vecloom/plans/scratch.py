@@ -12,7 +12,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a local session without it gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="vecloom-")
         spark.conf.set("spark.checkpoint.dir", root)
