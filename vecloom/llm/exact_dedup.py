@@ -1,14 +1,15 @@
 """Exact dedup by a tree-merge of sorted digest runs. Native: DataFrame functions only.
 
 Every input partition is a run: its rows' digests, aggregated to one entry a digest. Runs then merge
-in rounds, ``fan_in`` of them at a time (a binomial tree of radix ``fan_in``): the entries of partner
-runs meet by (merged run, digest), Spark sorts them and one pass over the sorted streams keeps the
-smallest identifier and adds up the counts. Every level compares entries by SHA-256, length and an
+in rounds, ``fan_in`` of them at a time (a binomial tree of radix ``fan_in``, which follows from the
+number of partitions and the rounds): the entries of partner runs meet by (merged run, digest), Spark
+sorts them and one pass over the sorted streams keeps the smallest identifier and adds up the counts. Every level compares entries by SHA-256, length and an
 independent 64-bit checksum together, so an identifier only wins over texts that all three verify.
 
 A text that a third of all rows share is one entry a run and at most ``fan_in`` entries a merge. The
 winners travel back only for groups of two rows or more: first to the run entries, then from each
-run's entry to its own rows, so that the rows of a hot group stay spread over the runs.
+run's entry to its own rows, so that the rows of a hot group stay spread over as many keys as the
+input has partitions.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from ._common import SPACES, cut, drop_rows, with_row_key
 DIGEST = ("sha", "chars", "sum64")
 
 
-def digest_runs(df: DataFrame, key: str, id_col: str, text_col: str, n_runs: int) -> DataFrame:
+def digest_runs(df: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
     """One row a document: its run, digest columns, identifier and row key."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
     return df.select(F.col(key).alias("row"), F.col(id_col).cast("bigint").alias("id"), text.alias("t")).select(
         "row",
         "id",
-        F.pmod(F.spark_partition_id(), F.lit(n_runs)).alias("run"),
+        F.spark_partition_id().alias("run"),
         F.sha2("t", 256).alias("sha"),
         F.length("t").alias("chars"),
         F.xxhash64("t").alias("sum64"),
@@ -40,7 +41,7 @@ def merge_round(runs: DataFrame, fan_in: int) -> DataFrame:
     return runs.groupBy(up, *DIGEST).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16, rounds: int = 2) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """One row per row of df: row (its key), id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after every run of white space becomes one space; a null text is
@@ -48,12 +49,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     and of rows with the same id (repeated rows) one stays. keep_id is null only where a group has no
     id at all. An empty table gives an empty result; other columns are not read.
     """
-    return resolve(*with_row_key(df), id_col, text_col, fan_in, rounds)
+    return resolve(*with_row_key(df), id_col, text_col, rounds)
 
 
-def resolve(base: DataFrame, key: str, id_col: str, text_col: str, fan_in: int = 16, rounds: int = 2) -> DataFrame:
+def resolve(base: DataFrame, key: str, id_col: str, text_col: str, rounds: int = 2) -> DataFrame:
     """exact_dedup() of a table whose column key tells its rows apart."""
-    rows = cut(digest_runs(base, key, id_col, text_col, fan_in**rounds))
+    rows = cut(digest_runs(base, key, id_col, text_col))
+    n_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
+    fan_in = next(n for n in range(max(2, int(n_runs ** (1 / rounds))), n_runs + 2) if n**rounds >= n_runs)
     entry = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     runs = cut(rows.groupBy("run", *DIGEST).agg(F.min(entry).alias("best"), F.count("*").alias("n")))
     merged = runs
