@@ -36,7 +36,6 @@ LENGTH, CHECK_BITS = 23, 11
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints that share a key are joined with each other up to this many.
 JOINED = 16
-RUNS = 64
 SEED = 42
 #: Words hashed at a time: long texts need no more memory than this many.
 BLOCK = 1 << 16
@@ -117,7 +116,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(base: DataFrame, key: str, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """row, id, fp (a signed long), run."""
+    """row, id, fp (a signed long), run (the partition: a fingerprint that many rows have stays spread)."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = part.column(2).cast(pa.binary())
@@ -126,7 +125,7 @@ def fingerprints(base: DataFrame, key: str, id_col: str, text_col: str, shingle:
 
     rows = base.select(F.col(key).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(batches, "row struct<f:bigint,r:bigint>, id bigint, fp bigint")
-    return out.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(RUNS)))
+    return out.withColumn("run", F.spark_partition_id())
 
 
 def links(nodes: DataFrame) -> DataFrame:
