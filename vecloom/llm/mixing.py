@@ -86,7 +86,7 @@ def plan_mix(base: DataFrame, key: str, id_col: str = "doc_id", source_col: str
     rows = cut(base.select(
         F.col(key).alias("row"), F.col(id_col).cast("bigint").alias("id"), no_source.alias("no_source"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n_words(F.col(text_col)).alias("size"),
-    ).withColumn("place", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    ).withColumn("place", F.md5(F.coalesce(F.col("id").cast("string"), F.col("row").cast("string")))))
     digits = max(1, math.ceil(math.log(max(1, rows.count()) / ROWS_PER_BUCKET, 16)))
     rows = rows.withColumn("bucket", F.substring("place", 1, digits))
     of = ["no_source", "source"]
@@ -125,8 +125,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     Sources in code point order, null last, take weights and schedules in turn. They share ``share``
     times all words; none takes more than ``cap`` times its own. A document's pass that the demand
     cuts keeps its words up to there. Texts that are null or without a word take no place in the mix
-    and are left out; null ids sort as the empty text and repeated rows count one by one, by their
-    place in the input. An empty table gives an empty mixture. Columns pass through under any name.
+    and are left out; rows without an id are placed by their place in the input, which spreads them,
+    and repeated rows count one by one, in its order. An empty table gives an empty mixture. Columns pass through under any name.
     """
     base, key = with_row_key(df)
     plan = plan_mix(base, key, id_col, source_col, text_col, weights, schedules, share, cap)
