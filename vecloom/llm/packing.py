@@ -28,6 +28,8 @@ LENGTH = 2048
 END_ID = 1
 #: Stretches and words that a worker remembers before it starts anew.
 REMEMBERED = 400_000
+#: Longer ones are not remembered, so that what a worker holds is bounded in bytes too.
+SHORT = 64
 #: Characters of a text that are split at a time.
 BLOCK = 1 << 20
 
@@ -61,16 +63,19 @@ class Stretches(dict):
             found = b"".join([self.words.get(part) or self.word(part) for part in _PARTS.findall(stretch.lower())])
         else:
             found = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[stretch] = found
+        if len(stretch) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[stretch] = found
         return found
 
     def word(self, part: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(part.translate(self.latin))]
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        found = self.words[part] = np.array(ids, dtype="<u4").tobytes()
+        found = np.array(ids, dtype="<u4").tobytes()
+        if len(part) <= SHORT:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            self.words[part] = found
         return found
 
     def ids(self, text: str) -> bytes:
@@ -160,3 +165,11 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(batches, schema).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
     return out.sortWithinPartitions(F.desc("length"))
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Write pack()'s sequences under path/length=<n>: a bucket holds the sequences of one length.
+
+    Rows are not shuffled: within a partition they come in buckets, so a task has one file open at a time.
+    """
+    packed.write.partitionBy("length").parquet(path)
