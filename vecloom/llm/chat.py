@@ -1,10 +1,11 @@
 """Chat formatting of reply trees. Native: DataFrame functions only.
 
-Messages form trees by their parent. Iterative self-joins double the stretch of ancestors that every
-message knows: after n rounds each knows the 2^n nearest, so that a path of any length takes a
-logarithmic number of rounds, and a round joins only the messages whose root is still unknown. Only
-ids travel; scores add up along the way. Branches are ranked by
-score per tree, and the text is joined once, to the chosen paths.
+Messages form trees by their parent. Iterative self-joins double the hop that every message knows:
+after n rounds it knows its ancestor 2^n above, until the root is reached, so that a path of any length
+takes a logarithmic number of rounds, and a round joins only the messages whose root is still unknown.
+A message's state is a few numbers, never its whole path; scores add up along the way. Branches are
+ranked by score per tree. The hops, longest first, then lead from the chosen leaves to every message of
+their paths, and the text is joined once, to these.
 
 The template is ``<turn ROLE>TEXT</turn>`` and a line feed per message. Within role and text, ``&``,
 ``<`` and ``>`` become ``&amp;``, ``&lt;`` and ``&gt;``, so no text can hold a control string, and
@@ -32,29 +33,47 @@ def unescape(text: Column) -> Column:
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
-def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """The best root-to-leaf paths of each tree: root, rank, leaf, score, path (ids from the root on).
+def best_steps(messages: DataFrame, branches: int = 1) -> DataFrame:
+    """The messages of each tree's best paths: root, rank, leaf, score, pos (from the root, 0), id.
 
-    messages: id, parent, score. A message without a parent, or whose parent is not there, is a root.
-    Scores add up (null: 0); ties go to the smaller leaf. Messages on a circle of replies, or below
-    one, belong to no tree and to no path.
+    See best_paths(); here a path of any length is rows, not an array.
     """
     known = messages.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
     nodes = cut(messages.join(known, "parent", "left").select(
-        "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.array("id").alias("path"),
-        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
+        "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
+    nobody = F.lit(None).cast(nodes.schema["id"].dataType)
     replied = nodes.filter("up is not null").select(F.col("up").alias("id")).distinct()
-    closed, still_open, before = nodes.filter("up is null"), nodes.filter("up is not null"), None
+    closed = nodes.filter("up is null").select("id", F.col("id").alias("root"), "score", F.lit(0).alias("depth"))
+    still_open, before, hops = nodes.filter("up is not null"), None, []
     while (n_open := still_open.count()) and n_open != before:
-        known = closed.unionByName(still_open)
-        upper = known.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("score").alias("score2"))
+        far = 1 << len(hops)
+        hops.append(still_open.select("id", "up"))
+        upper = closed.select(F.col("id").alias("up"), nobody.alias("up2"), "root", F.col("score").alias("score2"), "depth").unionByName(
+            still_open.select(F.col("id").alias("up"), F.col("up").alias("up2"), nobody.alias("root"), F.col("score").alias("score2"), F.lit(None).cast("int").alias("depth")))
         further = cut(still_open.join(upper, "up").select(
-            "id", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"), (F.col("score2") + F.col("score")).alias("score")))
-        closed, still_open, before = closed.unionByName(further.filter("up is null")), further.filter("up is not null"), n_open
-    leaves = closed.join(replied, "id", "left_anti").withColumn("root", F.element_at("path", 1))
+            "id", F.col("up2").alias("up"), "root", (F.col("score2") + F.col("score")).alias("score"), (F.col("depth") + far).alias("depth")))
+        closed = closed.unionByName(further.filter("root is not null").drop("up"))
+        still_open, before = further.filter("root is null").select("id", "up", "score"), n_open
+    leaves = closed.join(replied, "id", "left_anti")
     order = Window.partitionBy("root").orderBy(F.desc("score"), "id")
-    return leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= branches).select(
-        "root", "rank", F.col("id").alias("leaf"), "score", "path")
+    best = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= branches)
+    steps = cut(best.select("root", "rank", F.col("id").alias("leaf"), "score", F.col("depth").alias("pos"), "id"))
+    for i in reversed(range(len(hops))):
+        above = steps.filter(F.col("pos") >= 1 << i).join(hops[i], "id")
+        above = above.select("root", "rank", "leaf", "score", (F.col("pos") - (1 << i)).alias("pos"), F.col("up").alias("id"))
+        steps = cut(steps.unionByName(above))
+    return steps
+
+
+def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
+    """The best root-to-leaf paths of each tree: root, rank, leaf, score, path (ids from the root on).
+
+    messages: id, parent, score. A message without a parent, or whose parent is not there, is a root.
+    Scores add up (null: 0); ties go to the smaller leaf. Messages on a circle of replies, or below
+    one, belong to no tree and to no path.
+    """
+    steps = best_steps(messages, branches).groupBy("root", "rank", "leaf", "score")
+    return steps.agg(F.sort_array(F.collect_list(F.struct("pos", "id")))["id"].alias("path"))
 
 
 def format_paths(paths: DataFrame, messages: DataFrame, trained_roles=TRAINED_ROLES) -> DataFrame:
@@ -63,7 +82,11 @@ def format_paths(paths: DataFrame, messages: DataFrame, trained_roles=TRAINED_RO
     messages: id, role, text (nulls: empty). loss_spans has (start, end) in code points of formatted,
     end exclusive, for the text of every message whose role is trained.
     """
-    steps = paths.select("root", "rank", "leaf", "score", F.posexplode("path").alias("pos", "id"))
+    return format_steps(paths.select("root", "rank", "leaf", "score", F.posexplode("path").alias("pos", "id")), messages, trained_roles)
+
+
+def format_steps(steps: DataFrame, messages: DataFrame, trained_roles=TRAINED_ROLES) -> DataFrame:
+    """format_paths() of paths that are rows, as best_steps() gives them."""
     texts = messages.select("id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turn = steps.join(texts, "id").select(
         "root", "rank", "leaf", "score", "pos", F.col("role").isin(*trained_roles).alias("trained"),
@@ -101,7 +124,7 @@ def format_conversations(turns: DataFrame, trained_roles=TRAINED_ROLES, **column
     Null roles and texts are empty; an empty table gives an empty result; other columns are not read.
     """
     messages = cut(threads(turns, **columns))
-    done = format_paths(best_paths(messages.select("id", "parent", "score")), messages, trained_roles)
+    done = format_steps(best_steps(messages.select("id", "parent", "score")), messages, trained_roles)
     conv = F.when(~F.col("root.none"), F.col("root.conv"))
     return done.select(conv.alias("conv_id"), "formatted", "loss_spans")
 
