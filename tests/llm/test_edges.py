@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from vecloom.llm import chat, exact_dedup, license_scan, mixing, packing, pii, sharding, simhash, topk, toxicity
@@ -239,6 +240,50 @@ def test_reply_trees_rank_branches(spark):
     assert out == [(1, 1, 4, 10.0, [1, 2, 4]), (1, 2, 7, 7.0, [1, 3, 5, 6, 7]), (10, 1, 10, 2.0, [10])]
 
 
+def test_reply_trees_of_any_depth(spark):
+    chain = [(i, i - 1 if i else None, 1.0) for i in range(70)]
+    side = [(100 + i, 99 + i if i else 40, 0.5) for i in range(9)]
+    messages = spark.createDataFrame(chain + side, "id bigint, parent bigint, score double")
+    out = {r.leaf: (r["rank"], r.score, r.path) for r in chat.best_paths(messages, 2).collect()}
+    assert out == {69: (1, 70.0, list(range(70))), 108: (2, 45.5, [*range(41), *range(100, 109)])}
+
+
+def test_exact_dedup_over_many_partitions(spark):
+    rows = [(i, f"text {i % 7}" if i % 3 else "hot") for i in range(120)]
+    want = {}
+    for i, text in rows:
+        want.setdefault(text, []).append(i)
+    for n in (1, 2, 23):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n)
+        got = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect()}
+        assert got == {i: (min(want[t]), len(want[t]), i == min(want[t])) for i, t in rows}
+
+
+def test_mix_spreads_rows_without_an_id(spark):
+    rows = [(None, "a", "one two three")] * 40 + [(i, "b", "four five") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    plan = mixing.plan_mix(*mixing.with_row_key(df)).collect()
+    by_source = {}
+    for r in plan:
+        by_source.setdefault(r.source_size, []).append(r)
+    assert sorted(by_source) == [80, 120]
+    for some in by_source.values():
+        assert sum(r.taken for r in some) == round(some[0].target) and all(r.taken <= 2 * r.size for r in some)
+
+
+def test_packing_forgets_long_stretches_and_writes_buckets(spark, tmp_path):
+    known = packing.worker(TOKENIZER)
+    long = "xyz" * 400
+    want = known.tokenizer.encode(long, add_special_tokens=False).ids
+    assert list(np.frombuffer(known.ids(long), dtype="<u4")) == want and long not in known
+    packed = packing.pack(spark.createDataFrame([(1, long), (2, None)], "doc_id bigint, text string"), TOKENIZER)
+    packing.write_buckets(packed, str(tmp_path / "buckets"))
+    read = spark.read.parquet(str(tmp_path / "buckets"))
+    assert read.filter("length != size(ids)").count() == 0
+    got = [i for r in read.filter("doc_id = 1").orderBy("start").collect() for i in r.ids]
+    assert got == [*want, packing.END_ID]
+
+
 def test_top_k(spark):
     rows = [(0, [1.0, 0.5], 1), (50, [0.5, 1.0], 2), (1, [1.0, 1.0], 3), (2, [1.0, 1.0], 4), (3, None, 5), (4, [float("nan"), 1.0], 6), (5, [None, 1.0], 7), (6, [2.0], 8), (None, [9.0, 9.0], 9), (7, [-3.0, -3.0], 1), (8, [], 2), (2, [1.0, 1.0], 5)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score int")
