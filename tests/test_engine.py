@@ -32,6 +32,20 @@ def test_exact_knn(points, metric):
         assert [got[q, r] for r in range(1, 8)] == want
 
 
+@pytest.mark.parametrize("metric", knn.METRICS)
+def test_exact_knn_with_many_copies_of_a_vector(spark, metric):
+    m = np.random.default_rng(3).normal(size=(900, 10))
+    m[::3] = m[0]
+    m[1::9] = m[0] * (1 + 1e-16) + 0.0
+    df = spark.createDataFrame([(899 - i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id bigint, v array<double>").coalesce(1)
+    asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate((m[0], m[2], m[0] * 0.5))], "qid bigint, qv array<double>")
+    got = {(r.qid, r.rk): r.vec_id for r in knn.exact_knn(asked, df, 10, metric).collect()}
+    for q, v in enumerate((m[0], m[2], m[0] * 0.5)):
+        near = ((m - v) ** 2).sum(1) if metric == "l2" else -(m * v).sum(1) if metric == "dot" else 1 - (m * v).sum(1) / (np.sqrt((v * v).sum()) * np.sqrt((m * m).sum(1)) + 1e-6)
+        want = sorted(range(900), key=lambda i: (near[i], 899 - i))[:10]
+        assert [got[q, r] for r in range(1, 11)] == [899 - i for i in want]
+
+
 def test_few_rows_and_no_queries(points):
     _, df = points
     asked = df.filter("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
