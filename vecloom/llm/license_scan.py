@@ -7,9 +7,9 @@ and of everyday sentences that speak of licences. Temperature scaling on rows th
 see calibrates the probabilities. A paragraph has a licence if a family is likely enough and if it
 then holds enough of the word n-grams of one of that family's templates.
 
-The scan explodes every paragraph of every whole text into the hashes of its n-grams, joins them with
+The scan explodes every line and every paragraph of several lines of every whole text into the hashes of its n-grams, joins them with
 the model (a broadcast: its size is that of the templates) and adds up the weights per paragraph; the
-partial sums of a partition come before the shuffle, and paragraphs without any known n-gram end there.
+partial sums of a partition come before the shuffle, and those without any known n-gram end there.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import with_row_key
@@ -76,6 +76,9 @@ EVERYDAY = (
 MIN_PROBABILITY, MIN_SIMILARITY = 0.5, 0.6
 VARIANTS, SEED = 24, 7
 WORDS_RE = "[^a-z0-9\u0080-￿]+"
+#: From the end of a line over lines without words; comment marks made of letters.
+BLANK_RE = "\n[^a-z0-9\u0080-￿]*\n"
+COMMENT_RE = "(?m)^[\x20\t]*+(?:rem|dnl)(?![^\x20\t\n])"
 
 
 def words_of(text: str) -> list[str]:
@@ -175,40 +178,50 @@ def model_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def scan_paragraphs(base: DataFrame, key: str, text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """row, paragraph, family, probability, similarity of every paragraph that has a licence.
+    """row, paragraph, line, family, probability, similarity of every paragraph or line that has a licence.
 
-    Paragraphs are lines, counted from 0. similarity is the share of the template's n-grams that the
-    paragraph has, for the nearest template of the family.
+    Paragraphs lie between lines without words (blank, or comment marks only) and are counted from 0,
+    as are the lines of each. A paragraph of several lines is classified line by line and as a whole,
+    its lines joined, as licence texts are wrapped; as a whole it is line -1, and left out if one of
+    its lines has that licence by itself. similarity is the share of the template's n-grams that it
+    has, for the nearest template of the family.
     """
     model, spark = model or train(), base.sparkSession
     names = [f"w{i}" for i in range(len(model.families))]
-    lines = base.select(F.col(key).alias("row"), F.posexplode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "\n")).alias("paragraph", "line"))
-    words = F.filter(F.split("line", WORDS_RE), lambda w: w != "")
-    lines = lines.select("row", "paragraph", words.alias("w")).filter(F.size("w") > 1)
+    parts = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), COMMENT_RE, ""), BLANK_RE)
+    lines = base.select(F.col(key).alias("row"), F.posexplode(parts).alias("paragraph", "whole"))
+    lines = lines.select("row", "paragraph", F.split("whole", "\n").alias("lines"))
+    whole = F.when(F.size("lines") > 1, F.array(F.array_join("lines", " "))).otherwise(F.array().cast("array<string>"))
+    lines = lines.select("row", "paragraph", F.posexplode(F.concat(whole, "lines")).alias("line", "text"), F.size(whole).alias("first"))
+    lines = lines.select("row", "paragraph", (F.col("line") - F.col("first")).alias("line"), "text")
+    words = F.filter(F.split("text", WORDS_RE), lambda w: w != "")
+    lines = lines.select("row", "paragraph", "line", words.alias("w")).filter(F.size("w") > 1)
     pairs = "transform(sequence(0, size(w) - 2), i -> xxhash64(w[i], w[i + 1]))"
     triples = "if(size(w) > 2, transform(sequence(0, greatest(size(w) - 3, 0)), i -> xxhash64(w[i], w[i + 1], try_element_at(w, i + 3))), array())"
-    grams = lines.select("row", "paragraph", F.explode(F.expr(f"array_distinct(concat({pairs}, {triples}))")).alias("gram"))
+    grams = lines.select("row", "paragraph", "line", F.explode(F.expr(f"array_distinct(concat({pairs}, {triples}))")).alias("gram"))
     known = grams.join(F.broadcast(model_table(spark, model)), "gram")
-    sums = known.groupBy("row", "paragraph").agg(*[F.sum(n).alias(n) for n in names], F.collect_set("number").alias("numbers"))
+    sums = known.groupBy("row", "paragraph", "line").agg(*[F.sum(n).alias(n) for n in names], F.collect_set("number").alias("numbers"))
     z = [(F.col(n) + F.lit(b)) / F.lit(model.temperature) for n, b in zip(names, model.intercepts)]
     most = F.greatest(*z)
-    scored = sums.select("row", "paragraph", "numbers", F.array(*[F.exp(v - most) for v in z]).alias("e"))
+    scored = sums.select("row", "paragraph", "line", "numbers", F.array(*[F.exp(v - most) for v in z]).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
     best = F.array_position("e", F.array_max("e"))
-    scored = scored.select("row", "paragraph", "numbers", (F.array_max("e") / total).alias("probability"), F.element_at(F.array(*map(F.lit, model.families)), best.cast("int")).alias("family"))
+    scored = scored.select("row", "paragraph", "line", "numbers", (F.array_max("e") / total).alias("probability"), F.element_at(F.array(*map(F.lit, model.families)), best.cast("int")).alias("family"))
     scored = scored.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
     place = {g: i for i, g in enumerate(sorted(model.weights))}
     templates = [(family, sorted(place[g] for g in grams)) for family, grams in model.templates]
     compare = spark.createDataFrame(templates, "family string, grams array<int>")
     near = scored.join(F.broadcast(compare), "family").withColumn("similarity", F.size(F.array_intersect("numbers", "grams")) / F.size("grams"))
-    near = near.groupBy("row", "paragraph", "family", "probability").agg(F.max("similarity").alias("similarity"))
-    return near.filter(F.col("similarity") >= MIN_SIMILARITY)
+    near = near.groupBy("row", "paragraph", "line", "family", "probability").agg(F.max("similarity").alias("similarity"))
+    last = F.max("line").over(Window.partitionBy("row", "paragraph", "family"))
+    near = near.filter(F.col("similarity") >= MIN_SIMILARITY).withColumn("last", last)
+    return near.filter((F.col("line") >= 0) | (F.col("last") < 0)).drop("last")
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: row (its key), id, n_licenses, families, probability.
 
-    n_licenses counts the paragraphs with a licence, families lists theirs in order without repeats
+    n_licenses counts the lines with a licence and the paragraphs that have one only as a whole, families lists theirs in order without repeats
     (empty if none), probability is the least certain of them (null if none). A null or empty text has
     none; null ids and repeated rows are scanned like any other. An empty table gives an empty result;
     other columns are not read.
