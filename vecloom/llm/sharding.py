@@ -5,6 +5,10 @@ is a shorter prefix, and only a bucket whose documents exceed the byte limit spl
 The buckets are found bottom up in one aggregation: cells of ``depth`` bits are summed into all their
 prefixes, and each cell belongs to its shortest prefix that fits. Cells that are still too large are
 looked at again, deeper, with the rows of those cells only.
+
+The leading bits are those of the id's hash, the last ones those of the row's place in the input: rows
+with one id lie together as long as they fit and split like any others where they do not. Rows without
+an id have the bits of their place alone.
 """
 
 from __future__ import annotations
@@ -14,11 +18,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, with_row_key
+from ._common import cut, free_name, with_row_key
 
-#: Production limit of a shard's text, and the bits that a hash has.
+#: Production limit of a shard's text; readers that a table is to be dealt to, at least.
 SHARD_BYTES = 64 << 20
-BITS = 60
+READERS = 16
+#: Bits that a hash has, and how many of them, the last, tell rows with one id apart.
+BITS, ROW_BITS = 60, 16
 #: Bits that each look goes deeper than evenly filled buckets would need.
 SPARE_BITS = 3
 
@@ -28,6 +34,13 @@ def hash_bits(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value), 1, BITS // 4), 16, 10).cast("bigint")
 
 
+def row_bits(id_: Column, row: Column) -> Column:
+    """The bits of a row: its id's, then its place's; without an id its place's alone."""
+    place = hash_bits(row.cast("string"))
+    of_id = F.shiftleft(F.shiftright(hash_bits(id_.cast("string")), ROW_BITS), ROW_BITS)
+    return F.coalesce(of_id.bitwiseOR(F.shiftright(place, BITS - ROW_BITS)), place)
+
+
 def prefix(bits: Column, depth) -> Column:
     return F.shiftright(bits, F.lit(BITS) - depth) if not isinstance(depth, int) else F.shiftright(bits, BITS - depth)
 
@@ -35,38 +48,40 @@ def prefix(bits: Column, depth) -> Column:
 def directory(rows: DataFrame, shallow: int, depth: int, limit: int) -> DataFrame:
     """Cells of depth bits with the bucket each belongs to: cell, local_depth, bucket, bytes, docs.
 
-    Buckets have at least ``shallow`` bits. A cell that does not fit even at ``depth`` has a bucket
-    of its own, too large.
+    Buckets have at least ``shallow`` bits. One that holds a single row is not split, whatever its
+    size; a cell that does not fit even at ``depth`` has a bucket of its own, too large.
     """
     cells = rows.groupBy(prefix(F.col("bits"), depth).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("docs"))
     up = cells.select("*", F.explode(F.sequence(F.lit(shallow), F.lit(depth))).alias("local_depth"))
     up = up.withColumn("bucket", F.expr(f"shiftright(cell, {depth} - local_depth)"))
     sums = up.groupBy("local_depth", "bucket").agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
-    fits = sums.filter((F.col("bytes") <= limit) | (F.col("local_depth") == depth))
+    fits = sums.filter((F.col("bytes") <= limit) | (F.col("docs") == 1) | (F.col("local_depth") == depth))
     found = up.select("cell", "local_depth", "bucket").join(fits, ["local_depth", "bucket"])
     return found.groupBy("cell").agg(F.min(F.struct("local_depth", "bucket", "bytes", "docs")).alias("of")).select("cell", "of.*")
 
 
-def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
+def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES, readers: int = 1) -> DataFrame:
     """One row per row of df: row (its key), id, bytes, shard, local_depth, shard_bytes, shard_docs.
 
-    bytes is the text's length in UTF-8 (null: 0). shard is the bucket's bits as a string of 0 and 1,
-    empty if all fits into one shard. A null id hashes as the empty string. Rows with the same id have
-    the same bits: a shard can exceed the limit only if it holds a single id (a longer text than the
-    limit, or repeated rows). An empty table gives an empty result; other columns are not read.
+    bytes is the text's length in UTF-8 (null: 0). A shard holds at most ``limit`` bytes, and at most
+    its part of all bytes if they are dealt to so many readers. shard is the bucket's bits as a string
+    of 0 and 1, empty if all fits into one shard. Ids may be of any type. Rows with the same id lie in
+    one shard if they fit; those without an id are dealt by their place in the input. Only a single
+    row that is larger than the limit makes a shard larger than it. An empty table gives an empty
+    result; other columns are not read.
     """
     base, key = with_row_key(df)
-    return place(base, key, id_col, text_col, limit)
+    return place(base, key, id_col, text_col, limit, readers)
 
 
-def place(base: DataFrame, key: str, id_col: str, text_col: str, limit: int) -> DataFrame:
-    bits = hash_bits(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+def place(base: DataFrame, key: str, id_col: str, text_col: str, limit: int, readers: int = 1) -> DataFrame:
     rows = cut(base.select(
-        F.col(key).alias("row"), F.col(id_col).cast("bigint").alias("id"), bits.alias("bits"),
+        F.col(key).alias("row"), F.col(id_col).alias("id"), row_bits(F.col(id_col), F.col(key)).alias("bits"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("bytes")))
     total = rows.agg(F.sum("bytes")).first()[0] or 0
+    limit = min(limit, total // readers)
     shallow, done, out = 0, [], rows
-    depth = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + SPARE_BITS)
+    depth = min(BITS, max(1, math.ceil(math.log2(max(1, total / max(1, limit))))) + SPARE_BITS)
     while True:
         found = cut(directory(out, shallow, depth, limit))
         over = found.filter((F.col("bytes") > limit) & (F.col("docs") > 1))
@@ -84,8 +99,13 @@ def place(base: DataFrame, key: str, id_col: str, text_col: str, limit: int) ->
     return result.select("row", "id", "bytes", name.alias("shard"), "local_depth", "shard_bytes", F.col("docs").alias("shard_docs"))
 
 
-def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Write df's rows in one folder a shard, each by one task, under path/shard=<bits>."""
+def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES, readers: int = 1) -> None:
+    """Write df's rows in one folder a shard, each by one task, under path/shard=b<bits>.
+
+    Null ids, ties and repeated rows are placed as assign_shards() says and written like any other row.
+    An empty table writes no shard. With a column named shard the folders are called shard_=b<bits>.
+    """
     base, key = with_row_key(df)
-    shards = place(base, key, id_col, text_col, limit).select(F.col("row").alias(key), "shard")
-    base.join(shards, key).drop(key).repartitionByRange("shard").write.partitionBy("shard").parquet(path)
+    name = free_name(df, "shard")
+    shards = place(base, key, id_col, text_col, limit, readers).select(F.col("row").alias(key), F.concat(F.lit("b"), "shard").alias(name))
+    base.join(shards, key).drop(key).repartitionByRange(name).write.partitionBy(name).parquet(path)
