@@ -11,6 +11,10 @@ block of queries:
    one for each list it is missing from, and goes if that is below the bound, which rises meanwhile;
 3. the scores still open are resolved from the whole vectors, and the k highest remain.
 
+Equal vectors have equal scores, so the search is over classes of equal vectors, of which each holds
+only its smallest ids: a vector that a third of all rows share is one entry of a list. The ids come
+back at the end, to the k best classes of a query.
+
 Scores are integers and nothing is approximated. Queries go in blocks of at most ``QUERY_BLOCK``
 vectors, so that what is broadcast (the block and its cutoffs) does not grow with the data.
 """
@@ -32,17 +36,37 @@ ROWS = 1024
 LOWEST = np.iinfo(np.int64).min
 
 
-def integers(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """vec_id, v (floor(scale * x) of every component); one row an id.
+def vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    """id, v: floor(scale * x) of every component of the rows that take part.
 
-    Rows without an id and vectors that are null, empty or hold a null or non-finite component take no
-    part. Of rows with the same id the smallest vector counts.
+    Rows without an id and vectors that are null, empty or hold a null or non-finite component do not.
     """
     whole = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     vector = F.col(vector_col).cast("array<double>")
     ok = F.col(id_col).isNotNull() & vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(whole(x), F.lit(False)))
-    v = F.transform(vector, lambda x: F.floor(x * scale))
-    return df.filter(ok).select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return df.filter(ok).select(F.col(id_col).alias("id"), F.transform(vector, lambda x: F.floor(x * scale)).alias("v"))
+
+
+def ask(df: DataFrame, is_query: Column, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    """query (a number from 0), query_id, v: the query rows, one an id."""
+    ids = vectors(df.filter(is_query), id_col, vector_col, scale).groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("v"))
+    return cut(ids.select(F.monotonically_increasing_id().alias("query"), "query_id", "v"))
+
+
+def classes(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, scale: int, k: int) -> DataFrame:
+    """cls, v, members, own: one row a distinct vector.
+
+    members are the k + 1 smallest ids that have the vector, each with the number of its rows (k at
+    most): no query needs more of them. own is the query that the only id is, whose candidate the class
+    is not; -1 for all others.
+    """
+    rows = vectors(df, id_col, vector_col, scale).groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    few = rows.withColumn("place", place).filter(F.col("place") <= k + 1)
+    held = few.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("members"))
+    held = held.withColumn("sole", F.when(F.size("members") == 1, F.col("members")[0]["id"]))
+    owned = held.join(queries.select(F.col("query_id").alias("sole"), "query"), "sole", "left")
+    return cut(owned.select(F.monotonically_increasing_id().alias("cls"), "v", "members", F.coalesce("query", F.lit(-1)).alias("own")))
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,10 +91,10 @@ def by_width(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray
 
 
 class Block:
-    """A block of queries: ids, and the matrix of each width with its rows' places in ids."""
+    """A block of queries: their numbers, and the matrix of each width with its rows' places in them."""
 
     def __init__(self, rows: list) -> None:
-        self.ids = np.array([r.vec_id for r in rows], dtype=np.int64)
+        self.ids = np.array([r.query for r in rows], dtype=np.int64)
         widths = np.array([len(r.v) for r in rows])
         self.of = {int(w): (np.flatnonzero(widths == w), np.array([r.v for r in rows if len(r.v) == w], dtype=np.int64)) for w in np.unique(widths)}
 
@@ -90,16 +114,17 @@ def list_part(vector: Column, n_lists: int, which: int) -> Column:
 
 
 def list_scores(block: Block, n_lists: int, which: int, part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places of queries, vector ids, scores in the list), the query's own row at the lowest score."""
-    widths = part.column(2).to_numpy(zero_copy_only=False)
+    """(places of queries, classes, scores in the list), a query's own classes at the lowest score."""
+    widths = part.column(3).to_numpy(zero_copy_only=False)
     for width in np.unique(widths):
         mine = part.filter(pa.array(widths == width))
         places, queries = block.part(int(width), n_lists, which)
         if len(places):
-            for _, ids, rows in by_width(mine.column(0), mine.column(1)):
+            ids, own = mine.column(0).to_numpy(), mine.column(1).to_numpy()
+            for _, some, rows in by_width(pa.array(np.arange(len(ids))), mine.column(2)):
                 scores = dot(queries, rows)
-                scores[block.ids[places][:, None] == ids[None, :]] = LOWEST
-                yield places, ids, scores
+                scores[block.ids[places][:, None] == own[some][None, :]] = LOWEST
+                yield places, ids[some], scores
 
 
 def gather(block, n_lists: int, which: int, depth: int) -> Callable:
@@ -114,7 +139,7 @@ def gather(block, n_lists: int, which: int, depth: int) -> Callable:
                 top = np.argpartition(all_scores, -depth, axis=1)[:, -depth:]
                 best[places], who[places] = np.take_along_axis(all_scores, top, 1), np.take_along_axis(all_ids, top, 1)
         query, column = np.nonzero(best > LOWEST)
-        yield pa.RecordBatch.from_arrays([pa.array(b.ids[query]), pa.array(who[query, column]), pa.array(best[query, column])], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(b.ids[query]), pa.array(who[query, column]), pa.array(best[query, column])], ["query", "cls", "score"])
 
     return batches
 
@@ -126,13 +151,13 @@ def collect_from(block, cutoffs, n_lists: int, which: int) -> Callable:
         for part in parts:
             for places, ids, scores in list_scores(b, n_lists, which, part):
                 query, column = np.nonzero((scores >= least[places][:, None]) & (scores > LOWEST))
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids[places][query]), pa.array(ids[column]), pa.array(scores[query, column])], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(b.ids[places][query]), pa.array(ids[column]), pa.array(scores[query, column])], ["query", "cls", "score"])
 
     return batches
 
 
 def resolve(pairs: DataFrame, corpus: DataFrame, block) -> DataFrame:
-    """The full scores of pairs (query_id, vec_id)."""
+    """The full scores of pairs (query, cls)."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
         order = np.argsort(b.ids)
@@ -151,46 +176,60 @@ def resolve(pairs: DataFrame, corpus: DataFrame, block) -> DataFrame:
                     scores = np.einsum("ij,ij->i", left, matrix)
                 else:
                     scores = np.array([dot(x[None], y[None])[0, 0] for x, y in zip(left, matrix)], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(queries[rows]), pa.array(ids[rows]), pa.array(scores)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(queries[rows]), pa.array(ids[rows]), pa.array(scores)], ["query", "cls", "score"])
 
-    return pairs.join(corpus, "vec_id").select("query_id", "vec_id", "v").mapInArrow(batches, "query_id bigint, vec_id bigint, score bigint")
+    return pairs.join(corpus.select("cls", "v"), "cls").select("query", "cls", "v").mapInArrow(batches, "query bigint, cls bigint, score bigint")
 
 
-def highest(scores: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+def highest(scores: DataFrame, k: int, *ties: str, by: str = "query") -> DataFrame:
+    order = Window.partitionBy(by).orderBy(F.desc("score"), *ties)
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def search_block(corpus: DataFrame, rows: list, k: int, n_lists: int, depth: int) -> DataFrame:
-    """The k highest scores of a block of queries: query_id, rank, vec_id, score."""
+    """The classes that can hold the k highest scores of a block of queries: query, cls, score."""
     spark = corpus.sparkSession
-    schema, block = "query_id bigint, vec_id bigint, score bigint", spark.sparkContext.broadcast(Block(rows))
-    lists = [corpus.select("vec_id", list_part(F.col("v"), n_lists, j).alias("part"), F.size("v").alias("width")) for j in range(n_lists)]
+    schema, block = "query bigint, cls bigint, score bigint", spark.sparkContext.broadcast(Block(rows))
+    lists = [corpus.select("cls", "own", list_part(F.col("v"), n_lists, j).alias("part"), F.size("v").alias("width")) for j in range(n_lists)]
 
     local = None
     for j, entries in enumerate(lists):
-        found = highest(entries.mapInArrow(gather(block, n_lists, j, depth), schema), depth)
+        found = highest(entries.mapInArrow(gather(block, n_lists, j, depth), schema), depth, "cls")
         local = found if local is None else local.unionByName(found)
-    probed = cut(resolve(local.select("query_id", "vec_id").distinct(), corpus, block))
-    kth = highest(probed, k).groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
-    bound = {r.query_id: r.bound for r in kth.collect() if r.n == k}  # a row a query of the block
+    probed = cut(resolve(local.select("query", "cls").distinct(), corpus, block))
+    kth = highest(probed, k, "cls").groupBy("query").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
+    bound = {r["query"]: r.bound for r in kth.collect() if r.n == k}  # a row a query of the block
     places = block.value.ids
     cutoffs = np.array([-(-bound[q] // n_lists) if q in bound else LOWEST for q in places.tolist()], dtype=np.int64)
-    least = spark.createDataFrame([(q, int(c), bound.get(q)) for q, c in zip(places.tolist(), cutoffs.tolist())], "query_id bigint, cutoff bigint, bound bigint")
+    least = spark.createDataFrame([(q, int(c), bound.get(q)) for q, c in zip(places.tolist(), cutoffs.tolist())], "query bigint, cutoff bigint, bound bigint")
     shared = spark.sparkContext.broadcast(cutoffs)
 
     entries = None
     for j, some in enumerate(lists):
         found = some.mapInArrow(collect_from(block, shared, n_lists, j), schema)
         entries = found if entries is None else entries.unionByName(found)
-    sums = cut(entries.groupBy("query_id", "vec_id").agg(F.sum("score").alias("score"), F.count("*").cast("int").alias("lists")))
+    sums = cut(entries.groupBy("query", "cls").agg(F.sum("score").alias("score"), F.count("*").cast("int").alias("lists")))
     whole = sums.filter(F.col("lists") == n_lists).drop("lists")
-    kth = highest(whole, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    kth = highest(whole, k, "cls").filter(F.col("rank") == k).select("query", F.col("score").alias("kth"))
     limit = F.greatest(F.coalesce("bound", F.lit(LOWEST)), F.coalesce("kth", F.lit(LOWEST)))
-    rest = sums.filter(F.col("lists") < n_lists).join(F.broadcast(least), "query_id").join(F.broadcast(kth), "query_id", "left")
+    bounded = sums.join(F.broadcast(least), "query").join(F.broadcast(kth), "query", "left")
     most = F.when(F.col("bound").isNotNull(), F.col("score") + (F.lit(n_lists) - F.col("lists")) * (F.col("cutoff") - 1))
-    rest = rest.filter(most.isNull() | (most >= limit)).select("query_id", "vec_id")
-    return highest(whole.unionByName(resolve(rest, corpus, block)), k).select("query_id", "rank", "vec_id", "score")
+    rest = bounded.filter((F.col("lists") < n_lists) & (most.isNull() | (most >= limit))).select("query", "cls")
+    done = bounded.filter((F.col("lists") == n_lists) & (F.col("score") >= limit)).select("query", "cls", "score")
+    return done.unionByName(resolve(rest, corpus, block))
+
+
+def expand(found: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ids behind query, cls, score: query_id, rank, vec_id, score.
+
+    Of equally high classes those with the smaller first id come first, so k classes are enough.
+    """
+    own = queries.select("query", "query_id")
+    others = F.filter("members", lambda m: m["id"] != F.col("query_id"))
+    rows = found.join(own, "query").join(corpus.select("cls", "members"), "cls").select("query_id", "score", others.alias("members"))
+    best = highest(rows.withColumn("first", F.col("members")[0]["id"]), k, "first", by="query_id")
+    each = best.select("query_id", "score", F.explode("members").alias("m")).select("query_id", "score", F.col("m.id").alias("vec_id"), F.explode(F.expr("sequence(1, m.n)")))
+    return highest(each, k, "vec_id", by="query_id").select("query_id", "rank", "vec_id", "score")
 
 
 def exact_top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -198,22 +237,24 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     """The k highest inner products of each query row of df with all other rows.
 
     Result: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id, and a query with
-    fewer candidates returns them all. is_query is a condition on vec_id. Vectors are compared as
-    floor(scale * x), and only with vectors of the same width; see integers() for the rows that take
-    no part and for repeated ids. An empty table gives an empty result; other columns are not read.
+    fewer candidates returns them all. is_query is a condition on ``id_col``; ids may be of any type.
+    Vectors are compared as floor(scale * x), and only with vectors of the same width; see vectors()
+    for the rows that take no part. Repeated rows are candidates one by one, but rows with the query's
+    own id are none; a query id that several rows have asks with its smallest vector. An empty table
+    gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
-    corpus = cut(integers(df, id_col, vector_col, scale))
-    queries = corpus.filter(is_query).orderBy("vec_id")
-    results, rows = [], []
-    for row in queries.toLocalIterator():
+    queries = ask(df, is_query, id_col, vector_col, scale)
+    corpus = classes(df, queries, id_col, vector_col, scale, k)
+    found, rows = [], []
+    for row in queries.select("query", "v").orderBy("query").toLocalIterator():
         rows.append(row)
         if len(rows) == QUERY_BLOCK:
-            results.append(cut(search_block(corpus, rows, k, n_lists, max(k, depth))))
+            found.append(cut(search_block(corpus, rows, k, n_lists, max(k, depth))))
             rows = []
     if rows:
-        results.append(search_block(corpus, rows, k, n_lists, max(k, depth)))
-    out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    for more in results:
+        found.append(search_block(corpus, rows, k, n_lists, max(k, depth)))
+    out = spark.createDataFrame([], "query bigint, cls bigint, score bigint")
+    for more in found:
         out = out.unionByName(more)
-    return out
+    return expand(out, corpus, queries, k)
