@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, with_row_key
 
 OPEN, OPENED, CLOSE = "<turn ", ">", "</turn>\n"
 TRAINED_ROLES = ("assistant",)
@@ -33,11 +33,20 @@ def unescape(text: Column) -> Column:
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
-def best_steps(messages: DataFrame, branches: int = 1) -> DataFrame:
+def one_an_id(messages: DataFrame) -> DataFrame:
+    """id, parent, score, a row an id; see best_paths() for which of several it is."""
+    order = F.struct(F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"), F.col("parent").isNotNull().alias("p"), "parent")
+    best = messages.filter("id is not null").groupBy("id").agg(F.max(order).alias("m"))
+    return cut(best.select("id", "m.parent", F.col("m.s").alias("score")))
+
+
+def best_steps(messages: DataFrame, branches: int = 1, unique: bool = False) -> DataFrame:
     """The messages of each tree's best paths: root, rank, leaf, score, pos (from the root, 0), id.
 
-    See best_paths(); here a path of any length is rows, not an array.
+    See best_paths(); here a path of any length is rows, not an array. unique: no id is null or there twice.
     """
+    if not unique:
+        messages = one_an_id(messages)
     known = messages.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
     nodes = cut(messages.join(known, "parent", "left").select(
         "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
@@ -70,7 +79,9 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
     messages: id, parent, score. A message without a parent, or whose parent is not there, is a root.
     Scores add up (null: 0); ties go to the smaller leaf. Messages on a circle of replies, or below
-    one, belong to no tree and to no path.
+    one, belong to no tree and to no path, nor does a message without an id. Of rows with the same id
+    one is taken: the highest score, then one with a parent, then the largest parent. An empty table
+    has no paths; other columns are not read.
     """
     steps = best_steps(messages, branches).groupBy("root", "rank", "leaf", "score")
     return steps.agg(F.sort_array(F.collect_list(F.struct("pos", "id")))["id"].alias("path"))
@@ -79,15 +90,17 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 def format_paths(paths: DataFrame, messages: DataFrame, trained_roles=TRAINED_ROLES) -> DataFrame:
     """Each chosen path as one conversation: root, rank, leaf, score, formatted, loss_spans.
 
-    messages: id, role, text (nulls: empty). loss_spans has (start, end) in code points of formatted,
+    messages: id, role, text (nulls: empty; of rows with the same id the first by role and text, nulls
+    first). loss_spans has (start, end) in code points of formatted,
     end exclusive, for the text of every message whose role is trained.
     """
     return format_steps(paths.select("root", "rank", "leaf", "score", F.posexplode("path").alias("pos", "id")), messages, trained_roles)
 
 
-def format_steps(steps: DataFrame, messages: DataFrame, trained_roles=TRAINED_ROLES) -> DataFrame:
-    """format_paths() of paths that are rows, as best_steps() gives them."""
+def format_steps(steps: DataFrame, messages: DataFrame, trained_roles=TRAINED_ROLES, unique: bool = False) -> DataFrame:
+    """format_paths() of paths that are rows, as best_steps() gives them; unique: no id is there twice."""
     texts = messages.select("id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts if unique else texts.groupBy("id").agg(F.min(F.struct("role", "text")).alias("m")).select("id", "m.*")
     turn = steps.join(texts, "id").select(
         "root", "rank", "leaf", "score", "pos", F.col("role").isin(*trained_roles).alias("trained"),
         F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(OPENED)).alias("head"), escape(F.col("text")).alias("body"))
@@ -107,26 +120,27 @@ def format_steps(steps: DataFrame, messages: DataFrame, trained_roles=TRAINED_RO
 def threads(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Plain conversations as reply trees: every row answers the one before it.
 
-    Rows go by turn, then role, then text, nulls first; rows without a conversation id form one
-    conversation. id and parent are (conversation is null, conversation, position).
+    Rows go by turn, then role, then text, nulls first, and repeated ones stay. A row without a
+    conversation id is a conversation of its own. id and parent are (row of such a one, conversation,
+    position).
     """
-    order = Window.partitionBy(conv_col).orderBy(turn_col, role_col, text_col)
-    numbered = turns.withColumn("_n", F.row_number().over(order))
-    node = lambda n: F.struct(F.col(conv_col).isNull().alias("none"), F.coalesce(F.col(conv_col).cast("bigint"), F.lit(0)).alias("conv"), n.alias("n"))
+    base, key = with_row_key(turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")))
+    lone = F.when(F.col("conv").isNull(), F.col(key))
+    numbered = base.withColumn("lone", lone).withColumn("n", F.row_number().over(Window.partitionBy("lone", "conv").orderBy("turn", "role", "text")))
+    node = lambda n: F.struct("lone", "conv", n.alias("n"))
     return numbered.select(
-        node(F.col("_n")).alias("id"), F.when(F.col("_n") > 1, node(F.col("_n") - 1)).alias("parent"),
-        F.lit(0.0).alias("score"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+        node(F.col("n")).alias("id"), F.when(F.col("n") > 1, node(F.col("n") - 1)).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
 def format_conversations(turns: DataFrame, trained_roles=TRAINED_ROLES, **columns: str) -> DataFrame:
     """Conversations formatted: conv_id, formatted, loss_spans, one row each.
 
-    Null roles and texts are empty; an empty table gives an empty result; other columns are not read.
+    Null roles and texts are empty; rows without a conversation id are conversations of one turn; ids
+    may be of any type that sorts. An empty table gives an empty result; other columns are not read.
     """
     messages = cut(threads(turns, **columns))
-    done = format_steps(best_steps(messages.select("id", "parent", "score")), messages, trained_roles)
-    conv = F.when(~F.col("root.none"), F.col("root.conv"))
-    return done.select(conv.alias("conv_id"), "formatted", "loss_spans")
+    done = format_steps(best_steps(messages.select("id", "parent", "score"), unique=True), messages, trained_roles, unique=True)
+    return done.select(F.col("root.conv").alias("conv_id"), "formatted", "loss_spans")
 
 
 def read_back(formatted: Column) -> Column:
