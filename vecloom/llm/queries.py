@@ -59,7 +59,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.assign_shards(documents(spark, sf_dir))
+    out = sharding.assign_shards(documents(spark, sf_dir), readers=sharding.READERS)
     return out.select(F.col("id").alias("doc_id"), "bytes", "shard", F.col("local_depth").cast("int").alias("local_depth"), "shard_bytes", "shard_docs")
 
 
@@ -73,8 +73,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.array(*map(F.lit, pii.KINDS))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] < 4)
-    counts = [F.size(F.filter(F.col("spans.kind"), F.lit(k).eqNullSafe)).cast("bigint").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
-    return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    counts = [F.size(F.filter(F.col("spans.kind"), F.lit(k).eqNullSafe)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return out.select(F.col("id").alias("doc_id"), *counts[:4], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *counts[4:])
 
 
 QUERIES = {f.__name__: f for f in (
@@ -126,9 +126,10 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+  FROM a q JOIN v c ON c.vec_id <> q.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op6_exact_dedup": r"""
@@ -137,24 +138,25 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY t)""",
     "op7_chat_format": r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, NULL, 1, 'assistant', '\### Assistant: </turn> ok'),
 e AS (
   SELECT *, length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))
           + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + 15 AS n FROM t),
 g AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
     coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '') AS loss, CAST(sum(n) AS BIGINT) AS formatted_chars
-  FROM e GROUP BY conv_id)
+  FROM e GROUP BY conv_id, lone)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
     "op8_shard": f"""
 WITH d AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS bits FROM documents),
+m AS (SELECT least({sharding.SHARD_BYTES}, CAST(floor(sum(bytes) / {sharding.READERS}) AS BIGINT)) AS most FROM d),
 p AS (SELECT doc_id, CAST(l AS INTEGER) AS local_depth, bits >> (60 - l) AS bucket, bytes FROM d, range(0, 21) r(l)),
 s AS (SELECT local_depth, bucket, CAST(sum(bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs FROM p GROUP BY 1, 2),
 b AS (
   SELECT p.doc_id, p.bytes, p.local_depth, p.bucket, s.shard_bytes, s.shard_docs, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.local_depth) AS n
-  FROM p JOIN s ON p.local_depth = s.local_depth AND p.bucket = s.bucket WHERE s.shard_bytes <= {sharding.SHARD_BYTES})
+  FROM p JOIN s ON p.local_depth = s.local_depth AND p.bucket = s.bucket, m WHERE s.shard_bytes <= m.most OR s.shard_docs = 1)
 SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, CASE WHEN local_depth = 0 THEN '' ELSE lpad(format('{{:b}}', bucket), local_depth, '0') END AS shard, local_depth, shard_bytes, shard_docs
 FROM b WHERE n = 1""",
 }
