@@ -76,15 +76,16 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
 
 
 def plan_mix(base: DataFrame, key: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-             weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+             weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, share: float = 1.5, cap: float = 2.0, whole: bool = False) -> DataFrame:
     """One row a document: row, id, size, source_size, target, taken, takes.
 
-    takes lists the passes over the document: (pass, position, words). The last one that a source's
-    demand reaches may end within the document; taken adds them up. See mix().
+    takes lists the passes over the document: (pass, position, words); taken adds them up. The last one
+    that a source's demand reaches ends within the document, or, with ``whole``, takes all of it or
+    nothing, whichever is nearer to the demand. Ids may be of any type. See mix().
     """
     no_source = F.col(source_col).isNull()
     rows = cut(base.select(
-        F.col(key).alias("row"), F.col(id_col).cast("bigint").alias("id"), no_source.alias("no_source"),
+        F.col(key).alias("row"), F.col(id_col).alias("id"), no_source.alias("no_source"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n_words(F.col(text_col)).alias("size"),
     ).withColumn("place", F.md5(F.coalesce(F.col("id").cast("string"), F.col("row").cast("string")))))
     digits = max(1, math.ceil(math.log(max(1, rows.count()) / ROWS_PER_BUCKET, 16)))
@@ -102,6 +103,8 @@ def plan_mix(base: DataFrame, key: str, id_col: str = "doc_id", source_col: str
     for again in range(math.ceil(cap)):
         begin = F.col("start") + F.lit(again) * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("demand") - begin)).cast("bigint")
+        if whole:
+            words = F.when(2 * words >= F.col("size"), F.col("size")).otherwise(F.lit(0)).cast("bigint")
         y = begin / F.col("demand")
         position = F.lit(None).cast("double")
         for i, knots in enumerate(schedules):
@@ -119,17 +122,17 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-        weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+        weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, share: float = 1.5, cap: float = 2.0, whole: bool = False) -> DataFrame:
     """The mixture, in training order: df's columns, a row for every pass over a document.
 
     Sources in code point order, null last, take weights and schedules in turn. They share ``share``
     times all words; none takes more than ``cap`` times its own. A document's pass that the demand
-    cuts keeps its words up to there. Texts that are null or without a word take no place in the mix
+    cuts keeps its words up to there; with ``whole`` it stays whole or goes, whichever is nearer. Texts that are null or without a word take no place in the mix
     and are left out; rows without an id are placed by their place in the input, which spreads them,
     and repeated rows count one by one, in its order. An empty table gives an empty mixture. Columns pass through under any name.
     """
     base, key = with_row_key(df)
-    plan = plan_mix(base, key, id_col, source_col, text_col, weights, schedules, share, cap)
+    plan = plan_mix(base, key, id_col, source_col, text_col, weights, schedules, share, cap, whole)
     passes = plan.select("row", "size", F.explode("takes").alias("take")).select(
         F.col("row").alias(key), F.struct("size", "take.pass", "take.position", "take.words").alias(f"{key}take"))
     take, text = F.col(f"{key}take"), F.col(text_col)

@@ -128,7 +128,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     longest is a power of two. start counts the document's ids before the piece; ids_crc32 is over the
     ids as unsigned little-endian 32-bit numbers; doc_tokens counts the document's ids with end_id,
     which ends it. A null or empty text is end_id alone. A piece is its sequence's only one, so offset
-    is 0. Rows are packed one by one, repeated and null ids too. An empty table gives an empty result;
+    is 0. Rows are packed one by one, repeated and null ids too; ids may be of any type. An empty table gives an empty result;
     other columns are not read. with_ids=False leaves the ids out.
     """
     if longest & (longest - 1):
@@ -150,19 +150,19 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
                         texts.append(piece)
                 held += len(ids)
                 if held >= 1 << 24:
-                    yield batch(rows, texts)
+                    yield batch(rows, texts, part.column(0).type)
                     rows, texts, held = [], [], 0
-            yield batch(rows, texts)
+            yield batch(rows, texts, part.column(0).type)
 
-    def batch(rows: list, texts: list) -> pa.RecordBatch:
-        columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)]
+    def batch(rows: list, texts: list, kind: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array(c, pa.int64() if i else kind) for i, c in enumerate(zip(*rows) if rows else [[]] * 5)]
         if with_ids:
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in texts]))).astype(np.int32)
             columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(texts), dtype="<i4"))))
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
 
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
-    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(batches, schema).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
     return out.sortWithinPartitions(F.desc("length"))
 

@@ -123,8 +123,8 @@ def fingerprints(base: DataFrame, key: str, id_col: str, text_col: str, shingle:
             found = pa.array((fingerprint(x.as_py() or b"", shingle) for x in texts), pa.int64(), size=len(texts))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], ["row", "id", "fp"])
 
-    rows = base.select(F.col(key).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(batches, "row struct<f:bigint,r:bigint>, id bigint, fp bigint")
+    rows = base.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = rows.mapInArrow(batches, f"row struct<f:bigint,r:bigint>, id {rows.schema['id'].dataType.simpleString()}, fp bigint")
     return out.withColumn("run", F.spark_partition_id())
 
 
@@ -179,7 +179,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """df with one row of each component: all columns of the rows that stay."""
+    """df with one row of each component: all columns of the rows that stay.
+
+    near_dedup() says which rows are linked and which one stays, for null ids and texts, ties and
+    repeated rows too. An empty table stays empty; columns may have any names.
+    """
     base, key = with_row_key(df)
     gone = near_classes(base, key, id_col, text_col, shingle).filter("not kept")
     return drop_rows(base, key, gone, "row")
