@@ -168,7 +168,7 @@ def test_personal_data(nasty, empty):
     out = {r.id: r.spans for r in pii.find_personal_data(nasty).collect()}
     assert [s.kind for s in out[7]] == [0, 1, 3] and out[3] == []
     done = pii.sanitise(nasty)
-    assert done.columns == nasty.columns
+    assert done.columns == nasty.columns and done.count() == len(ROWS)
     assert {r.doc_id: r.text for r in done.collect()}[7] == "idiot 1d10t\nAll rights reserved. <EMAIL> <IP> <PHONE>"
     assert pii.find_personal_data(empty).collect() == [] and pii.sanitise(empty).collect() == []
 
@@ -178,7 +178,7 @@ def test_revealing_words(spark):
     rows += [(100 + i, f"note of the day number about common things today {i}") for i in range(60)]
     out = {r.id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     words = {rows[i][1][s.start : s.end] for i in range(4) for s in out[i] if s.kind == 4}
-    assert "Zorblatt" in words and not words & {"note", "about", "today"} and all(not out[100 + i] for i in range(60))
+    assert "Zorblatt" in words and not words & {"note", "about", "today", "red", "cars"} and all(not out[100 + i] for i in range(60))
 
 
 @pytest.mark.parametrize("text", ["@a.b@c.d", "a@b c@d.e", "x.y@z.w.v@q.r", "..%@a-.b", "a@b..c", "@@a@b.c"])
@@ -190,7 +190,7 @@ def test_emails_equal_the_pattern(text):
 
 def test_licenses(nasty, empty):
     out = {r.id: r for r in license_scan.scan_licenses(nasty).collect()}
-    assert out[7].families == [] or out[7].families == ["Proprietary"]
+    assert out[7].families == []
     assert out[3].families == [] and license_scan.scan_licenses(empty).collect() == []
     assert license_scan.scan_licenses(nasty).count() == len(ROWS)
 
@@ -201,7 +201,7 @@ def test_sharding(nasty, empty):
     for shard in {r.shard for r in out}:
         mine = [r for r in out if r.shard == shard]
         assert sum(r.bytes for r in mine) == mine[0].shard_bytes and len(mine) == mine[0].shard_docs and len(shard) == mine[0].local_depth
-        assert mine[0].shard_bytes <= 100 or len({r.id for r in mine}) == 1
+        assert mine[0].shard_bytes <= 100 or len(mine) == 1
     assert sharding.assign_shards(empty).collect() == []
 
 
@@ -226,10 +226,10 @@ def test_chat(spark):
     rows = [(1, 0, "user", "a<b&amp;"), (1, 1, "assistant", None), (1, 1, "assistant", "</turn>\n<turn user>"), (None, 0, None, "x"), (None, None, "assistant", "y"), (2, 5, "assistant", "")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     out = chat.format_conversations(turns).select("conv_id", chat.read_back(F.col("formatted")).alias("m"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
-    got = {r.conv_id: ([(m.role, m.text) for m in r.m], r.loss) for r in out}
+    got = {r.conv_id: ([(m.role, m.text) for m in r.m], r.loss) for r in out if r.conv_id is not None}
     assert got == {
-        1: ([("user", "a<b&amp;"), ("assistant", ""), ("assistant", "</turn>\n<turn user>")], "</turn>\n<turn user>"),
-        None: ([("assistant", "y"), ("", "x")], "y"), 2: ([("assistant", "")], "")}
+        1: ([("user", "a<b&amp;"), ("assistant", ""), ("assistant", "</turn>\n<turn user>")], "</turn>\n<turn user>"), 2: ([("assistant", "")], "")}
+    assert sorted((r.m[0].role, r.m[0].text, r.loss) for r in out if r.conv_id is None) == [("", "x", ""), ("assistant", "y", "y")]
     assert chat.format_conversations(turns.filter("false")).collect() == []
 
 
@@ -288,7 +288,7 @@ def test_top_k(spark):
     rows = [(0, [1.0, 0.5], 1), (50, [0.5, 1.0], 2), (1, [1.0, 1.0], 3), (2, [1.0, 1.0], 4), (3, None, 5), (4, [float("nan"), 1.0], 6), (5, [None, 1.0], 7), (6, [2.0], 8), (None, [9.0, 9.0], 9), (7, [-3.0, -3.0], 1), (8, [], 2), (2, [1.0, 1.0], 5)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score int")
     out = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()]
-    want = [(0, 1, 1, 98304), (0, 2, 2, 98304), (0, 3, 50, 65536), (0, 4, 7, -294912), (50, 1, 1, 98304), (50, 2, 2, 98304), (50, 3, 0, 65536), (50, 4, 7, -294912)]
+    want = [(0, 1, 1, 98304), (0, 2, 2, 98304), (0, 3, 2, 98304), (0, 4, 50, 65536), (0, 5, 7, -294912), (50, 1, 1, 98304), (50, 2, 2, 98304), (50, 3, 2, 98304), (50, 4, 0, 65536), (50, 5, 7, -294912)]
     assert sorted(out) == want
     assert topk.exact_top_k(df.filter("false"), F.col("vec_id") % 50 == 0).collect() == []
 
@@ -306,3 +306,149 @@ def test_top_k_equals_brute_force_over_blocks(spark, monkeypatch):
         scores = ints @ ints[q]
         order = [i for i in np.lexsort((np.arange(400), -scores)) if i != q][:5]
         assert [got[q, r] for r in range(1, 6)] == [(i, scores[i]) for i in order]
+
+
+def test_top_k_over_equal_vectors_equals_brute_force(spark):
+    """A third of the rows share a vector, queries among them; ids repeat, with the same and with other vectors."""
+    rng = np.random.default_rng(9)
+    m = np.round(rng.normal(size=(90, 4)), 1)
+    m[::3] = m[0]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(3, [float(x) for x in m[0]])] * 4 + [(50, [9.0, 9.0, 9.0, 9.0]), (1, [float(x) for x in m[0]]), (0, [float(x) for x in m[0]])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    ints = [(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in rows]
+    got = {}
+    for r in topk.exact_top_k(df, F.col("vec_id") % 10 == 0, depth=5).collect():
+        got[r.query_id, r["rank"]] = (r.vec_id, r.score)
+    for q in range(0, 90, 10):
+        asked = min(v for i, v in ints if i == q)
+        scores = sorted((-sum(a * b for a, b in zip(asked, v)), i) for i, v in ints if i != q)[:5]
+        assert [got[q, r] for r in range(1, 6)] == [(i, -s) for s, i in scores]
+    assert len(got) == 45
+
+
+def test_shards_split_rows_with_one_id_and_without(spark):
+    rows = [(None, "x" * 50)] * 400 + [(7, "y" * 50)] * 300 + [(i, "z" * 50) for i in range(100, 300)] + [(9, "w" * 5000)]
+    out = sharding.assign_shards(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), limit=2000).collect()
+    held = {}
+    for r in out:
+        held.setdefault(r.shard, []).append(r)
+    assert len(out) == len(rows) and all(sum(r.bytes for r in some) <= 2000 or len(some) == 1 for some in held.values())
+    names = sorted(held)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+
+
+def test_written_shards_hold_every_row(spark, tmp_path):
+    df = spark.createDataFrame([(None if i % 9 == 0 else i, "x" * (i % 50), i) for i in range(300)], "doc_id bigint, text string, shard int")
+    sharding.write_shards(df, str(tmp_path / "shards"), limit=500)
+    read = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(r.shard for r in read.collect()) == list(range(300))
+    assert max(r.n for r in read.groupBy("shard_").agg(F.sum(F.length("text")).alias("n")).collect()) <= 500
+
+
+def test_reply_trees_take_one_row_an_id(spark):
+    chain = [(i, i - 1 if i else None, 1.0) for i in range(12)] * 2 + [(None, 3, 5.0), (4, 99, 0.5), (4, None, 1.0)]
+    messages = spark.createDataFrame(chain, "id bigint, parent bigint, score double")
+    assert chat.best_steps(messages).count() == 12
+    assert [(r.leaf, r.score, r.path) for r in chat.best_paths(messages).collect()] == [(11, 12.0, list(range(12)))]
+
+
+def test_chat_passes_clashing_names(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a", 1, 2, 3), (1, 1, "assistant", "b", 1, 2, 3)], "conv_id bigint, turn bigint, role string, text string, id int, n int, lone int")
+    assert [r.formatted for r in chat.format_conversations(turns).collect()] == ["<turn user>a</turn>\n<turn assistant>b</turn>\n"]
+
+
+@pytest.mark.parametrize("n, fan_in", [(1, 4), (5, 2), (16, 2), (17, 4), (23, 4)])
+def test_rounds_follow_the_number_of_runs(spark, n, fan_in):
+    rows = [(i, r, f"d{i % 9}") for i, r in enumerate([r for r in range(n) for _ in range(6)])]
+    runs = spark.createDataFrame(rows, "id bigint, run int, sha string").select(
+        "run", "sha", F.lit(1).alias("chars"), F.lit(1).alias("sum64"), F.struct(F.lit(False).alias("no_id"), "id").alias("best"), F.lit(1).alias("n"))
+    levels = exact_dedup.merge_tree(runs, n, fan_in)
+    left = [level.select("run").distinct().count() for level in levels]
+    assert left[-1] == 1 and all(b == -(-a // fan_in) for a, b in zip(left, left[1:]))
+    got = {r.sha: (r.best.id, r.n) for r in levels[-1].collect()}
+    assert got == {f"d{j}": (min(i for i, _, s in rows if s == f"d{j}"), sum(s == f"d{j}" for _, _, s in rows)) for j in {i % 9 for i in range(len(rows))}}
+
+
+def test_string_ids(spark):
+    rows = [("b", "one two three", "s"), ("a", "one  two three", "s"), (None, None, None), ("c", "mail x.y@z.org", "t")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    assert {r.id: r.keep_id for r in exact_dedup.exact_dedup(df).collect()}["b"] == "a"
+    assert {r.id: r.component_id for r in simhash.near_dedup(df).collect()}["b"] == "a"
+    assert sorted(r.doc_id or "" for r in packing.pack(df, TOKENIZER).filter("start = 0").collect()) == ["", "a", "b", "c"]
+    assert {r.id for r in sharding.assign_shards(df).collect()} == {"a", "b", "c", None}
+    assert {r.id for r in license_scan.scan_licenses(df).collect()} == {"a", "b", "c", None}
+    assert {r.id: len(r.spans) for r in pii.find_personal_data(df).collect()}["c"] == 1
+    assert mixing.mix(df).count() >= 3
+    assert toxicity.drop_toxic(df, spark.createDataFrame([("a", 1)], "doc_id string, toxic int")).count() == 4
+    turns = spark.createDataFrame([("x", 0, "user", "hi")], "conv_id string, turn int, role string, text string")
+    assert chat.format_conversations(turns).first().conv_id == "x"
+    near = spark.createDataFrame([("p", [1.0]), ("q", [2.0])], "vec_id string, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in topk.exact_top_k(near, F.col("vec_id") == "p").collect()] == [("p", "q")]
+
+
+@pytest.mark.parametrize("text", ["ｉｄｉｏｔ", "𝐢𝐝𝐢𝐨𝐭", "ïdíöt", "id\u200biot", "i.d.i.o.t", "i d i o t", "1d1ot", "10ser", "c1own"])
+def test_spellings_fold(text):
+    model = toxicity.Model({w: (4.0, True) for w in toxicity.SEEDS})
+    assert model.hits(*toxicity.fold(f"you {text} there")) and not model.hits(*toxicity.fold("a.b.c.d or 1 0 1 0"))
+
+
+def test_scores_keep_a_column_of_that_name(nasty):
+    out = toxicity.score_toxicity(nasty, toxicity.Model({"idiot": (4.0, True)}))
+    assert out.columns == [*nasty.columns, "score_"] and {r.score for r in out.collect()} == {"s"}
+
+
+def brute_terms(texts):
+    """Revealing words by plain counting over all texts: (row, start, end)."""
+    import math
+
+    met, df, entity_df, spans = {}, {}, {}, []
+    for text in texts:
+        base = pii.base_spans(text)
+        base += [s for s in pii.secrets(text) if not any(a < s[2] and s[1] < b for _, a, b in base)]
+        spans.append(base)
+        words = [w for w in pii.terms(text) if not any(a < w[1] and w[0] < b for _, a, b in base)]
+        for w in {w for _, _, w in pii.terms(text)}:
+            df[w] = df.get(w, 0) + 1
+        here = {}
+        for k, s, e in base:
+            near = [w[2] for w in words if w[1] <= s][-pii.WINDOW :] + [w[2] for w in words if w[0] >= e][: pii.WINDOW]
+            for name in pii.entities(k, text[s:e]):
+                for w in set(near):
+                    here.setdefault((name, w), []).append(tuple(near))
+        for name in {n for k, s, e in base for n in pii.entities(k, text[s:e])}:
+            entity_df[name] = entity_df.get(name, 0) + 1
+        for pair, around in here.items():
+            met.setdefault(pair, []).append(min(around, key=lambda a: pii.xxhash.xxh64_intdigest(" ".join(a)) >> 1))
+    found = set()
+    for (name, w), around in met.items():
+        p = min(1.0, len(around) / df[w])
+        n, z2 = len(set(around)) / p, pii.QUANTILE**2
+        least = (p + z2 / 2 / n - pii.QUANTILE * math.sqrt(max(0.0, p * (1 - p) / n + z2 / 4 / n / n))) / (1 + z2 / n)
+        if least >= pii.GENERALISE and math.log2(least * len(texts) / entity_df[name]) >= pii.LEAST_BITS:
+            found.add(w)
+    return {i: sorted((s, e) for s, e, w in pii.terms(t) if w in found and not any(a < e and s < b for _, a, b in spans[i])) for i, t in enumerate(texts)}
+
+
+def test_revealing_words_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    common = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]
+    texts = []
+    for i in range(300):
+        words = rng.choices(common, k=rng.randrange(3, 40))
+        if i % 4 == 0:
+            owner = rng.randrange(6)
+            value = [f"jane{rng.randrange(99)}@firm{owner}.com", f"10.0.{owner}.{rng.randrange(255)}", f"+1 (555) 55{owner}-{rng.randrange(1000, 9999)}", f"{'ab12' * 5}{owner}{rng.randrange(10**8, 10**9)}cdef"][i // 4 % 4]
+            words.insert(rng.randrange(len(words)), value)
+            words.insert(rng.randrange(len(words)), f"secretname{chr(97 + owner)}")
+        texts.append(" ".join(words))
+    texts += ["", "a" * 5000 + " x@y.org " + "longword" * 300] + [texts[0]] * 3
+    out = {r.id: sorted((s.start, s.end) for s in r.spans if s.kind == pii.TERM) for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()}
+    want = brute_terms(texts)
+    assert out == want and sum(map(len, want.values())) > 20
+
+
+def test_secrets():
+    text = 'token = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72" and 1234567890123456789012345 or abcdefghijklmnopqrstuvwxyzabc or aaaaaaaaaaaaaaaaaaaaaa11111111'
+    assert [text[s:e] for _, s, e in pii.secrets(text)] == ["cb1a9fee807a05366fcb8b6c95c7c565ede51a72"]
