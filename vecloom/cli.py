@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions.distance import cast_vector, replicate
 from .index import MODES, VectorIndex
 from .operators import graph, knn
+from .plans.scratch import cut
 from .sources import index_files as files
 from .sources import vecs
 
@@ -38,7 +39,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 def load(spark: SparkSession, a: argparse.Namespace) -> VectorIndex:
     """A folder that save() wrote, or index files if those of codes or navigation are named or --paged is."""
     if a.paged or a.pq_data or a.nav_graph:
-        return VectorIndex.from_files(spark, a.index, a.pq_data, a.nav_graph, a.data_type)
+        return VectorIndex.from_files(spark, a.index, a.pq_data, a.nav_graph, a.data_type, a.walk)
     return VectorIndex.load(spark, a.index[0])
 
 
@@ -48,7 +49,10 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def search(spark: SparkSession, a: argparse.Namespace) -> list[tuple]:
-    """One row of the sweep an ef: L, seconds, queries a second, recall@k in percent (None without truth)."""
+    """One row of the sweep an ef: L, seconds, queries a second, recall@k in percent (None without truth), mean seconds a batch, mean expansions.
+
+    Queries go in batches of --batch (all at once without it), one after another.
+    """
     index, asked = load(spark, a), read_queries(spark, a.query, a.data_type)
     if min(a.ef_search) < a.topk:
         raise ValueError("every ef_search must be at least topk")
@@ -56,20 +60,23 @@ def search(spark: SparkSession, a: argparse.Namespace) -> list[tuple]:
     truth = read_ids(spark, a.ground_truth).filter(F.col("qid") < n) if a.ground_truth else None
     many = asked if a.repeat == 1 else knn.replicate_queries(asked, a.repeat)
     rows = []
-    print(f"{'L':>6} {'Run Time':>10} {'QPS':>10} {f'Recall@{a.topk}':>12}")
+    parts = max(1, -(-n * a.repeat // a.batch)) if a.batch else 1
+    print(f"{'L':>6} {'Run Time':>10} {'QPS':>10} {f'Recall@{a.topk}':>12} {'Latency':>10} {'Expanded':>10}")
     for ef in a.ef_search:
-        began = time.perf_counter()
-        found = index.search(many, a.topk, ef, a.mode).select("qid", "rk", "vec_id").persist()
-        found.count()
+        began, found = time.perf_counter(), None
+        for part in range(parts):
+            asked_now = many if parts == 1 else many.filter(F.pmod("qid", F.lit(parts)) == part)
+            some = cut(index.search(asked_now, a.topk, ef, a.mode).select("qid", "rk", "vec_id", "n_expanded"))
+            found = some if found is None else found.unionByName(some)
         took = time.perf_counter() - began
+        spent = found.select("qid", "n_expanded").distinct().agg(F.avg("n_expanded")).first()[0]
         share = None if truth is None else 100 * knn.recall(found.filter(F.col("qid") < n), truth, a.topk).first().recall
         if a.output:
             lists = found.filter(F.col("qid") < n).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rk", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
             whole = F.transform(F.sequence(F.lit(1), F.lit(a.topk)), lambda i: F.coalesce(F.get("ids", i - 1), F.lit(-1)))  # -1: fewer than k were found
             vecs.write_vectors(lists.select("qid", whole.alias("ids")).coalesce(1), f"{a.output}/ef={ef}", "ibin", "qid", "ids").collect()
-        found.unpersist()
-        rows.append((ef, took, n * a.repeat / took, share))
-        print(f"{ef:>6} {took:>10.3f} {n * a.repeat / took:>10.1f} {'' if share is None else f'{share:.2f}':>12}")
+        rows.append((ef, took, n * a.repeat / took, share, took / parts, spent))
+        print(f"{ef:>6} {took:>10.3f} {n * a.repeat / took:>10.1f} {'' if share is None else f'{share:.2f}':>12} {took / parts:>10.3f} {'' if spent is None else f'{spent:.1f}':>10}")
     return rows
 
 
@@ -93,9 +100,41 @@ def split(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 
 def widen(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    """The index with every component of its vectors repeated; with it what --pq_data and --nav_graph name.
+
+    Codes, the navigation graph and its map do not depend on the width and stay as they are.
+    """
     meta = files.read_meta(a.index[0], a.data_type)
     nodes = files.read_index(spark, a.index, a.data_type).withColumn("vector", replicate(F.col("vector"), a.times))
-    return files.write_index(nodes, a.out, meta.degree, meta.medoid, a.data_type)
+    names = files.write_index(nodes, a.out, meta.degree, meta.medoid, a.data_type)
+    if a.pq_data:
+        names.append(f"{a.out}_pivots.bin")
+        files.write_pq_model(files.read_pq_model(f"{a.pq_data}_pivots.bin").widen(a.times), names[-1])
+    if a.nav_graph:
+        kind = kind_of("data.bin", a.data_type)
+        rows = vecs.read_vectors(spark, f"{a.nav_graph}/nav_index.data", kind).withColumn("vector", replicate(F.col("vector"), a.times))
+        (written,) = vecs.write_vectors(rows.coalesce(1), f"{a.out}_nav", kind).collect()
+        names.append(written.file)
+    return names
+
+
+def tags(spark: SparkSession, a: argparse.Namespace) -> str:
+    """The ids of a map as a file of tags."""
+    (written,) = files.write_tags(files.read_map(spark, a.map), a.out).collect()
+    return written.file
+
+
+def replicate_set(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    """Queries, and their truth if it is named, so many times over."""
+    many = knn.replicate_queries(read_queries(spark, a.query, a.data_type), a.times)
+    kind = kind_of(a.query, a.data_type)
+    names = [r.file for r in vecs.write_vectors(many.coalesce(1), a.out, kind, "qid", "qv").collect()]
+    if a.ground_truth:
+        truth = vecs.read_truth(spark, a.ground_truth)
+        n = truth.count()
+        again = truth.select("*", F.explode(F.sequence(F.lit(0), F.lit(a.times - 1))).alias("r")).select((F.col("r") * n + F.col("qid")).alias("qid"), "ids", "dists")
+        names += [r.file for r in vecs.write_truth(again, f"{a.out}/truth.bin").collect()]
+    return names
 
 
 def hops(spark: SparkSession, a: argparse.Namespace) -> list[tuple]:
@@ -142,12 +181,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--pq_data", help="prefix of the quantisation files")
     p.add_argument("--nav_graph", help="folder of the navigation files")
     p.add_argument("-R", "--repeat", type=int, default=20)
+    p.add_argument("-B", "--batch", type=int, help="queries a batch")
+    p.add_argument("--walk", action="store_true", help="walk the navigation graph instead of looking at its whole sample")
     p.add_argument("--mode", choices=MODES, help="by the size of the index, unless given")
     p.add_argument("--output", help="folder for the ids found")
     command(recall, "compare ids found with the truth", "result", "ground_truth").add_argument("--topk", type=int, required=True)
     command(sample, "sample vectors and write their ids", "vectors", "out").add_argument("--n", type=int, required=True)
     command(split, "stripe a paged index over files", "index", "out").add_argument("--stripes", type=int, required=True)
-    command(widen, "repeat each component of an index's vectors", "index", "out").add_argument("--times", type=int, required=True)
+    p = command(widen, "repeat each component of an index's vectors", "index", "out")
+    p.add_argument("--times", type=int, required=True)
+    p.add_argument("--pq_data", help="prefix of the quantisation files")
+    p.add_argument("--nav_graph", help="folder of the navigation files")
+    command(tags, "write the ids of a map as tags", "map", "out")
+    p = command(replicate_set, "repeat a set of queries, and its truth", "query", "out")
+    p.add_argument("--times", type=int, required=True)
+    p.add_argument("--ground_truth")
     p = command(hops, "count nodes by hops from the medoid", "index")
     p.add_argument("--depth", type=int, default=9)
     p.add_argument("--ids", help="text file of ids to count; all nodes without it")

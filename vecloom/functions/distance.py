@@ -57,14 +57,20 @@ def adc(lut: Column, code: Column) -> Column:
     return F.aggregate(places, F.lit(0.0), lambda total, j: total + F.get(F.get(lut, j), F.get(code, j)))
 
 
-#: SQL functions of the same meaning: bodies of CREATE TEMPORARY FUNCTION.
+_DOT = "aggregate(zip_with({0}, {1}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+_COSINE = f"{_DOT.format('a', 'b')} / (sqrt({_DOT.format('a', 'a')}) * sqrt({_DOT.format('b', 'b')}) + {COSINE_EPS!r}D)"
+_PAIR = "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>"
+#: SQL functions of the same meaning: parameters and bodies of CREATE TEMPORARY FUNCTION.
 SQL_FUNCTIONS = {
-    "vec_l2": "aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)",
-    "vec_dot": "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)",
+    "vec_l2": (_PAIR, "aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)"),
+    "vec_dot": (_PAIR, _DOT.format("a", "b")),
+    "vec_cosine": (_PAIR, _COSINE),
+    "vec_cosine_distance": (_PAIR, f"1D - {_COSINE}"),
+    "vec_adc": ("lut ARRAY<ARRAY<DOUBLE>>, code ARRAY<SMALLINT>", "aggregate(sequence(0, size(code) - 1), 0D, (s, j) -> s + lut[j][code[j]])"),
 }
 
 
 def register(spark) -> None:
-    """Make vec_l2(a, b) and vec_dot(a, b) known to spark.sql; the analyzer inlines them."""
-    for name, body in SQL_FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")
+    """Make the functions above known to spark.sql; the analyzer inlines them."""
+    for name, (takes, body) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({takes}) RETURNS DOUBLE RETURN {body}")

@@ -21,7 +21,8 @@ MODES = ("batch", "loop", "exact")
 
 @dataclass
 class VectorIndex:
-    """corpus: vec_id, v; edges: src, dst, rk; codes: vec_id, code (None: distances are exact); nav: nav_id, vec_id.
+    """corpus: vec_id, v; edges: src, dst, rk; codes: vec_id, code (None: distances are exact); nav: nav_id, vec_id;
+    nav_edges: src, dst between nav_ids (None: all of the sample is looked at).
 
     ``shards`` is what the edges were built for: each shard is searched by a task of its own.
     """
@@ -33,6 +34,7 @@ class VectorIndex:
     codes: DataFrame | None = None
     nav: DataFrame | None = None
     shards: int = 1
+    nav_edges: DataFrame | None = None
 
     @classmethod
     def build(cls, corpus: DataFrame, degree: int = 32, chunks: int | None = None, pivots: int = 256, nav: int | None = None, shards: int | None = None) -> VectorIndex:
@@ -77,15 +79,22 @@ class VectorIndex:
         return cls(read("corpus"), read("edges"), about.medoid, model, read("codes") if about.has_codes else None, read("nav") if about.has_nav else None, about.shards)
 
     @classmethod
-    def from_files(cls, spark: SparkSession, index: str | list[str], pq_prefix: str | None = None, nav_prefix: str | None = None, element: str = "float") -> VectorIndex:
-        """An index of files: pages, ``<prefix>_pivots.bin`` and ``<prefix>_compressed.bin``, ``<prefix>/map.txt``."""
+    def from_files(cls, spark: SparkSession, index: str | list[str], pq_prefix: str | None = None, nav_prefix: str | None = None, element: str = "float", walk: bool = False) -> VectorIndex:
+        """An index of files: pages, ``<prefix>_pivots.bin`` and ``<prefix>_compressed.bin``, ``<prefix>/map.txt``.
+
+        walk: entries are found by a walk of ``<prefix>/nav_index`` instead of a look at the whole sample.
+        """
         names = [index] if isinstance(index, str) else list(index)
         nodes = files.read_index(spark, names, element)
         model = files.read_pq_model(f"{pq_prefix}_pivots.bin") if pq_prefix else None
         codes = files.read_codes(spark, f"{pq_prefix}_compressed.bin") if pq_prefix else None
         nav = files.read_map(spark, f"{nav_prefix}/map.txt") if nav_prefix else None
+        links = None
+        if nav_prefix and walk:
+            graph_rows = files.read_nav_graph(spark, f"{nav_prefix}/nav_index")
+            links = graph_rows.select(F.col("nav_id").alias("src"), F.explode("nbrs").alias("dst"))
         corpus = nodes.select(F.col("node").alias("vec_id"), cast_vector(F.col("vector")).alias("v"))
-        return cls(corpus, files.edge_list(nodes), files.read_meta(names[0], element).medoid, model, codes, nav)
+        return cls(corpus, files.edge_list(nodes), files.read_meta(names[0], element).medoid, model, codes, nav, nav_edges=links)
 
     def to_files(self, index: str, degree: int, element: str = "float", stripes: int = 1) -> list[str]:
         """Write vectors and graph as a paged index; ids must run from 0 without gaps."""
@@ -94,7 +103,13 @@ class VectorIndex:
         return files.write_index(nodes, index, degree, self.medoid, element, stripes)
 
     def entries(self, queries: DataFrame) -> DataFrame:
-        """qid, entry: the nearest vector of the navigation sample, or the medoid without one."""
+        """qid, entry: the nearest vector of the navigation sample, or the medoid without one.
+
+        With the sample's graph (nav_edges) it is the nearest that a walk from node 0 meets.
+        """
+        if self.nav is not None and self.nav_edges is not None:
+            rows = self.nav.join(self.corpus, "vec_id").select(F.col("nav_id").alias("vec_id"), "v")
+            return beam.nav_walk(queries, rows, self.nav_edges, 0).join(self.nav, "nav_id").select("qid", F.col("vec_id").alias("entry"))
         if self.nav is None:
             return queries.select("qid", F.lit(self.medoid).cast("bigint").alias("entry"))
         return beam.nav_entry(queries, self.nav, self.corpus).select("qid", "entry")
@@ -103,10 +118,11 @@ class VectorIndex:
         """qid, rk, vec_id, dist, n_expanded of queries (qid, qv), qid being unique.
 
         ``batch`` searches each shard in a task, ``loop`` advances all queries a step at a time over the
-        whole graph, ``exact`` looks at every vector (n_expanded is null then). Without a mode it is
-        ``batch`` if the index's shards are small enough for a task, else ``loop``.
+        whole graph, ``exact`` looks at every vector (n_expanded is null then). Without a mode an index of
+        several shards is searched shard by shard. One of a single shard is searched as a whole, by
+        either way, as its size allows: both give the same rows.
         """
-        mode = mode or ("batch" if beam.shard_count(self.corpus) <= self.shards else "loop")
+        mode = mode or ("batch" if self.shards > 1 or beam.shard_count(self.corpus) == 1 else "loop")
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
         queries = queries.select("qid", cast_vector(F.col("qv")).alias("qv"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import adc, l2
-from ..plans.scratch import cut
+from ..plans.scratch import cut, discard
 from .knn import query_blocks, top_k
 from .pq import PQModel
 
@@ -95,10 +95,13 @@ def beam_search(tables: DataFrame, entries: DataFrame, graph: DataFrame, ef: int
         raise ValueError("ef must be at least k")
     graph, state = cut(graph), cut(start_state(tables, entries))
     scan = graph.count() > small and state.count() <= FRONTIER_ROWS
+    state_table = state
     while state.filter(F.col("u").isNotNull()).take(1):
         for _ in range(1 if scan else ROUNDS):
             state = beam_round(state, graph, ef, k, scan)
-        state = cut(state)
+        state, before = cut(state), state_table
+        discard(before)
+        state_table = state
     found = state.select("qid", F.size("vis").alias("n_expanded"), F.posexplode("result").alias("pos", "r"))
     return found.select("qid", (F.col("pos") + 1).cast("bigint").alias("rk"), F.col("r.id").alias("vec_id"), F.col("r.d").alias("dist"), F.col("n_expanded").cast("bigint").alias("n_expanded"))
 
@@ -191,3 +194,14 @@ def nav_entry(queries: DataFrame, nav: DataFrame, corpus: DataFrame) -> DataFram
     best = scored.groupBy("qid").agg(F.min(F.struct(F.round("dist", DIGITS).alias("dist"), "nav_id", "entry")).alias("b"))
     return best.select("qid", "b.nav_id", "b.entry", "b.dist")
 
+
+def nav_walk(queries: DataFrame, nav: DataFrame, links: DataFrame, start: int, width: int = 4) -> DataFrame:
+    """qid, nav_id, dist: the nearest node that a walk of the navigation graph meets.
+
+    nav: vec_id (the node's number in the graph), v; links: src, dst between them. A beam of ``width`` is
+    led by exact distances from the start node on; it is beam_search() over a small graph.
+    """
+    tables = queries.select("qid", "qv", F.expr("cast(null as array<array<double>>)").alias("lut"))
+    entries = queries.select("qid", F.lit(start).cast("bigint").alias("entry"))
+    found = beam_search(tables, entries, search_graph(links, nav), width, 1)
+    return found.select("qid", F.col("vec_id").alias("nav_id"), "dist")

@@ -6,16 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import l2, replicate
 from ..plans.scratch import cut
-from .knn import exact_knn
+from .knn import exact_knn, usable
 
 PAGE_BYTES = 4096
 #: Vectors in a cell of cell_graph(), at most: what one task holds.
 CELL_ROWS = 20_000
+#: Slices that a cell can be cut into.
+SLICES = 256
 #: Rows whose distances to their cell prune() holds at a time.
 PRUNE_ROWS = 256
 
@@ -62,9 +64,12 @@ def prune(ids: np.ndarray, m: np.ndarray, degree: int, alpha: float) -> list[tup
 def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int = 2, seed: int = 7, within: Column | None = None) -> DataFrame:
     """src, dst, rk: an alpha-pruned graph, built cell by cell, with reverse edges, degree at most.
 
-    Centres are a bounded sample; every vector goes to the cells of its ``overlap`` nearest centres, so
-    that cells join up. Cells that are too large are split by hash. Edges stay within groups of equal ``within``.
+    Centres are a bounded sample (4096 at most); every vector goes to the cells of its ``overlap`` nearest
+    centres, so that cells join up. A cell that is too large is cut into slices of like size across a
+    direction of its own, so that near vectors stay together at any size of the corpus. Edges stay within
+    groups of equal ``within``. Rows without an id or a whole vector take no part.
     """
+    corpus = usable(corpus, "v", "vec_id")
     n = corpus.count()
     cells = max(1, min(4096, n * overlap * 2 // CELL_ROWS))
     centres = [np.array(r.v) for r in corpus.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(cells).collect()]
@@ -72,20 +77,28 @@ def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
+        across = np.random.default_rng(seed).normal(size=c.shape)
         for part in (p for p in parts if len(p)):
             m = np.array(part["v"].tolist(), dtype=np.float64)
             near = (m * m).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * m @ c.T
             for which in np.argsort(near, axis=1, kind="stable")[:, :overlap].T:
-                yield part.assign(cell=which.astype(np.int64))
+                yield part.assign(cell=which.astype(np.int64), along=((m - c[which]) * across[which]).sum(1))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_id")
         return pd.DataFrame(prune(part["vec_id"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64), degree, alpha), columns=["src", "dst", "rk"])
 
-    placed = corpus.select("vec_id", "v").mapInPandas(assign, "vec_id bigint, v array<double>, cell bigint")
+    placed = corpus.select("vec_id", "v").mapInPandas(assign, "vec_id bigint, v array<double>, cell bigint, along double")
     placed = cut(placed.withColumn("shard", F.lit(0).cast("bigint") if within is None else within.cast("bigint")))
     sizes = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    split = placed.join(sizes, ["shard", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / CELL_ROWS)))
+    large = sizes.filter(F.col("n") > CELL_ROWS).select("shard", "cell", F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int").alias("slices"))
+    cuts = placed.join(F.broadcast(large), ["shard", "cell"]).groupBy("shard", "cell").agg(
+        F.first("slices").alias("slices"), F.percentile_approx("along", [i / SLICES for i in range(1, SLICES)], 10_000).alias("cuts"))
+    # a cell's slices are runs of the finest ones; beyond SLICES of them, rows of a slice are dealt by hash
+    fine = F.size(F.filter("cuts", lambda x: x <= F.col("along")))
+    of = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.floor(fine * F.least("slices", F.lit(SLICES)) / SLICES))
+    deal = F.pmod(F.xxhash64("vec_id"), F.greatest(F.ceil(F.coalesce("slices", F.lit(1)) / SLICES), F.lit(1)))
+    split = placed.join(F.broadcast(cuts), ["shard", "cell"], "left").select("shard", "cell", F.struct(of.alias("slice"), deal.alias("deal")).alias("part"), "vec_id", "v")
     edges = split.groupBy("shard", "cell", "part").applyInPandas(build, "src bigint, dst bigint, rk bigint")
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rk")).groupBy("src", "dst").agg(F.min("rk").alias("rk"))
     order = Window.partitionBy("src").orderBy("rk", "dst")
@@ -127,8 +140,9 @@ def bfs_hops(edges: DataFrame, entry: int, most: int = 9) -> DataFrame:
     seen = cut(links.sparkSession.createDataFrame([(entry, 0)], "node bigint, hop int"))
     for hop in range(1, most + 1):
         step = seen.filter(F.col("hop") == hop - 1).join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        fresh = cut(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
-        if not fresh.take(1):
+        found = Observation()  # counts what is written, so that a hop is one job
+        fresh = cut(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)).observe(found, F.count("*").alias("n")))
+        if not found.get["n"]:
             break
         seen = seen.unionByName(fresh)
     return seen

@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import adc, l2
-from .knn import matrix, top_k
+from ..functions.distance import l2
+from .knn import matrix, top_k, usable
 
 #: Vectors that training looks at, at most (those with the smallest hash of their id).
 TRAIN_ROWS = 65_536
+#: Lookup tables that are broadcast at a time, and codes that are looked up at a time.
+TABLE_BYTES, ROWS = 1 << 24, 512
 
 
 @dataclass(frozen=True)
@@ -39,10 +41,18 @@ class PQModel:
                 codes[at : at + 4096, j] = ((part[at : at + 4096, None] - p[None]) ** 2).sum(axis=2).argmin(axis=1)
         return codes
 
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """Squared distance of each chunk of each query to each pivot: of each chunk, one row a query."""
+        centred = queries - self.centroid
+        return [((centred[:, None, a:b] - p[None]) ** 2).sum(axis=2) for a, b, p in zip(self.offsets, self.offsets[1:], self.pivots)]
+
     def table(self, query: np.ndarray) -> list[np.ndarray]:
-        """Squared distance of each chunk of a query to each pivot."""
-        centred = query - self.centroid
-        return [((centred[self.offsets[j] : self.offsets[j + 1]] - p) ** 2).sum(axis=1) for j, p in enumerate(self.pivots)]
+        return [t[0] for t in self.tables(query[None])]
+
+    def widen(self, times: int) -> PQModel:
+        """The model of vectors whose components are each repeated so often; codes stay as they are."""
+        wide = tuple(np.repeat(p, times, axis=1) for p in self.pivots)
+        return PQModel(tuple(at * times for at in self.offsets), wide, np.repeat(self.centroid, times))
 
 
 def boundaries(width: int, n_chunks: int) -> tuple[int, ...]:
@@ -58,7 +68,8 @@ def model_from_rows(corpus: DataFrame, n_chunks: int, n_pivots: int) -> PQModel:
 
 
 def train(corpus: DataFrame, n_chunks: int, n_pivots: int = 256, rounds: int = 12, seed: int = 7, rows: int = TRAIN_ROWS) -> PQModel:
-    """k-means in each chunk over a bounded sample; chunks train in tasks of their own."""
+    """k-means in each chunk over a bounded sample of whole vectors; chunks train in tasks of their own."""
+    corpus = usable(corpus, "v", "vec_id")
     known = corpus.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(rows)
     first = known.limit(1).collect()
     if not first:
@@ -89,7 +100,9 @@ def train(corpus: DataFrame, n_chunks: int, n_pivots: int = 256, rounds: int = 1
 
 
 def encode(corpus: DataFrame, model: PQModel) -> DataFrame:
-    """vec_id, code (one small integer a chunk)."""
+    """vec_id, code (one small integer a chunk) of the rows that have a whole vector (knn.usable())."""
+    corpus = usable(corpus, "v")
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if part.num_rows:
@@ -102,18 +115,99 @@ def encode(corpus: DataFrame, model: PQModel) -> DataFrame:
 
 def lookup_tables(queries: DataFrame, model: PQModel, digits: int | None = None) -> DataFrame:
     """qid, qv, lut: of each query its distances to the pivots, chunk by chunk."""
+    widths = np.array([len(p) for p in model.pivots])
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            tables = [[t if digits is None else np.round(t, digits) for t in model.table(np.array(q, dtype=np.float64))] for q in part.column(1).to_pylist()]
-            luts = pa.array([[list(map(float, t)) for t in table] for table in tables], pa.list_(pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays([*part.columns, luts], ["qid", "qv", "lut"])
+            for at in range(0, part.num_rows, 256):
+                some = part.slice(at, 256)
+                flat = np.concatenate(model.tables(matrix(some.column(1))), axis=1)
+                flat = flat if digits is None else np.round(flat, digits)
+                inner = np.concatenate(([0], np.cumsum(np.tile(widths, some.num_rows)))).astype(np.int32)
+                outer = np.arange(some.num_rows + 1, dtype=np.int32) * len(widths)
+                luts = pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), pa.array(flat.ravel())))
+                yield pa.RecordBatch.from_arrays([*some.columns, luts], ["qid", "qv", "lut"])
 
     return queries.select("qid", "qv").mapInArrow(batches, "qid bigint, qv array<double>, lut array<array<double>>")
 
 
-def adc_distances(tables: DataFrame, codes: DataFrame, digits: int = 9) -> DataFrame:
-    """qid, vec_id, dist from codes, for all codes against a stated query set."""
-    return tables.select("qid", "lut").crossJoin(codes).select("qid", "vec_id", F.round(adc(F.col("lut"), F.col("code")), digits).alias("dist"))
+def table_blocks(tables: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, tables: query, chunk, pivot) of as many queries at a time as TABLE_BYTES hold."""
+    rows: list = []
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        most = max(len(t) for r in rows for t in r.lut)
+        held = np.full((len(rows), len(rows[0].lut), most), np.inf)
+        for i, r in enumerate(rows):
+            for j, t in enumerate(r.lut):
+                held[i, j, : len(t)] = t
+        return np.array([r.qid for r in rows]), held
+
+    for r in tables.select("qid", "lut").toLocalIterator():
+        rows.append(r)
+        if len(rows) * 8 * sum(map(len, r.lut)) >= TABLE_BYTES:
+            yield block()
+            rows = []
+    if rows:
+        yield block()
+
+
+def adc_distances(tables: DataFrame, codes: DataFrame, digits: int = 9, nearest: int | None = None, margin: float = 1e-5) -> DataFrame:
+    """qid, vec_id, dist from codes, of a stated query set against all codes.
+
+    Tables of a block of queries are broadcast and the codes are scanned, a gather a chunk. With
+    ``nearest``, a partition gives only rows that can be among so many of a query, those within margin
+    of the last one included, so that ties by rounded distances can be told by id later.
+    """
+    spark, schema, out = codes.sparkSession, "qid bigint, vec_id bigint, dist double", None
+
+    def search(block) -> callable:
+        def sums(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            held, code = block.value[1], matrix(part.column(1)).astype(np.int64)
+            total = np.zeros((len(held), len(code)))
+            for j in range(held.shape[1]):
+                total += held[:, j, code[:, j]]
+            return part.column(0).to_numpy(), total
+
+        def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = block.value[0]
+            last = np.full(len(ids), np.inf)
+            kept = [(np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)]
+            for part in parts:
+                for at in range(0, part.num_rows, ROWS):
+                    names, total = sums(part.slice(at, ROWS))
+                    if nearest is None:
+                        for q in range(0, len(ids), 64):
+                            some = total[q : q + 64]
+                            yield batch(np.repeat(ids[q : q + 64], some.shape[1]), np.tile(names, len(some)), some.ravel())
+                        continue
+                    q, c = np.nonzero(total <= last[:, None] + margin)
+                    kept.append((q, names[c], total[q, c]))
+                    if sum(len(k[0]) for k in kept) > 4 * nearest * len(ids):
+                        kept = [cut_off(*map(np.concatenate, zip(*kept)), last)]
+            if nearest is not None:
+                q, names, dist = cut_off(*map(np.concatenate, zip(*kept)), last)
+                yield batch(ids[q], names, dist)
+
+        def cut_off(q, names, dist, last) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            order = np.lexsort((dist, q))
+            q, names, dist = q[order], names[order], dist[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            at = place == nearest - 1
+            last[q[at]] = dist[at]
+            keep = dist <= last[q] + margin
+            return q[keep], names[keep], dist[keep]
+
+        def batch(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["qid", "vec_id", "dist"])
+
+        return batches
+
+    for block in table_blocks(tables):
+        found = codes.select("vec_id", "code").mapInArrow(search(spark.sparkContext.broadcast(block)), schema)
+        out = found if out is None else out.unionByName(found)
+    out = spark.createDataFrame([], schema) if out is None else out
+    return out.withColumn("dist", F.round("dist", digits))
 
 
 def rerank(queries: DataFrame, candidates: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -124,5 +218,5 @@ def rerank(queries: DataFrame, candidates: DataFrame, corpus: DataFrame, k: int)
 
 def pq_search(queries: DataFrame, corpus: DataFrame, codes: DataFrame, model: PQModel, k: int, candidates: int) -> DataFrame:
     """Nearest by codes first, then by exact distance among the best ``candidates``."""
-    near = top_k(adc_distances(lookup_tables(queries, model), codes), candidates)
+    near = top_k(adc_distances(lookup_tables(queries, model), codes, nearest=candidates), candidates)
     return rerank(queries, near, corpus, k)

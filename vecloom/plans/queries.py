@@ -1,4 +1,8 @@
-"""Registered queries over the table ``embeddings``. Queries are the rows whose vec_id divides by 25."""
+"""Registered queries over the table ``embeddings``. Queries are the rows whose vec_id divides by 25.
+
+Scans, encoders, statistics, graphs and exact searches read all rows, searches but the query's own.
+Only where recall is claimed, that is in searches of a graph, are the queries held out of the corpus.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
-from ..operators import beam, graph, knn, pq
+from ..operators import beam, graph, knn, pq, zipf
 from ..index import VectorIndex
 from ..sources import index_files as files
 from ..sources import vecs
@@ -35,7 +39,12 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def everything(spark, sf_dir) -> DataFrame:
+    return embeddings(spark, sf_dir).select("vec_id", D.cast_vector(F.col("embedding")).alias("v"))
+
+
 def corpus(spark, sf_dir) -> DataFrame:
+    """All rows but the queries: for claims of recall."""
     return embeddings(spark, sf_dir).filter("vec_id % 25 != 0").select("vec_id", D.cast_vector(F.col("embedding")).alias("v"))
 
 
@@ -47,21 +56,29 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("dist", F.round("dist", DIGITS))
 
 
-def edges(spark, sf_dir) -> DataFrame:
-    return cut(graph.knn_graph(corpus(spark, sf_dir), DEGREE))
+def edges(spark, sf_dir, rows=everything) -> DataFrame:
+    return cut(graph.knn_graph(rows(spark, sf_dir), DEGREE))
 
 
-def model(spark, sf_dir) -> pq.PQModel:
-    return pq.model_from_rows(corpus(spark, sf_dir), CHUNKS, PIVOTS)
+def model(spark, sf_dir, rows=everything) -> pq.PQModel:
+    return pq.model_from_rows(rows(spark, sf_dir), CHUNKS, PIVOTS)
 
 
 def pairs(spark, sf_dir) -> DataFrame:
-    return held_out(spark, sf_dir).crossJoin(corpus(spark, sf_dir))
+    """The stated query set against all rows."""
+    return held_out(spark, sf_dir).crossJoin(everything(spark, sf_dir))
+
+
+def with_copies(spark, sf_dir) -> DataFrame:
+    """All rows, every third with the vector of row 1."""
+    rows = everything(spark, sf_dir)
+    one = rows.filter("vec_id = 1").select(F.col("v").alias("one"))
+    return rows.join(F.broadcast(one), F.lit(True)).select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.col("one")).otherwise(F.col("v")).alias("v"))
 
 
 @query
 def scan_vectors(spark, sf_dir):
-    return corpus(spark, sf_dir).select("vec_id", F.size("v").alias("dims"), r6(D.vec_sum(v), "total"))
+    return everything(spark, sf_dir).select("vec_id", F.size("v").alias("dims"), r6(D.vec_sum(v), "total"))
 
 
 @query
@@ -97,14 +114,14 @@ def cast_vector(spark, sf_dir):
 
 @query
 def center_vectors(spark, sf_dir):
-    rows = corpus(spark, sf_dir)
+    rows = everything(spark, sf_dir)
     centred = rows.join(F.broadcast(graph.centroid(rows)), F.lit(True)).select("vec_id", D.center(v, F.col("centroid")).alias("c"))
     return centred.select("vec_id", r6(D.dot(F.col("c"), F.col("c")), "norm2"), r6(F.element_at("c", 1), "first"))
 
 
 @query
 def pq_chunks(spark, sf_dir):
-    return corpus(spark, sf_dir).select("vec_id", F.posexplode(D.chunks(v, CHUNKS, 4)).alias("chunk", "part")).select("vec_id", "chunk", r6(D.vec_sum(F.col("part")), "total"))
+    return everything(spark, sf_dir).select("vec_id", F.posexplode(D.chunks(v, CHUNKS, 4)).alias("chunk", "part")).select("vec_id", "chunk", r6(D.vec_sum(F.col("part")), "total"))
 
 
 @query
@@ -116,35 +133,35 @@ def pq_lut(spark, sf_dir):
 
 @query
 def pq_encode(spark, sf_dir):
-    codes = pq.encode(corpus(spark, sf_dir), model(spark, sf_dir))
+    codes = pq.encode(everything(spark, sf_dir), model(spark, sf_dir))
     return codes.select("vec_id", F.posexplode("code").alias("chunk", "pivot")).select("vec_id", "chunk", F.col("pivot").cast("int").alias("pivot"))
 
 
 @query
 def pq_adc(spark, sf_dir):
     m = model(spark, sf_dir)
-    return rounded(pq.adc_distances(pq.lookup_tables(held_out(spark, sf_dir), m), pq.encode(corpus(spark, sf_dir), m)))
+    return rounded(pq.adc_distances(pq.lookup_tables(held_out(spark, sf_dir), m), pq.encode(everything(spark, sf_dir), m)))
 
 
 @query
 def adc_neighbors(spark, sf_dir):
     m = model(spark, sf_dir)
-    one = pq.lookup_tables(held_out(spark, sf_dir).filter("qid = 0"), m)
-    near = edges(spark, sf_dir).join(pq.encode(corpus(spark, sf_dir), m), F.col("dst") == F.col("vec_id"))
-    return near.crossJoin(one).select("src", "dst", r6(D.adc(F.col("lut"), F.col("code")), "dist"))
+    near = edges(spark, sf_dir).join(pq.encode(everything(spark, sf_dir), m), F.col("dst") == F.col("vec_id"))
+    tables = pq.lookup_tables(held_out(spark, sf_dir), m)
+    return near.crossJoin(tables).select("qid", "src", "dst", r6(F.round(D.adc(F.col("lut"), F.col("code")), 9), "dist"))
 
 
 @query
 def pq_rerank(spark, sf_dir):
-    rows, m, asked = corpus(spark, sf_dir), model(spark, sf_dir), held_out(spark, sf_dir)
-    near = knn.top_k(rounded(pq.adc_distances(pq.lookup_tables(asked, m), pq.encode(rows, m))), 50)
+    rows, m, asked = everything(spark, sf_dir), model(spark, sf_dir), held_out(spark, sf_dir)
+    near = knn.top_k(rounded(pq.adc_distances(pq.lookup_tables(asked, m), pq.encode(rows, m), nearest=50)), 50)
     return rounded(pq.rerank(asked, near, rows, K))
 
 
 @query
 def pq_train(spark, sf_dir):
-    m = pq.train(corpus(spark, sf_dir), CHUNKS, PIVOTS)
-    codes = pq.encode(corpus(spark, sf_dir), m)
+    m = pq.train(everything(spark, sf_dir), CHUNKS, PIVOTS)
+    codes = pq.encode(everything(spark, sf_dir), m)
     return codes.select(F.posexplode("code").alias("chunk", "pivot")).groupBy("chunk").agg(F.count_distinct("pivot").alias("used"))
 
 
@@ -162,7 +179,7 @@ def shard_assign(spark, sf_dir):
 
 @query
 def replicate_dims(spark, sf_dir):
-    out = graph.replicate_dims(corpus(spark, sf_dir), 3)
+    out = graph.replicate_dims(everything(spark, sf_dir), 3)
     return out.select("vec_id", F.size("v").alias("dims"), r6(D.vec_sum(v), "total"), r6(F.element_at("v", 4), "fourth"))
 
 
@@ -173,44 +190,57 @@ def replicate_queries(spark, sf_dir):
 
 @query
 def exact_knn(spark, sf_dir):
-    return rounded(knn.exact_knn(held_out(spark, sf_dir), corpus(spark, sf_dir), K))
+    return rounded(knn.exact_knn(held_out(spark, sf_dir), everything(spark, sf_dir), K, skip_self=True))
+
+
+@query
+def knn_ties(spark, sf_dir):
+    """Exact search where every third vector is a copy of one: ties go by id."""
+    return rounded(knn.exact_knn(held_out(spark, sf_dir), with_copies(spark, sf_dir), K, skip_self=True))
+
+
+@query
+def knn_graph_ties(spark, sf_dir):
+    """The exact graph of the same vectors."""
+    return graph.knn_graph(with_copies(spark, sf_dir), DEGREE)
 
 
 @query
 def exact_knn_lateral(spark, sf_dir):
     D.register(spark)
     return spark.sql(
-        "SELECT q.qid, t.vec_id, round(t.d, 6) AS dist FROM {q} q, LATERAL (SELECT c.vec_id, vec_l2(q.qv, c.v) AS d FROM {c} c ORDER BY d, c.vec_id LIMIT 10) t",
-        q=held_out(spark, sf_dir), c=corpus(spark, sf_dir))
+        "SELECT q.qid, t.vec_id, round(t.d, 6) AS dist FROM {q} q, LATERAL (SELECT c.vec_id, vec_l2(q.qv, c.v) AS d FROM {c} c WHERE c.vec_id <> q.qid ORDER BY d, c.vec_id LIMIT 10) t",
+        q=held_out(spark, sf_dir), c=everything(spark, sf_dir))
 
 
 @query
 def topk_per_query(spark, sf_dir):
-    scored = knn.score_pairs(held_out(spark, sf_dir), corpus(spark, sf_dir), D.dot(qv, v))
-    return knn.top_k(scored, K, order=(F.desc("dist"), "vec_id")).select("qid", F.col("rk").cast("bigint").alias("rk"), "vec_id", r6(F.col("dist"), "sim"))
+    found = knn.exact_knn(held_out(spark, sf_dir), everything(spark, sf_dir), K, "dot", skip_self=True)
+    return found.select("qid", "rk", "vec_id", r6(-F.col("dist"), "sim"))
 
 
 @query
 def radius_search(spark, sf_dir):
-    return rounded(knn.radius_search(held_out(spark, sf_dir), corpus(spark, sf_dir), 1.5))
+    return rounded(knn.radius_search(held_out(spark, sf_dir), everything(spark, sf_dir), 1.5, skip_self=True))
 
 
 @query
 def filtered_knn(spark, sf_dir):
-    some = embeddings(spark, sf_dir).filter("vec_id % 25 != 0 AND label = 3").select("vec_id", D.cast_vector(F.col("embedding")).alias("v"))
-    return rounded(knn.exact_knn(held_out(spark, sf_dir), some, K))
+    some = embeddings(spark, sf_dir).filter("label = 3").select("vec_id", D.cast_vector(F.col("embedding")).alias("v"))
+    return rounded(knn.exact_knn(held_out(spark, sf_dir), some, K, skip_self=True))
 
 
 @query
 def found_cnt(spark, sf_dir):
-    near = knn.radius_search(held_out(spark, sf_dir), corpus(spark, sf_dir), 1.5)
+    near = knn.radius_search(held_out(spark, sf_dir), everything(spark, sf_dir), 1.5, skip_self=True)
     return held_out(spark, sf_dir).join(near, "qid", "left").groupBy("qid").agg(F.count("vec_id").alias("found"))
 
 
 @query
 def dist_percentiles(spark, sf_dir):
-    scored = knn.score_pairs(held_out(spark, sf_dir), corpus(spark, sf_dir))
-    return scored.agg(*[r6(F.expr(f"percentile(dist, {p / 100})"), f"p{p}") for p in (50, 90, 99)])
+    scored = cut(knn.radius_search(held_out(spark, sf_dir), everything(spark, sf_dir), float("inf")))
+    found = knn.percentiles(scored, "dist", (0.5, 0.9, 0.99))
+    return spark.createDataFrame([tuple(found)], "p50 double, p90 double, p99 double").select(*[r6(F.col(c), c) for c in ("p50", "p90", "p99")])
 
 
 @query
@@ -223,57 +253,76 @@ def recall_at_k(spark, sf_dir):
 
 @query
 def knn_graph(spark, sf_dir):
-    return graph.knn_graph(corpus(spark, sf_dir), DEGREE)
+    return graph.knn_graph(everything(spark, sf_dir), DEGREE)
 
 
 @query
 def vamana_graph(spark, sf_dir):
-    return graph.cell_graph(corpus(spark, sf_dir), DEGREE)
+    return graph.cell_graph(everything(spark, sf_dir), DEGREE)
 
 
 @query
 def nav_sample(spark, sf_dir):
-    return graph.nav_sample(corpus(spark, sf_dir), NAV)
+    return graph.nav_sample(everything(spark, sf_dir), NAV)
 
 
 @query
 def nav_graph(spark, sf_dir):
-    chosen = graph.nav_sample(corpus(spark, sf_dir), NAV).join(corpus(spark, sf_dir), "vec_id")
+    chosen = graph.nav_sample(everything(spark, sf_dir), NAV).join(everything(spark, sf_dir), "vec_id")
     return graph.knn_graph(chosen.select(F.col("nav_id").alias("vec_id"), "v"), 8)
 
 
 @query
 def nav_entry(spark, sf_dir):
-    out = beam.nav_entry(held_out(spark, sf_dir), graph.nav_sample(corpus(spark, sf_dir), NAV), corpus(spark, sf_dir))
+    out = beam.nav_entry(held_out(spark, sf_dir), graph.nav_sample(everything(spark, sf_dir), NAV), everything(spark, sf_dir))
     return rounded(out)
 
 
+def _nav_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    chosen = graph.nav_sample(everything(spark, sf_dir), NAV).join(everything(spark, sf_dir), "vec_id").select(F.col("nav_id").alias("vec_id"), "v")
+    return cut(chosen), cut(graph.knn_graph(chosen, 8))
+
+
+@query
+def nav_walk(spark, sf_dir):
+    """The entry by a walk of the navigation graph from its node 0, with a beam of four."""
+    rows, links = _nav_tables(spark, sf_dir)
+    found = beam.nav_walk(held_out(spark, sf_dir), rows, links, 0)
+    return rounded(found.join(graph.nav_sample(everything(spark, sf_dir), NAV), "nav_id").select("qid", "nav_id", F.col("vec_id").alias("entry"), "dist"))
+
+
+@query
+def zipf_draws(spark, sf_dir):
+    """A skewed query stream: of each vector's draw, the item by Zipf's law."""
+    return zipf.draw(embeddings(spark, sf_dir).select("vec_id"), "vec_id", 100, 1.1).select("vec_id", "item")
+
+
 @query
 def nav_translate(spark, sf_dir):
-    nav = graph.nav_sample(corpus(spark, sf_dir), NAV)
+    nav = graph.nav_sample(everything(spark, sf_dir), NAV)
     return held_out(spark, sf_dir).select("qid", F.pmod("qid", F.lit(NAV)).alias("nav_id")).join(nav, "nav_id").select("qid", "nav_id", F.col("vec_id").alias("entry"))
 
 
 @query
 def centroid(spark, sf_dir):
-    return graph.centroid(corpus(spark, sf_dir)).select(F.posexplode("centroid").alias("i", "x")).select("i", r6(F.col("x"), "x"))
+    return graph.centroid(everything(spark, sf_dir)).select(F.posexplode("centroid").alias("i", "x")).select("i", r6(F.col("x"), "x"))
 
 
 @query
 def medoid(spark, sf_dir):
-    return rounded(graph.medoid(corpus(spark, sf_dir)))
+    return rounded(graph.medoid(everything(spark, sf_dir)))
 
 
 @query
 def degree_stats(spark, sf_dir):
-    reverse = graph.knn_graph(corpus(spark, sf_dir), DEGREE).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    reverse = graph.knn_graph(everything(spark, sf_dir), DEGREE).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return graph.degree_stats(reverse).withColumn("avg_degree", F.round("avg_degree", DIGITS))
 
 
 @query
 def dangling_edges(spark, sf_dir):
-    some = corpus(spark, sf_dir).filter("vec_id % 10 != 1")
-    return graph.dangling_edges(graph.knn_graph(corpus(spark, sf_dir), DEGREE), some)
+    some = everything(spark, sf_dir).filter("vec_id % 10 != 1")
+    return graph.dangling_edges(graph.knn_graph(everything(spark, sf_dir), DEGREE), some)
 
 
 @query
@@ -283,18 +332,19 @@ def bfs_hops(spark, sf_dir):
 
 @query
 def hop_histogram(spark, sf_dir):
-    return graph.hop_histogram(graph.bfs_hops(edges(spark, sf_dir), ENTRY, 2), corpus(spark, sf_dir))
+    return graph.hop_histogram(graph.bfs_hops(edges(spark, sf_dir), ENTRY), everything(spark, sf_dir))
 
 
 @query
 def expand_frontier(spark, sf_dir):
-    near = edges(spark, sf_dir).filter("rk <= 3")
-    return held_out(spark, sf_dir).select("qid", (F.col("qid") + 1).alias("src")).join(near, "src").select("qid", "src", "dst", "rk")
+    """Every query's next node joined with its record: all its neighbours."""
+    frontier = held_out(spark, sf_dir).select("qid", (F.col("qid") + 1).alias("src"))
+    return frontier.join(edges(spark, sf_dir), "src").select("qid", "src", "dst", "rk")
 
 
 @query
 def neighbor_codes(spark, sf_dir):
-    near = edges(spark, sf_dir).join(pq.encode(corpus(spark, sf_dir), model(spark, sf_dir)), F.col("dst") == F.col("vec_id"))
+    near = edges(spark, sf_dir).join(pq.encode(everything(spark, sf_dir), model(spark, sf_dir)), F.col("dst") == F.col("vec_id"))
     return near.select("src", "dst", F.element_at("code", 1).cast("int").alias("first_code"), F.aggregate("code", F.lit(0), lambda t, c: t + c.cast("int")).cast("bigint").alias("total"))
 
 
@@ -313,14 +363,14 @@ def beam_union(spark, sf_dir):
 
 @query
 def sort_neighbors(spark, sf_dir):
-    rows = corpus(spark, sf_dir)
+    rows = everything(spark, sf_dir)
     near = edges(spark, sf_dir).join(rows.select(F.col("vec_id").alias("src"), F.col("v").alias("qv")), "src").join(rows.select(F.col("vec_id").alias("dst"), "v"), "dst")
     listed = near.groupBy("src").agg(F.array_sort(F.collect_list(F.struct(F.round(D.l2(qv, v), DIGITS).alias("dist"), "dst"))).alias("l"))
     return listed.select("src", F.posexplode("l").alias("pos", "x")).select("src", "pos", "x.dst", "x.dist")
 
 
 def _ranked(spark, sf_dir, low: int, high: int) -> DataFrame:
-    near = knn.exact_knn(held_out(spark, sf_dir), corpus(spark, sf_dir), high)
+    near = knn.exact_knn(held_out(spark, sf_dir), everything(spark, sf_dir), high, skip_self=True)
     return near.filter(F.col("rk") > low).groupBy("qid").agg(F.collect_list(F.struct(F.round("dist", 9).alias("d"), F.col("vec_id").alias("id"))).alias("b"))
 
 
@@ -332,10 +382,10 @@ def beam_merge(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir):
-    rows, m = corpus(spark, sf_dir), model(spark, sf_dir)
+    rows, m = corpus(spark, sf_dir), model(spark, sf_dir, corpus)
     codes = cut(pq.encode(rows, m))
     entries = held_out(spark, sf_dir).select("qid", F.lit(ENTRY).cast("bigint").alias("entry"))
-    return rows, m, codes, entries, edges(spark, sf_dir)
+    return rows, m, codes, entries, edges(spark, sf_dir, corpus)
 
 
 @query
@@ -362,7 +412,7 @@ def beam_search_batch(spark, sf_dir):
 @query
 def beam_recall(spark, sf_dir):
     found = beam_search_batch(spark, sf_dir)
-    return knn.recall(found, knn.exact_knn(held_out(spark, sf_dir), corpus(spark, sf_dir), K), K)
+    return knn.recall(found, knn.exact_knn(held_out(spark, sf_dir), corpus(spark, sf_dir), K), K).select(r6(F.col("recall"), "recall"))
 
 
 @query
@@ -373,12 +423,12 @@ def search_stats(spark, sf_dir):
 
 @query
 def access_frequency(spark, sf_dir):
-    return graph.access_frequency(graph.knn_graph(corpus(spark, sf_dir), DEGREE).select(F.col("dst").alias("node")))
+    return graph.access_frequency(graph.knn_graph(everything(spark, sf_dir), DEGREE).select(F.col("dst").alias("node")))
 
 
 @query
 def stripe_skew(spark, sf_dir):
-    near = graph.knn_graph(corpus(spark, sf_dir), DEGREE)
+    near = graph.knn_graph(everything(spark, sf_dir), DEGREE)
     page, _ = graph.page_layout(F.col("dst"), 64 * 4 + 4 + 4 * DEGREE)
     return graph.stripe_skew(near.select(page.alias("page")), 4).withColumn("share", F.round("share", DIGITS))
 
@@ -388,7 +438,7 @@ def _folder(spark) -> str:
 
 
 def _paged(spark, sf_dir) -> list[str]:
-    """All vectors, with the edges of the corpus, as a paged index in two stripes."""
+    """All vectors and the edges between them as a paged index in two stripes."""
     near = graph.adjacency(edges(spark, sf_dir))
     nodes = embeddings(spark, sf_dir).select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector")).join(near, "node", "left")
     return files.write_index(nodes, f"{_folder(spark)}/index", DEGREE, ENTRY, stripes=2)
@@ -430,6 +480,6 @@ def stream_knn(spark, sf_dir):
     folder, asked = _folder(spark), held_out(spark, sf_dir)
     asked.repartition(2).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    index = VectorIndex(corpus(spark, sf_dir), edges(spark, sf_dir), ENTRY)
+    index = VectorIndex(everything(spark, sf_dir), edges(spark, sf_dir), ENTRY)
     search_stream(stream, index, K, EF, f"{folder}/out", f"{folder}/log", "exact").awaitTermination()
     return rounded(spark.read.parquet(f"{folder}/out").select("qid", "rk", "vec_id", "dist"))

@@ -23,4 +23,14 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to a table and read again: what follows does not compute it anew."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._vecloom_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_vecloom_path", None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

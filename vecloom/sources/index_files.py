@@ -134,21 +134,34 @@ def read_index(spark: SparkSession, paths: str | list[str], element: str = "floa
 
 
 def read_nodes(ids: DataFrame, paths: str | list[str], element: str = "float", node: str = "node") -> DataFrame:
-    """node, vector, nbrs of the nodes that a column of ids names, each read from its page alone; null and unknown ids give no row."""
+    """node, vector, nbrs of the nodes that a column of ids names; null and unknown ids give no row.
+
+    Only the pages that hold them are read: ids are sorted into ranges, so a page is read about once.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     meta = read_meta(paths[0], element)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             wanted = part.column(0).to_numpy()
-            records = np.zeros((len(wanted), meta.record_bytes), dtype=np.uint8)
-            for i, n in enumerate(wanted.tolist()):
-                at = n % meta.per_page * meta.record_bytes
-                records[i] = read_pages(paths, n // meta.per_page + 1, 1)[0, at : at + meta.record_bytes]
+            pages, of = np.unique(wanted // meta.per_page + 1, return_inverse=True)
+            held = np.zeros((len(pages), PAGE_BYTES), dtype=np.uint8)
+            for stripe, path in enumerate(paths):  # each file is opened once a batch, and read in order
+                mine = np.flatnonzero(pages % len(paths) == stripe)
+                if len(mine):
+                    where, name = open_at(path)
+                    with where.open_input_file(name) as f:
+                        for i in mine.tolist():
+                            raw = f.read_at(PAGE_BYTES, int(pages[i]) // len(paths) * PAGE_BYTES)
+                            if len(raw) != PAGE_BYTES:
+                                raise ValueError(f"{path}: shorter than its header says")
+                            held[i] = np.frombuffer(raw, dtype=np.uint8)
+            start = wanted % meta.per_page * meta.record_bytes
+            records = held[of[:, None], start[:, None] + np.arange(meta.record_bytes)]
             yield unpack(records, wanted, meta, element)
 
     known = ids.select(F.col(node).cast("bigint").alias("node")).filter(F.col("node").between(0, meta.nodes - 1))
-    return known.mapInArrow(batches, _schema(element))
+    return known.repartitionByRange("node").sortWithinPartitions("node").mapInArrow(batches, _schema(element))
 
 
 def write_index(nodes: DataFrame, path: str, degree: int, medoid: int, element: str = "float", stripes: int = 1) -> list[str]:

@@ -112,6 +112,34 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return ids.mapInArrow(batches, "qid bigint, ids array<int>, dists array<float>")
 
 
+def write_block(path: str, rows: np.ndarray, kind: str, offset: int) -> int:
+    """Write a matrix with its header (``fbin``, ``ibin``, ``bbin``) at an offset of a file; returns where it ends.
+
+    What lies before and after it in the file stays; a gap is filled with zeros. The file is replaced as a whole.
+    """
+    dtype, _, per_row = FORMATS[kind]
+    if per_row:
+        raise ValueError(f"{kind} has no header to write at an offset")
+    body = np.array(rows.shape, dtype="<i4").tobytes() + np.ascontiguousarray(rows, dtype=dtype).tobytes()
+    where, name = open_at(path)
+    size = where.get_file_info(name).size or 0
+    with whole_file(path) as f:
+        if size:
+            with where.open_input_file(name) as old:
+                copy_range(old, f, 0, min(offset, size))
+        f.write(b"\0" * max(0, offset - size))
+        f.write(body)
+        if size > offset + len(body):
+            with where.open_input_file(name) as old:
+                copy_range(old, f, offset + len(body), size)
+    return offset + len(body)
+
+
+def copy_range(source, target, first: int, end: int) -> None:
+    for at in range(first, end, COPY_BYTES):
+        target.write(source.read_at(min(COPY_BYTES, end - at), at))
+
+
 @contextmanager
 def whole_file(name: str):
     """A stream to a file that bears its name only once it is whole, so that a task that is run again leaves no half."""
