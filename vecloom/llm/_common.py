@@ -27,7 +27,10 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="vecloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/vecloom-{spark.sparkContext.applicationId}"
+    path = f"{root.rstrip('/')}/vecloom-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # with the application
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:

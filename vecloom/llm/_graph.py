@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs a node's larger neighbours, then its smaller ones, under the smallest node known
     to either; the rounds end when every component is a star, after about log of the longest path.
-    State is one row an edge; rounds write it to the shared folder.
+    State is one row an edge; rounds write it to the shared folder, and the smallest neighbours too: so the
+    join with them is one of two plain shuffles, which Spark splits where a node has very many edges.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     seen = None
@@ -22,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        near = least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
-        discard(now)
+        discard(now, near)
         now, seen = after, mark
