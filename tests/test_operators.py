@@ -63,6 +63,23 @@ def test_distances_from_codes_equal_numpy(points):
         assert [r.vec_id for r in sorted(near, key=lambda r: r.rk) if r.qid == i] == [j for _, j in best]
 
 
+def test_training_ends_at_means_and_beats_given_pivots(points):
+    m, df = points
+    model = pq.train(df, 4, 9, rounds=80)
+    codes, centred = model.encode(m), m - model.centroid
+    for j, (a, b, p) in enumerate(zip(model.offsets, model.offsets[1:], model.pivots)):
+        assert all(np.allclose(p[c], centred[codes[:, j] == c, a:b].mean(0)) for c in set(codes[:, j].tolist()))
+    off = lambda x: sum(
+        (((m - x.centroid)[:, a:b] - p[x.encode(m)[:, j]]) ** 2).sum() for j, (a, b, p) in enumerate(zip(x.offsets, x.offsets[1:], x.pivots)))
+    assert off(model) < off(pq.model_from_rows(df, 4, 9))
+
+
+def test_trained_codes_of_the_query_are_used(spark, sf_dir):
+    m = np.array([r.v for r in q.everything(spark, sf_dir).collect()])
+    codes = pq.train(q.everything(spark, sf_dir), q.CHUNKS, q.PIVOTS).encode(m)
+    assert {r.chunk: r.used for r in q.QUERIES["pq_train"](spark, sf_dir).collect()} == {j: len(set(codes[:, j].tolist())) for j in range(q.CHUNKS)}
+
+
 def test_codes_with_ties_keep_the_smallest_ids(spark):
     m = np.zeros((3000, 4))
     m[::2] = 1.0
@@ -217,6 +234,8 @@ def test_vector_source(spark, tmp_path):
     assert rows.count() == 50 and [r.vector for r in rows.filter("pos = 7").collect()] == [[7.0, 0.5]]
     assert [r.pos for r in rows.filter("pos >= 10 and pos < 13").orderBy("pos").collect()] == [10, 11, 12]
     assert spark.read.format("vecs").option("kind", "fvecs").option("first", 48).load(written.file).count() == 2
+    (typed,) = vecs.write_vectors(df, str(tmp_path / "typed"), "bbin").collect()
+    assert spark.read.format("vecbin").option("dtype", "uint8").load(typed.file).filter("pos = 9").first().vector == [9, 0]
     reader = datasource.VectorReader(written.file, "fvecs", 0, 0, None)
     list(reader.pushFilters([datasource.api.GreaterThan(("pos",), 3), datasource.api.LessThanOrEqual(("pos",), 9), datasource.api.EqualTo(("other",), 1)]))
     assert (reader.first, reader.end) == (4, 10)

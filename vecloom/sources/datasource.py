@@ -69,6 +69,22 @@ class VectorSource(api.DataSource):
         return VectorReader(self.options["path"], self.kind(), number("offset"), number("first"), None if limit is None else int(limit))
 
 
+class TypedSource(VectorSource):
+    """format("vecbin"): files with one header, of the component type that option ``dtype`` names."""
+
+    KINDS = {"float": "fbin", "int": "ibin", "uint8": "bbin"}
+
+    @classmethod
+    def name(cls) -> str:
+        return "vecbin"
+
+    def kind(self) -> str:
+        if (dtype := self.options.get("dtype", "float")) not in self.KINDS:
+            raise ValueError(f"option dtype must be one of {', '.join(self.KINDS)}")
+        return self.KINDS[dtype]
+
+
 def register(spark: SparkSession) -> None:
-    """Make format("vecs") known to the session."""
-    spark.dataSource.register(VectorSource)
+    """Make format("vecs") and format("vecbin") known to the session."""
+    for source in (VectorSource, TypedSource):
+        spark.dataSource.register(source)
