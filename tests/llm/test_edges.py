@@ -149,6 +149,7 @@ def test_packing(nasty, empty):
     assert sum(r.length for r in out if r.doc_id == 6) == [r.doc_tokens for r in out if r.doc_id == 6][0]
     assert all(len(r.ids) == r.length for r in out) and len({r.sequence_id for r in out}) == len(out)
     assert [r.ids for r in out if r.doc_id == 4] == [[1]]
+    assert all(r.length == packing.LENGTH >> (r.sequence_id >> packing.BUCKET_BIT) for r in out)
     assert packing.pack(empty, TOKENIZER).collect() == []
 
 

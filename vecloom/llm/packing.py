@@ -3,7 +3,8 @@
 A document of n tokens is cut into pieces whose lengths are the powers of two in n: as many of the
 longest sequence as fit, then the binary digits of the rest, longest first. Every piece is a sequence
 of its own, so that none crosses documents and none is padded. Sequences of one length form a bucket,
-from which a trainer draws its batches; within each output partition buckets follow one another.
+from which a trainer draws its batches: the leading bits of a sequence's id are its bucket, the longest
+first, so that buckets are ranges of ids; within each output partition they follow one another.
 
 Tokens are the tokenizer's, but each distinct stretch between ASCII white space is tokenized once
 in a worker: this tokenizer drops white space and never joins what it separates. Plain stretches
@@ -26,6 +27,8 @@ from ._common import with_row_key
 
 LENGTH = 2048
 END_ID = 1
+#: Where a sequence's id has its bucket; below it there is room for 2 ** 25 partitions.
+BUCKET_BIT = 58
 #: Stretches and words that a worker remembers before it starts anew.
 REMEMBERED = 400_000
 #: Longer ones are not remembered, so that what a worker holds is bounded in bytes too.
@@ -128,11 +131,11 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     longest is a power of two. start counts the document's ids before the piece; ids_crc32 is over the
     ids as unsigned little-endian 32-bit numbers; doc_tokens counts the document's ids with end_id,
     which ends it. A null or empty text is end_id alone. A piece is its sequence's only one, so offset
-    is 0. Rows are packed one by one, repeated and null ids too; ids may be of any type. An empty table gives an empty result;
+    is 0. sequence_id is bucket * 2 ** BUCKET_BIT and a number, bucket being log2(longest / length). Rows are packed one by one, repeated and null ids too; ids may be of any type. An empty table gives an empty result;
     other columns are not read. with_ids=False leaves the ids out.
     """
-    if longest & (longest - 1):
-        raise ValueError("longest must be a power of two")
+    if not 0 < longest < 1 << 32 or longest & (longest - 1):
+        raise ValueError("longest must be a power of two below 2 ** 32")
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,9 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
     schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(batches, schema).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
+    bucket = F.lit(longest.bit_length()) - F.length(F.bin("length"))
+    number = F.shiftleft(bucket.cast("bigint"), BUCKET_BIT) + F.monotonically_increasing_id()
+    out = rows.mapInArrow(batches, schema).withColumn("sequence_id", number).withColumn("offset", F.lit(0).cast("bigint"))
     return out.sortWithinPartitions(F.desc("length"))
 
 
@@ -171,5 +176,6 @@ def write_buckets(packed: DataFrame, path: str) -> None:
     """Write pack()'s sequences under path/length=<n>: a bucket holds the sequences of one length.
 
     Rows are not shuffled: within a partition they come in buckets, so a task has one file open at a time.
+    Every sequence is written, of documents with null or repeated ids too; none are, no file is.
     """
     packed.write.partitionBy("length").parquet(path)
