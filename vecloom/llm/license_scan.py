@@ -108,6 +108,7 @@ VARIANTS, SEED, FOLDS, UNSEEN = 12, 7, 4, 0.1
 #: The end of a sentence, as a word.
 END = "\ue000"
 END_RE = r"[.!?;:]+(?=\s|$)"
+ENDS_RE = END + r"(?:[^a-z0-9\x{80}-\x{10FFFF}]*" + END + ")+"
 WORDS_RE = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: From the end of a line over lines without words; comment marks made of letters.
 BLANK_RE = r"\n[^a-z0-9\x{80}-\x{10FFFF}]*\n"
@@ -148,11 +149,18 @@ def anchors() -> tuple[str, ...]:
 
 
 def worth_a_look(text: Column) -> Column:
-    """Whether a text in lower case can hold a licence: a long anchor is in it, or a short one as a word."""
+    """Whether a text in lower case can hold a licence: a long anchor is in it, or a short one as a word.
+
+    The text goes through an array of one, so that it is computed once for all anchors.
+    """
     long = [a for a in anchors() if len(a) > 4 and not any(b != a and len(b) > 4 and b in a for b in anchors())]
     short = "|".join(a for a in anchors() if len(a) < 5)
-    found = reduce(lambda a, b: a | b, [F.contains(text, F.lit(word)) for word in long])
-    return found | F.rlike(text, F.lit(rf"(?<![a-z0-9])(?:{short})(?![a-z0-9])")) if short else found
+
+    def found(t: Column) -> Column:
+        by_part = reduce(lambda a, b: a | b, [F.contains(t, F.lit(word)) for word in long])
+        return by_part | F.rlike(t, F.lit(rf"(?<![a-z0-9])(?:{short})(?![a-z0-9])")) if short else by_part
+
+    return F.exists(F.array(text), found)
 
 
 @dataclass(frozen=True)
@@ -271,14 +279,13 @@ def scan_paragraphs(base: DataFrame, key: str, text_col: str = "text", model: Mo
     names = [f"w{i}" for i in range(len(model.families))]
     texts = base.select(F.col(key).alias("row"), F.lower(text_col).alias("text")).filter(worth_a_look(F.col("text")))
     parts = F.split(F.regexp_replace("text", COMMENT_RE, ""), BLANK_RE)
-    lines = texts.select("row", F.posexplode(parts).alias("paragraph", "whole")).filter(worth_a_look(F.col("whole")))
+    lines = texts.select("row", F.posexplode_outer(parts).alias("paragraph", "whole")).filter(worth_a_look(F.col("whole")))
     lines = lines.select("row", "paragraph", F.split("whole", "\n").alias("lines"))
     whole = F.when(F.size("lines") > 1, F.array(F.array_join("lines", " "))).otherwise(F.array().cast("array<string>"))
-    lines = lines.select("row", "paragraph", F.posexplode(F.concat(whole, "lines")).alias("line", "text"), F.size(whole).alias("first"))
+    lines = lines.select("row", "paragraph", F.posexplode_outer(F.concat(whole, "lines")).alias("line", "text"), F.size(whole).alias("first"))
     lines = lines.select("row", "paragraph", (F.col("line") - F.col("first")).alias("line"), "text").filter(worth_a_look(F.col("text")))
-    ended = F.regexp_replace("text", END_RE, f" {END} ")
-    words = F.concat(F.array(F.lit(END)), F.filter(F.split(ended, WORDS_RE), lambda w: w != ""), F.array(F.lit(END)))
-    words = F.filter(words, lambda w, i: (i == 0) | (w != END) | (F.get(words, i - 1) != END))
+    ended = F.concat(F.lit(f"{END} "), F.regexp_replace("text", END_RE, f" {END} "), F.lit(f" {END}"))
+    words = F.filter(F.split(F.regexp_replace(ended, ENDS_RE, END), WORDS_RE), lambda w: w != "")
     lines = lines.select("row", "paragraph", "line", words.alias("w"))
     pairs = "transform(sequence(0, size(w) - 2), i -> xxhash64(w[i], w[i + 1]))"
     triples = "if(size(w) > 2, transform(sequence(0, greatest(size(w) - 3, 0)), i -> xxhash64(w[i], w[i + 1], try_element_at(w, i + 3))), array())"
