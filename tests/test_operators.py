@@ -275,3 +275,22 @@ def test_sweep_counts_batches(spark, tmp_path, points):
     (written,) = vecs.write_vectors(asked, str(tmp_path / "q"), "fbin").collect()
     ((ef, took, _, share, mean, spent),) = cli.main(["search", "--index", str(tmp_path / "index"), "--query", written.file, "--topk", "3", "--ef_search", "10", "-R", "1", "-B", "2"], spark)
     assert (ef, share) == (10, None) and mean == pytest.approx(took / 3) and spent >= 10
+
+
+def test_shards_by_nearness_are_searched_in_part(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(400, 6)) + 6 * rng.integers(0, 3, size=(400, 1))
+    df = frame(spark, m)
+    index = VectorIndex.build(df, 8, shards=4, near=True).save(str(tmp_path / "index"))
+    shard = {r.vec_id: r.shard for r in index.shard_of.collect()}
+    assert len(shard) == 400 and all(shard[r.src] == shard[r.dst] for r in index.edges.collect())
+    centre = {r.shard: np.array(r.v) for r in index.centres.collect()}
+    assert all(shard[i] == min(centre, key=lambda s: (((m[i] - centre[s]) ** 2).sum(), s)) for i in range(400))
+    asked = df.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
+    truth = index.search(asked, 5, 5, "exact")
+    whole, part = index.search(asked, 5, 60), index.search(asked, 5, 60, probes=1)
+    assert knn.recall(whole, truth, 5).first().recall >= 0.99
+    assert all(shard[r.vec_id] == shard[r.qid] for r in part.collect()) and knn.recall(part, truth, 5).first().recall >= 0.5
+    spent = lambda df: df.select("qid", "n_expanded").distinct().agg(F.sum("n_expanded")).first()[0]
+    assert spent(part) < spent(whole) / 2
+    assert sorted(tuple(r) for r in index.search(asked, 5, 60, probes=9).collect()) == sorted(tuple(r) for r in whole.collect())

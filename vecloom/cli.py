@@ -45,7 +45,7 @@ def load(spark: SparkSession, a: argparse.Namespace) -> VectorIndex:
 
 def build(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = vecs.read_vectors(spark, a.vectors, kind_of(a.vectors, a.data_type)).select(F.col("pos").alias("vec_id"), F.col("vector").alias("v"))
-    VectorIndex.build(rows, a.degree, a.chunks, a.pivots, a.nav, a.shards).save(a.out)
+    VectorIndex.build(rows, a.degree, a.chunks, a.pivots, a.nav, a.shards, a.near).save(a.out)
 
 
 def search(spark: SparkSession, a: argparse.Namespace) -> list[tuple]:
@@ -66,7 +66,7 @@ def search(spark: SparkSession, a: argparse.Namespace) -> list[tuple]:
         began, found = time.perf_counter(), None
         for part in range(parts):
             asked_now = many if parts == 1 else many.filter(F.pmod("qid", F.lit(parts)) == part)
-            some = cut(index.search(asked_now, a.topk, ef, a.mode).select("qid", "rk", "vec_id", "n_expanded"))
+            some = cut(index.search(asked_now, a.topk, ef, a.mode, a.probes).select("qid", "rk", "vec_id", "n_expanded"))
             found = some if found is None else found.unionByName(some)
         took = time.perf_counter() - began
         spent = found.select("qid", "n_expanded").distinct().agg(F.avg("n_expanded")).first()[0]
@@ -173,6 +173,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--pivots", type=int, default=256)
     p.add_argument("--nav", type=int)
     p.add_argument("--shards", type=int)
+    p.add_argument("--near", action="store_true", help="shards go by nearness, so that a search can leave some out")
     p = command(search, "search an index, once an ef", "index", "query")
     p.add_argument("--ground_truth")
     p.add_argument("--topk", type=int, default=100)
@@ -182,6 +183,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--nav_graph", help="folder of the navigation files")
     p.add_argument("-R", "--repeat", type=int, default=20)
     p.add_argument("-B", "--batch", type=int, help="queries a batch")
+    p.add_argument("--probes", type=int, help="shards that a query searches, if they go by nearness")
     p.add_argument("--walk", action="store_true", help="walk the navigation graph instead of looking at its whole sample")
     p.add_argument("--mode", choices=MODES, help="by the size of the index, unless given")
     p.add_argument("--output", help="folder for the ids found")

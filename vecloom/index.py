@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.distance import cast_vector
 from .operators import beam, graph, knn, pq
+from .plans.scratch import cut
 from .sources import index_files as files
 
 MODES = ("batch", "loop", "exact")
@@ -23,6 +24,7 @@ MODES = ("batch", "loop", "exact")
 class VectorIndex:
     """corpus: vec_id, v; edges: src, dst, rk; codes: vec_id, code (None: distances are exact); nav: nav_id, vec_id;
     nav_edges: src, dst between nav_ids (None: all of the sample is looked at).
+    shard_of: vec_id, shard and centres: shard, v, where shards go by nearness (None: by id).
 
     ``shards`` is what the edges were built for: each shard is searched by a task of its own.
     """
@@ -35,10 +37,15 @@ class VectorIndex:
     nav: DataFrame | None = None
     shards: int = 1
     nav_edges: DataFrame | None = None
+    shard_of: DataFrame | None = None
+    centres: DataFrame | None = None
 
     @classmethod
-    def build(cls, corpus: DataFrame, degree: int = 32, chunks: int | None = None, pivots: int = 256, nav: int | None = None, shards: int | None = None) -> VectorIndex:
-        """An index of corpus (vec_id, v); vectors are quantised if ``chunks`` is given, ``nav`` is the size of the navigation sample."""
+    def build(cls, corpus: DataFrame, degree: int = 32, chunks: int | None = None, pivots: int = 256, nav: int | None = None, shards: int | None = None, near: bool = False) -> VectorIndex:
+        """An index of corpus (vec_id, v); vectors are quantised if ``chunks`` is given, ``nav`` is the size of the navigation sample.
+
+        near: shards hold vectors that are near to one another, so that a search needs only some of them.
+        """
         corpus = corpus.select("vec_id", cast_vector(F.col("v")).alias("v"))
         first = graph.medoid(corpus).first()
         if first is None:
@@ -46,7 +53,10 @@ class VectorIndex:
         shards = beam.shard_count(corpus) if shards is None else shards
         model = pq.train(corpus, chunks, pivots) if chunks else None
         codes = pq.encode(corpus, model) if model else None
-        return cls(corpus, graph.shard_graph(corpus, degree, shards), first.vec_id, model, codes, graph.nav_sample(corpus, nav) if nav else None, shards)
+        shard_of, centres = graph.centre_shards(corpus, shards) if near and shards > 1 else (None, None)
+        shard_of = None if shard_of is None else cut(shard_of)
+        links = graph.shard_graph(corpus, degree, shards, shard_of=shard_of)
+        return cls(corpus, links, first.vec_id, model, codes, graph.nav_sample(corpus, nav) if nav else None, shards, None, shard_of, centres)
 
     def save(self, path: str) -> VectorIndex:
         """Write the index under a folder, and return it read from there."""
@@ -57,13 +67,16 @@ class VectorIndex:
             self.codes.write.mode("overwrite").parquet(f"{path}/codes")
         if self.nav is not None:
             self.nav.write.mode("overwrite").parquet(f"{path}/nav")
+        for name in ("nav_edges", "shard_of", "centres"):
+            if getattr(self, name) is not None:
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         spark = self.corpus.sparkSession
         if self.model is not None:
             pivots = [(j, i, [float(x) for x in sub]) for j, table in enumerate(self.model.pivots) for i, sub in enumerate(table)]
             spark.createDataFrame(pivots, "chunk int, pivot int, sub array<double>").write.mode("overwrite").parquet(f"{path}/pivots")
         about = (self.medoid, self.shards, self.codes is not None, self.nav is not None,
-                 list(self.model.offsets) if self.model else None, [float(x) for x in self.model.centroid] if self.model else None)
-        schema = "medoid bigint, shards int, has_codes boolean, has_nav boolean, offsets array<int>, centroid array<double>"
+                 self.nav_edges is not None, self.centres is not None, list(self.model.offsets) if self.model else None, [float(x) for x in self.model.centroid] if self.model else None)
+        schema = "medoid bigint, shards int, has_codes boolean, has_nav boolean, has_nav_edges boolean, has_centres boolean, offsets array<int>, centroid array<double>"
         spark.createDataFrame([about], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
         return self.load(spark, path)
 
@@ -76,7 +89,8 @@ class VectorIndex:
             for r in read("pivots").orderBy("chunk", "pivot").collect():
                 tables[r.chunk].append(r["sub"])
             model = pq.PQModel(tuple(about.offsets), tuple(np.array(t) for t in tables), np.array(about.centroid))
-        return cls(read("corpus"), read("edges"), about.medoid, model, read("codes") if about.has_codes else None, read("nav") if about.has_nav else None, about.shards)
+        return cls(read("corpus"), read("edges"), about.medoid, model, read("codes") if about.has_codes else None, read("nav") if about.has_nav else None, about.shards,
+                   read("nav_edges") if about.has_nav_edges else None, read("shard_of") if about.has_centres else None, read("centres") if about.has_centres else None)
 
     @classmethod
     def from_files(cls, spark: SparkSession, index: str | list[str], pq_prefix: str | None = None, nav_prefix: str | None = None, element: str = "float", walk: bool = False) -> VectorIndex:
@@ -114,13 +128,21 @@ class VectorIndex:
             return queries.select("qid", F.lit(self.medoid).cast("bigint").alias("entry"))
         return beam.nav_entry(queries, self.nav, self.corpus).select("qid", "entry")
 
-    def search(self, queries: DataFrame, k: int, ef: int, mode: str | None = None) -> DataFrame:
+    def probes(self, queries: DataFrame, n: int | None) -> DataFrame | None:
+        """qid, shards: the shards with the n nearest centres."""
+        if n is None or self.centres is None:
+            return None
+        near = knn.exact_knn(queries, self.centres.select(F.col("shard").alias("vec_id"), "v"), min(n, self.centres.count()))
+        return near.groupBy("qid").agg(F.sort_array(F.collect_list("vec_id")).alias("shards"))
+
+    def search(self, queries: DataFrame, k: int, ef: int, mode: str | None = None, probes: int | None = None) -> DataFrame:
         """qid, rk, vec_id, dist, n_expanded of queries (qid, qv), qid being unique.
 
         ``batch`` searches each shard in a task, ``loop`` advances all queries a step at a time over the
         whole graph, ``exact`` looks at every vector (n_expanded is null then). Without a mode an index of
         several shards is searched shard by shard. One of a single shard is searched as a whole, by
-        either way, as its size allows: both give the same rows.
+        either way, as its size allows: both give the same rows. probes: so many shards a query, those
+        with the nearest centres, where shards go by nearness; all of them without it.
         """
         mode = mode or ("batch" if self.shards > 1 or beam.shard_count(self.corpus) == 1 else "loop")
         if mode not in MODES:
@@ -129,6 +151,6 @@ class VectorIndex:
         if mode == "exact":
             return knn.exact_knn(queries, self.corpus, k).withColumn("n_expanded", F.lit(None).cast("bigint"))
         if mode == "batch":
-            return beam.beam_search_batch(queries, self.model, self.entries(queries), self.edges, self.corpus, self.codes, ef, k, self.shards)
+            return beam.beam_search_batch(queries, self.model, self.entries(queries), self.edges, self.corpus, self.codes, ef, k, self.shards, self.shard_of, self.probes(queries, probes))
         tables = queries.withColumn("lut", F.expr("cast(null as array<array<double>>)")) if self.model is None else pq.lookup_tables(queries, self.model)
         return beam.beam_search(tables, self.entries(queries), beam.search_graph(self.edges, self.corpus, self.codes), ef, k)

@@ -142,7 +142,7 @@ def shard_count(corpus: DataFrame, rows: int = SHARD_ROWS) -> int:
 
 
 def beam_search_batch(queries: DataFrame, model: PQModel | None, entry: int | DataFrame | None, edges: DataFrame, corpus: DataFrame, codes: DataFrame | None,
-                      ef: int, k: int, shards: int | None = None) -> DataFrame:
+                      ef: int, k: int, shards: int | None = None, shard_of: DataFrame | None = None, probes: DataFrame | None = None) -> DataFrame:
     """qid, rk, vec_id, dist, n_expanded by the batch form.
 
     The corpus is dealt into shards by id, each small enough for a task (as many as its size asks for
@@ -150,17 +150,24 @@ def beam_search_batch(queries: DataFrame, model: PQModel | None, entry: int | Da
     or, if that lies elsewhere, from its smallest id. Build the edges of several shards with
     shard_graph(): of another graph's edges most lead from shard to shard. Queries are broadcast in
     bounded blocks, and the shards' results merge. Without model and codes distances are exact.
+
+    With shard_of (vec_id, shard) shards are as it says, and probes (qid, shards: an array, of one
+    length) names those that a query searches; edges must then lie within shards.
     """
     if ef < k:
         raise ValueError("ef must be at least k")
     spark, schema, out = corpus.sparkSession, "shard bigint, qid bigint, vec_id bigint, dist double, n_expanded bigint", None
     shards = shard_count(corpus) if shards is None else shards
     of = (lambda c: F.pmod(c, F.lit(shards)))
-    within = edges.filter(of(F.col("src")) == of(F.col("dst")))
+    within = edges.filter(of(F.col("src")) == of(F.col("dst"))) if shard_of is None else edges
     node = corpus if codes is None else corpus.join(codes, "vec_id")
     node = node.join(within.groupBy(F.col("src").alias("vec_id")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs")), "vec_id", "left")
-    node = node.select(of(F.col("vec_id")).alias("shard"), "vec_id", "v", F.expr("cast(null as array<smallint>)").alias("code") if codes is None else "code", "nbrs")
+    node = node.withColumn("shard", of(F.col("vec_id"))) if shard_of is None else node.join(shard_of, "vec_id")
+    node = node.select("shard", "vec_id", "v", F.expr("cast(null as array<smallint>)").alias("code") if codes is None else "code", "nbrs")
     asked = queries.join(entry, "qid") if isinstance(entry, DataFrame) else queries.withColumn("entry", F.lit(-1 if entry is None else entry).cast("bigint"))
+    asked = asked.withColumn("shards", F.array(F.lit(-1).cast("bigint"))) if probes is None else asked.join(probes, "qid")
+
+    probed = probes is not None
 
     def searcher(shared) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def search(part: pd.DataFrame) -> pd.DataFrame:
@@ -168,14 +175,16 @@ def beam_search_batch(queries: DataFrame, model: PQModel | None, entry: int | Da
             code = {int(i): np.array(c, dtype=np.int64) for i, c in zip(part["vec_id"], part["code"]) if c is not None}
             links = {int(i): [int(n) for n in nb] for i, nb in zip(part["vec_id"], part["nbrs"]) if nb is not None}
             smallest, shard, rows = min(known), int(part["shard"].iloc[0]), []
-            for qid, q, first in zip(*(column.tolist() if column.ndim == 1 else column for column in shared.value)):
+            for qid, q, first, mine in zip(*(column.tolist() if column.ndim == 1 else column for column in shared.value)):
+                if probed and shard not in mine:
+                    continue
                 found, n = walk(q, _guide(q, model, known, code), first if first in known else smallest, known, links, ef, k)
                 rows += [(shard, qid, i, d, n) for d, i in found]
             return pd.DataFrame(rows, columns=["shard", "qid", "vec_id", "dist", "n_expanded"])
 
         return search
 
-    for block in query_blocks(asked, "entry"):
+    for block in query_blocks(asked, "entry", "shards"):
         found = node.groupBy("shard").applyInPandas(searcher(spark.sparkContext.broadcast(block)), schema)
         out = found if out is None else out.unionByName(found)
     out = cut(spark.createDataFrame([], schema) if out is None else out)

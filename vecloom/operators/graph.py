@@ -88,8 +88,8 @@ def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int
         part = part.sort_values("vec_id")
         return pd.DataFrame(prune(part["vec_id"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64), degree, alpha), columns=["src", "dst", "rk"])
 
-    placed = corpus.select("vec_id", "v").mapInPandas(assign, "vec_id bigint, v array<double>, cell bigint, along double")
-    placed = cut(placed.withColumn("shard", F.lit(0).cast("bigint") if within is None else within.cast("bigint")))
+    rows = corpus.select("vec_id", "v", (F.lit(0) if within is None else within).cast("bigint").alias("shard"))
+    placed = cut(rows.mapInPandas(assign, "vec_id bigint, v array<double>, shard bigint, cell bigint, along double"))
     sizes = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     large = sizes.filter(F.col("n") > CELL_ROWS).select("shard", "cell", F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int").alias("slices"))
     cuts = placed.join(F.broadcast(large), ["shard", "cell"]).groupBy("shard", "cell").agg(
@@ -105,11 +105,32 @@ def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int
     return both.withColumn("rk", F.row_number().over(order).cast("bigint")).filter(F.col("rk") <= degree)
 
 
-def shard_graph(corpus: DataFrame, degree: int, shards: int, alpha: float = 1.2) -> DataFrame:
+def centre_shards(corpus: DataFrame, shards: int, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, shard) of every whole vector, and (shard, v) of the centres: a shard holds what is nearest to its centre.
+
+    Centres are a sample, 4096 at most, so that they can be broadcast.
+    """
+    corpus = usable(corpus, "v", "vec_id").select("vec_id", "v")
+    chosen = corpus.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(min(4096, shards)).collect()
+    shared = corpus.sparkSession.sparkContext.broadcast(np.array([r.v for r in chosen], dtype=np.float64))
+
+    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = shared.value
+        for part in (p for p in parts if len(p)):
+            m = np.array(part["v"].tolist(), dtype=np.float64)
+            yield pd.DataFrame({"vec_id": part["vec_id"], "shard": ((c * c).sum(1)[None] - 2 * m @ c.T).argmin(axis=1)})
+
+    centres = corpus.sparkSession.createDataFrame([(i, list(map(float, r.v))) for i, r in enumerate(chosen)], "shard bigint, v array<double>")
+    return corpus.mapInPandas(assign, "vec_id bigint, shard bigint"), centres
+
+
+def shard_graph(corpus: DataFrame, degree: int, shards: int, alpha: float = 1.2, shard_of: DataFrame | None = None) -> DataFrame:
     """src, dst, rk: an alpha-pruned graph within each shard, as the batch search deals the corpus.
 
-    A shard is built in cells of its own (cell_graph's centres are shared by all), so no task holds more than a cell.
+    Shards go by id, or as shard_of (vec_id, shard) says. A shard is built in cells of its own (cell_graph's centres are shared by all), so no task holds more than a cell.
     """
+    if shard_of is not None:
+        return cell_graph(corpus.join(shard_of, "vec_id"), degree, alpha, within=F.col("shard"))
     return cell_graph(corpus, degree, alpha, within=F.pmod(F.col("vec_id"), F.lit(shards)))
 
 
