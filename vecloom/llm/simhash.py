@@ -139,7 +139,7 @@ def links(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(some[owner])], ["key", "fp"])
 
     keyed = cut(nodes.select("fp").mapInArrow(batches, "key bigint, fp bigint"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))  # a table: Spark splits the join's hot keys
     members = cut(keyed.join(shared, "key"))
     few = members.filter(F.col("n") <= JOINED)
     joined = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter("a < b")
