@@ -294,3 +294,33 @@ def test_shards_by_nearness_are_searched_in_part(spark, tmp_path):
     spent = lambda df: df.select("qid", "n_expanded").distinct().agg(F.sum("n_expanded")).first()[0]
     assert spent(part) < spent(whole) / 2
     assert sorted(tuple(r) for r in index.search(asked, 5, 60, probes=9).collect()) == sorted(tuple(r) for r in whole.collect())
+
+
+def test_navigation_files_are_walked_and_widened(spark, tmp_path, points):
+    m, df = points
+    folder = str(tmp_path)
+    index = VectorIndex.build(df, 8, nav=30)
+    index.to_files(f"{folder}/index", 8)
+    nav = index.nav.cache()
+    rows = nav.join(df, "vec_id").select(F.col("nav_id").alias("vec_id"), "v").cache()
+    links = graph.knn_graph(rows, 5)
+    index_files.write_nav_graph(graph.adjacency(links).withColumnRenamed("node", "nav_id"), f"{folder}/nav/nav_index")
+    index_files.write_map(nav, f"{folder}/nav/map.txt")
+    (data,) = vecs.write_vectors(rows.select("vec_id", "v").coalesce(1), f"{folder}/data", "fbin", "vec_id", "v").collect()
+    (tmp_path / "nav" / "nav_index.data").write_bytes(open(data.file, "rb").read())
+    asked = df.filter("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
+    walked = VectorIndex.from_files(spark, f"{folder}/index", nav_prefix=f"{folder}/nav", walk=True)
+    near = {}
+    for r in links.orderBy("src", "rk").collect():
+        near.setdefault(r.src, []).append(r.dst)
+    of = {r.nav_id: r.vec_id for r in nav.collect()}
+    held = {n: m[i].astype("f4").astype(float) for n, i in of.items()}
+    want = {}
+    for q_ in range(5):
+        found, _ = search(m[q_], held, near, 0, 4, 1, lambda n: round(float(((m[q_] - held[n]) ** 2).sum()), 9))
+        want[q_] = of[found[0][1]]
+    assert {r.qid: r.entry for r in walked.entries(asked).collect()} == want
+    assert walked.search(asked, 3, 20).count() == 15
+    names = cli.main(["widen", "--index", f"{folder}/index", "--out", f"{folder}/wide", "--times", "2", "--nav_graph", f"{folder}/nav"], spark)
+    wide = {r.pos: r.vector for r in vecs.read_vectors(spark, names[-1], "fbin").collect()}
+    assert all(wide[n] == pytest.approx(np.repeat(m[i], 2), abs=1e-6) for n, i in of.items())
