@@ -272,6 +272,21 @@ def test_mix_spreads_rows_without_an_id(spark):
         assert sum(r.taken for r in some) == round(some[0].target) and all(r.taken <= 2 * r.size for r in some)
 
 
+def test_mix_spreads_rows_with_one_id(spark, monkeypatch):
+    rows = [(7, "a", "one two three")] * 300 + [(i, "a", "four five") for i in range(100, 160)] + [(i, "b", "six") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(4)
+    base, key = mixing.with_row_key(df)
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 20)
+    plan = mixing.plan_mix(base, key)
+    got = plan.collect()
+    for size in {r.source_size for r in got}:
+        some = [r for r in got if r.source_size == size]
+        assert sum(r.taken for r in some) == round(some[0].target) and all(r.taken <= 2 * r.size for r in some)
+        starts = sorted((t.position, t["pass"], t.words) for r in some for t in r.takes)
+        assert len(starts) == len({(p, n) for p, n, _ in starts})
+    assert len(got) == len(rows) and [tuple(r) for r in plan.orderBy("row").collect()] == sorted((tuple(r) for r in got), key=lambda r: r[0])
+
+
 def test_packing_forgets_long_stretches_and_writes_buckets(spark, tmp_path):
     known = packing.worker(TOKENIZER)
     long = "xyz" * 400

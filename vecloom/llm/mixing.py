@@ -8,7 +8,8 @@ size is read again from its start until the demand is met.
 
 Running sums never gather a source in one task: a source's hash order is dealt into buckets by its
 leading hex digits, the number of digits follows the number of rows, and only bucket totals are
-summed along a source.
+summed along a source. A bucket that stays large, as many rows of it have one id, is dealt again by the
+hash of the rows' places in the input.
 """
 
 from __future__ import annotations
@@ -91,6 +92,11 @@ def plan_mix(base: DataFrame, key: str, id_col: str = "doc_id", source_col: str
     digits = max(1, math.ceil(math.log(max(1, rows.count()) / ROWS_PER_BUCKET, 16)))
     rows = rows.withColumn("bucket", F.substring("place", 1, digits))
     of = ["no_source", "source"]
+    more = F.ceil(F.log(16.0, F.col("n") / ROWS_PER_BUCKET)).cast("int").alias("more")
+    large = cut(rows.groupBy(*of, "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * ROWS_PER_BUCKET).select(*of, "bucket", more))
+    if large.take(1):
+        finer = F.concat("place", F.substr(F.md5(F.col("row").cast("string")), F.lit(1), F.col("more")))
+        rows = rows.join(large, [*of, "bucket"], "left").withColumn("bucket", F.when(F.col("more").isNull(), F.col("bucket")).otherwise(finer)).drop("more")
     buckets = rows.groupBy(*of, "bucket").agg(F.sum("size").alias("words"))
     dealt = targets(buckets.groupBy(*of).agg(F.sum("words").alias("source_size")), weights, share, cap)
     along = Window.partitionBy(*of).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
