@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -55,6 +56,12 @@ def discard(*frames: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def forget() -> None:
+    """Drop what packing remembers in this worker, as workers are kept from one operator's tasks to the next one's."""
+    if module := sys.modules.get(f"{__package__}.packing"):
+        module._WORKERS.clear()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or the first variation of it that is no column of df."""
     taken = {c.lower() for c in df.columns}

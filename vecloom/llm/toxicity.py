@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, free_name
+from ._common import cut, forget, free_name
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
@@ -159,6 +159,7 @@ def candidates_of(text: str) -> set[str]:
 def count(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
     """entry, n: documents of rows that have each candidate (of those wanted)."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         found: Counter = Counter()
         for part in parts:
             for text in part.column(0):
@@ -280,6 +281,7 @@ def score_toxicity(df: DataFrame, model: Model, text_col: str = "text", score_co
     place, name = df.columns.index(text_col), free_name(df, score_col)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in parts:
             scores = pa.array((model.score(model.features(text.as_py() or "")) for text in part.column(place)), pa.float64(), size=part.num_rows)
             yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, name])
