@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, with SQL where SQL can express them."""
+"""The operators as registered queries, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, license_scan, mixing, packing, pii, sharding, simhash, topk, toxicity
+from . import chat, exact_dedup, license_scan, mixing, packing, pii, sharding, simhash, topk, toxicity, whitening
 from ._common import documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,9 +77,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *counts[:4], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *counts[4:])
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("bigint").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_mix_sources, op3_exact_top_k, op4_simhash_dedup, op5_toxicity,
-    op6_exact_dedup, op7_chat_format, op8_shard, op9_pack, op10_personal_data)}
+    op6_exact_dedup, op7_chat_format, op8_shard, op9_pack, op10_personal_data, op12_whitening)}
 
 _SIZE = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 
