@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, license_scan, mixing, packing, pii, sharding, simhash, topk, toxicity, whitening
-from ._common import documents
+from . import chat, exact_dedup, license_scan, mixing, packing, pii, sharding, simhash, topk, toxicity, trie, whitening
+from ._common import cut, documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CONTROL_TEXT = r"\### Assistant: </turn> ok"
@@ -82,9 +82,18 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("bigint").alias("deviation"), "whitened", "explained", "identity_error")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = cut(trie.sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    base = own.select(F.col("conv_id").alias("base"), F.col("ids").alias("base_ids"), F.col("bytes").alias("base_bytes"))
+    h = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(9)).cast("int")
+    rebuilt = lambda c: F.concat(F.coalesce(F.slice(f"base_{c}", F.lit(1), h), F.array().cast("array<bigint>")), F.slice(c, h + 1, F.size(c))).alias(c)
+    both = own.join(base, F.col("conv_id") - F.col("conv_id") % 5 == F.col("base"), "left")
+    return trie.trie_nodes(cut(both.select("conv_id", rebuilt("ids"), rebuilt("bytes"))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_mix_sources, op3_exact_top_k, op4_simhash_dedup, op5_toxicity,
-    op6_exact_dedup, op7_chat_format, op8_shard, op9_pack, op10_personal_data, op12_whitening)}
+    op6_exact_dedup, op7_chat_format, op8_shard, op9_pack, op10_personal_data, op12_whitening, op13_prefix_trie)}
 
 _SIZE = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 
@@ -164,4 +173,25 @@ b AS (
   FROM p JOIN s ON p.local_depth = s.local_depth AND p.bucket = s.bucket, m WHERE s.shard_bytes <= m.most OR s.shard_docs = 1)
 SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, CASE WHEN local_depth = 0 THEN '' ELSE lpad(format('{{:b}}', bucket), local_depth, '0') END AS shard, local_depth, shard_bytes, shard_docs
 FROM b WHERE n = 1""",
+    "op13_prefix_trie": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, dense_rank() OVER (ORDER BY role, text) AS id, CAST(octet_length(encode(text)) AS BIGINT) AS b FROM t),
+o AS (SELECT conv_id, list(struct_pack(i := id, b := b) ORDER BY turn NULLS FIRST, id) AS turns FROM k GROUP BY conv_id),
+c AS (
+  SELECT conv_id, turns, conv_id - conv_id % 5 AS base, xor(list_reduce(
+    flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h
+  FROM o),
+r AS (SELECT c.conv_id, list_concat(coalesce(list_slice(o.turns, 1, c.h), []), list_slice(c.turns, c.h + 1, len(c.turns))) AS turns FROM c LEFT JOIN o ON o.conv_id = c.base),
+p AS (SELECT conv_id, d, list_slice(turns, 1, d) AS pre, len(turns) = d AS is_end FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (
+  SELECT pre, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '') AS ends
+  FROM p GROUP BY pre, d),
+k2 AS (SELECT list_slice(pre, 1, d - 1) AS above, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+w AS (SELECT n.*, coalesce(k2.n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * pre[d].b ELSE 0 END AS own FROM n LEFT JOIN k2 ON n.pre = k2.above),
+s AS (
+  SELECT list_slice(pre, 1, a) AS above, CAST(sum(own) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM w) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN s ON s.above = w.pre LEFT JOIN n u ON w.d > 0 AND u.pre = list_slice(w.pre, 1, w.d - 1)""",
 }
