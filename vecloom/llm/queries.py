@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, license_scan, mixing, packing, pii, sharding, simhash, topk, toxicity, trie, whitening
+from . import chat, exact_dedup, license_scan, mixing, packing, pii, sharding, simhash, substring_dedup, topk, toxicity, trie, whitening
 from ._common import cut, documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +77,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *counts[:4], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *counts[4:])
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("bigint").alias("deviation"), "whitened", "explained", "identity_error")
@@ -93,7 +98,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_mix_sources, op3_exact_top_k, op4_simhash_dedup, op5_toxicity,
-    op6_exact_dedup, op7_chat_format, op8_shard, op9_pack, op10_personal_data, op12_whitening, op13_prefix_trie)}
+    op6_exact_dedup, op7_chat_format, op8_shard, op9_pack, op10_personal_data, op11_substring_dedup, op12_whitening, op13_prefix_trie)}
 
 _SIZE = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 
@@ -173,6 +178,18 @@ b AS (
   FROM p JOIN s ON p.local_depth = s.local_depth AND p.bucket = s.bucket, m WHERE s.shard_bytes <= m.most OR s.shard_docs = 1)
 SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, CASE WHEN local_depth = 0 THEN '' ELSE lpad(format('{{:b}}', bucket), local_depth, '0') END AS shard, local_depth, shard_bytes, shard_docs
 FROM b WHERE n = 1""",
+    "op11_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, doc_id, i, sha256(array_to_string(list_slice(ws, i, i + 49), ' ')) AS h FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h),
+x AS (SELECT w.r, w.i FROM w JOIN f ON w.h = f.h WHERE f.first < w.doc_id OR (w.doc_id IS NULL AND f.first IS NOT NULL)),
+p AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+c AS (
+  SELECT p.r, p.i, p.word, max(x.i) OVER (PARTITION BY p.r ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM p LEFT JOIN x ON x.r = p.r AND x.i = p.i),
+g AS (SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM c GROUP BY r)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.r = d.r""",
     "op13_prefix_trie": """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 k AS (SELECT *, dense_rank() OVER (ORDER BY role, text) AS id, CAST(octet_length(encode(text)) AS BIGINT) AS b FROM t),
