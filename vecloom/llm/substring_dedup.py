@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 
 from ._common import cut, discard, with_row_key
 from .fm_index import FMIndex
-from .near_dedup import marks, only
+from .near_dedup import hits, marks, only, place_of
 
 #: Words of a window, and of the runs whose smallest hash is a window's key in the first round.
 WINDOW, RUN = 50, 20
 #: Keys that go to one shard, or that one task streams: at most and at least; between them a share of all.
-MOST_KEYS, LEAST_KEYS = 1 << 16, 1 << 11
-#: Bytes of text, windows of a lane, and lanes handled at a time.
-BLOCK, LANE, LANES = 1 << 19, 206, 4096
+MOST_KEYS, LEAST_KEYS = 1 << 15, 1 << 11
+#: Bytes of text, windows of a lane, lanes, and whole texts handled at a time.
+BLOCK, LANE, LANES, TEXTS = 1 << 19, 206, 4096, 512
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _POWERS = np.power(np.uint64(0x9E3779B97F4A7C15), np.arange(4096, dtype=np.uint64))
@@ -62,8 +62,8 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of ``width`` words, by doubling."""
-    base, out, have = np.uint64(0xD6E8FEB86659FD93), None, 0
-    part, length, factor = words, 1, base  # hashes of runs of ``length`` words, and base ** length
+    out, have = None, 0
+    part, length, factor = words, 1, np.uint64(0xD6E8FEB86659FD93)  # hashes of runs of ``length`` words, and a power for each length
     while True:
         if width & length:
             out = part if out is None else out[: len(part) - have] * factor + part[have:] if len(part) > have else out[:0]
@@ -71,7 +71,7 @@ def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
         if 2 * length > width:
             return mix(out[: max(0, len(words) - width + 1)])
         part = part[:-length] * factor + part[length:] if len(part) > length else part[:0]
-        factor, length = factor * factor, 2 * length
+        factor, length = np.uint64(int(factor) ** 2 % 2**64), 2 * length
 
 
 def window_keys(words: np.ndarray, run: int) -> np.ndarray:
@@ -289,29 +289,38 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 
 def removal(rows: DataFrame, repeats: DataFrame) -> DataFrame:
     """row, id, n_words, n_removed, kept: what is left of the words of rows (row, id, text), one space between."""
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            counts, removed, kept = [], [], []
-            for text, found in zip(part.column(2).cast(pa.binary()).to_pylist(), part.column(3)):
-                words = (text or b"").split()
-                counts.append(len(words))
-                if found.is_valid:
-                    edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    at, n = (found.values.field(c).to_numpy() for c in ("at", "n"))
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + n + WINDOW - 1, -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
-                removed.append(counts[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "id", "n_words", "n_removed", "kept"])
-
     spans = cut(repeats.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
     bits = marks(spans, "row")  # texts that lose nothing are not moved
-    kind = {c: rows.schema[c].dataType.simpleString() for c in ("row", "id")}
-    whole = only(rows, bits, "row", False).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    some = only(rows, bits, "row").join(spans, "row", "left").select(*whole.columns)
-    return whole.unionByName(some).mapInArrow(batches, f"row {kind['row']}, id {kind['id']}, n_words bigint, n_removed bigint, kept string")
+
+    def left(text: bytes | None, found: pa.Scalar | None) -> tuple[int, int, bytes]:
+        words = (text or b"").split()
+        count = len(words)
+        if found is not None and found.is_valid:
+            edge = np.zeros(count + 1, dtype=np.int64)
+            at, n = (found.values.field(c).to_numpy() for c in ("at", "n"))
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + n + WINDOW - 1, -1)
+            words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+        return count, count - len(words), b" ".join(words)
+
+    def cleaned(part: pa.RecordBatch, found: pa.Array | None) -> Iterator[pa.RecordBatch]:
+        for at in range(0, part.num_rows, TEXTS):
+            some = part.slice(at, TEXTS)
+            texts = some.column(2).cast(pa.binary())
+            count, gone, kept = zip(*(left(t.as_py(), None if found is None else found[at + i]) for i, t in enumerate(texts)))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "id", "n_words", "n_removed", "kept"])
+
+    def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield from cleaned(part.filter(pa.array(~hits(bits, part.column(3)))), None)
+
+    def some(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield from cleaned(part, part.column(3))
+
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
+    moved = only(rows, bits, "row").join(spans, "row", "left").select("row", "id", "text", "spans")
+    return rows.select("row", "id", "text", place_of("row").alias("place")).mapInArrow(whole, schema).unionByName(moved.mapInArrow(some, schema))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
