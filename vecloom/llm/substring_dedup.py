@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +35,9 @@ from .near_dedup import hits, marks, only, place_of
 #: Words of a window, and of the runs whose smallest hash is a window's key in the first round.
 WINDOW, RUN = 50, 20
 #: Keys that go to one shard, or that one task streams: at most and at least; between them a share of all.
-MOST_KEYS, LEAST_KEYS = 1 << 15, 1 << 11
+MOST_KEYS, LEAST_KEYS = 1 << 14, 1 << 11
 #: Bytes of text, windows of a lane, lanes, and whole texts handled at a time.
-BLOCK, LANE, LANES, TEXTS = 1 << 19, 206, 4096, 512
+BLOCK, LANE, LANES, TEXTS = 1 << 18, 206, 2048, 512
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _POWERS = np.power(np.uint64(0x9E3779B97F4A7C15), np.arange(4096, dtype=np.uint64))
@@ -88,14 +89,14 @@ def window_keys(words: np.ndarray, run: int) -> np.ndarray:
 
 def blocks(part: pa.RecordBatch, column: int, run: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
     """(at, texts, rows, starts, keys) of texts together about BLOCK bytes long: the batch row of the first; each window's batch row, first word and key."""
-    texts = [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
-    at = 0
+    texts = part.column(column).cast(pa.binary())
+    sizes, at = pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 0
     while at < len(texts):
-        end, size = at + 1, len(texts[at])
+        end, size = at + 1, sizes[at]
         while end < len(texts) and size < BLOCK:
-            size += len(texts[end])
+            size += sizes[end]
             end += 1
-        some = texts[at:end]
+        some = [t or b"" for t in texts.slice(at, end - at).to_pylist()]
         places, words = word_hashes(b"\n".join(some))
         first = np.searchsorted(places, np.cumsum([0, *[len(t) + 1 for t in some]]))
         keys = window_keys(words, run)
@@ -225,6 +226,7 @@ class Shard:
             for a, b in zip(ends[:-1], ends[1:]):
                 yield row, at + a, id_, b - a, None if flags[a] else b" ".join(split[a : b + WINDOW - 1])
         self.lanes, self.held = [], []
+        pa.default_memory_pool().release_unused()
 
 
 def search(found: DataFrame) -> DataFrame:
