@@ -69,3 +69,21 @@ def test_stage_finds_all_pairs_of_the_table(spark, sf_dir):
 def test_nulls_and_empty(spark, rows):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r.doc_id for r in near_dedup.drop_near_copies(df).collect()) == ([1, 5] if rows else [])
+
+
+def test_families_below_the_threshold_are_not_compared(spark, monkeypatch):
+    """Texts that share much of their words, none of them near another: few pairs at any number of families."""
+    def family(rng, size):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        return [" ".join(base[:175] + [f"own{rng.randrange(10**9)}" for _ in range(45)]) for _ in range(size)]
+
+    met, plain = [], near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda sets, pairs: met.append(pairs.count()) or plain(sets, pairs))
+    for families in (10, 20):
+        rng = random.Random(families)
+        texts = [t for _ in range(families) for t in family(rng, 50)] + [t for _ in range(families // 2) for t in family(rng, 100)]
+        texts += [texts[0], texts[0].replace("own", "other", 1)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+        kept = {r.doc_id for r in near_dedup.drop_near_copies(df).collect()}
+        assert kept == set(range(len(texts) - 2))
+    assert sum(met) <= 4 * 10

@@ -5,12 +5,19 @@ from two sides, and all of them are verified on their whole sets.
 
 The SimHash fingerprints of the sets give some by the keys of nearby Golay codewords, as in simhash:
 those within two bits. Most near copies lie further apart, too far for the code at any choice of
-segments, so the sets themselves give the rest, and none is lost. Two sets of
-Jaccard similarity 0.8 or more share one of the first fifth of their members, in any order that is
-the same for all texts (prefix filtering): those members are the keys. Rare ones come first, by a
-count over a sample of the texts, kept in a table of fixed size; what the sample misses costs time,
-never a pair. Texts that share a key are candidates if their sizes, and what can be left of either set after the
-first common key, allow the similarity.
+segments, so the sets themselves give the rest, and none is lost. Two sets of Jaccard similarity 0.8 or
+more share so many of their first members, in any order that is the same for all texts (prefix
+filtering). That is used twice:
+
+1. In the order of the hashes, a quarter of each set's members is counted over all texts. A text of whose
+   first members too few occur elsewhere has no near copy; most texts end here.
+2. The sets of the others are written as a table, and all their members are counted. In the order of these
+   counts, rare ones first, two near sets share one of the first fifth: those members are the keys. What
+   occurs once needs no key, so texts that share a passage, and little beside it, do not meet. Texts that
+   share a key are candidates if their sizes, and what can be left of either set after the first common
+   key, allow the similarity.
+
+All counts are over all texts, at any size, and are joined as tables.
 
 A key that many texts share is not joined with itself. Its texts are compared with a few of them
 first, those that have it earliest and so hold the least of their own; after that, pairs that these
@@ -37,9 +44,8 @@ WIDTH, FIFTHS = 5, 4
 JOINED, HUBS = 16, 2
 #: Parts that the texts of a key that many share are dealt to.
 SALTS = 16
-#: One text of so many is counted, or about so many texts where that is less, in so many counters (16 MiB): with more
-#: texts the counters would fill up, and fewer tell common shingles from rare ones as well.
-SAMPLE, SAMPLED, COUNTERS = 4, 400_000, 1 << 22
+#: How much longer the first prefix is, which is counted over all texts: one part in so many.
+LONGER = 4
 SEED = 42
 #: Bits of a bitmap that goes to the workers (8 MiB).
 BITMAP_BITS = 1 << 26
@@ -68,23 +74,6 @@ def fingerprint(found: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)
 
 
-def counts(rows: DataFrame):
-    """How often shingles occur in a sample of the texts, by counter, broadcast."""
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(COUNTERS, dtype=np.int64)
-        for part in parts:
-            for text in part.column(0).cast(pa.binary()):
-                np.add.at(held, (shingles(text.as_py() or b"") & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        at = np.nonzero(held)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
-
-    some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(max(SAMPLE, rows.count() // SAMPLED))) == 0).select("text")
-    out = np.zeros(COUNTERS, dtype=np.int32)
-    for r in some.mapInArrow(batches, "at bigint, n bigint").groupBy("at").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).filter("n > 1").toLocalIterator():
-        out[r["at"]] = r["n"]
-    return rows.sparkSession.sparkContext.broadcast(out)
-
-
 def marks(values: DataFrame, column: str):
     """A bitmap of the hashes of a column, broadcast: its size is fixed, whatever the number of values."""
     words = values.select(place_of(column).alias("h")).select(F.shiftright("h", 5).alias("at"), F.expr("shiftleft(1L, cast(h & 31 as int))").alias("bits"))
@@ -115,40 +104,44 @@ def only(df: DataFrame, bits, column: str, marked: bool = True) -> DataFrame:
     return df.withColumn(name, place_of(f"`{column}`")).mapInArrow(batches, df.schema)
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """key, doc, about, row: the keys of each text, the text's number, and the size of its set and how much of it begins at the key.
+def needed(n: np.ndarray) -> np.ndarray:
+    """How many members two near sets share among the first(n) of each, where the smaller has n."""
+    return 1 + (n - (FIFTHS * n + 4) // 5 + 1) // LONGER
 
-    about is size * 2 ** 32 + rest. One row a text has its fingerprint as key, nothing as rest, and the
-    text's row, which is null elsewhere.
-    """
-    known = counts(rows)
 
+def first(n: np.ndarray) -> np.ndarray:
+    """So many members of a set of n are its first prefix."""
+    return np.minimum(n, n - (FIFTHS * n + 4) // 5 + needed(n))
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """key, doc, need, row: the first members of each text by hash, and the text's number.
+
+    One row a text has its fingerprint as key and the text's row, which is null elsewhere; need is how many
+    of its members must occur in other texts as well, if it has a near copy.
+    """
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         forget()
-        first, seen = TaskContext.get().partitionId() << 33, 0
+        begin, seen = TaskContext.get().partitionId() << 33, 0
 
         def batch() -> pa.RecordBatch:
             many, n = np.array([len(k) for k in keys]), np.array(sizes, dtype=np.int64)
-            ends = np.cumsum(many)
-            size = np.repeat(n, many)
-            rest = size - np.arange(len(size)) + np.repeat(ends - many, many)
-            rest[ends - 1] = 0
-            of = pa.array(np.repeat(at, many), mask=rest > 0)
-            doc = first + seen + np.repeat(np.array(at, dtype=np.int64), many)
+            last = np.zeros(many.sum(), dtype=bool)
+            last[np.cumsum(many) - 1] = True
+            doc = begin + seen + np.repeat(np.array(at, dtype=np.int64), many)
+            need = np.repeat(needed((FIFTHS * n + 4) // 5), many)  # a near set has at least so many members
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(doc), pa.array(size << 32 | rest), part.column(0).take(of)], ["key", "doc", "about", "row"])
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(doc), pa.array(need.astype(np.int32)), part.column(0).take(pa.array(np.repeat(at, many), mask=~last))], ["key", "doc", "need", "row"])
 
         for part in parts:
             keys, at, sizes, held = [], [], [], 0
             for i, text in enumerate(part.column(1).cast(pa.binary())):
                 found = shingles(text.as_py() or b"")
-                n = len(found)
-                order = np.lexsort((found, known.value[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                keys.append(np.concatenate((found[order[: n - (FIFTHS * n + 4) // 5 + 1]], fingerprint(found))))
+                keys.append(np.concatenate((found[: int(first(np.int64(len(found))))], fingerprint(found))))
                 at.append(i)
-                sizes.append(n)
+                sizes.append(len(found))
                 held += len(keys[-1])
                 if held > ENTRIES:
                     yield batch()
@@ -157,7 +150,45 @@ def keyed(rows: DataFrame) -> DataFrame:
                 yield batch()
             seen += part.num_rows
 
-    return rows.mapInArrow(batches, f"key bigint, doc bigint, about bigint, row {rows.schema['row'].dataType.simpleString()}")
+    return rows.mapInArrow(batches, f"key bigint, doc bigint, need int, row {rows.schema['row'].dataType.simpleString()}")
+
+
+def repeated(entries: DataFrame) -> DataFrame:
+    """key, n: the keys that several entries have, as a table."""
+    return cut(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+
+
+def known_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc, set of docs (doc, row), as a table. Texts that are not among them are not moved."""
+    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for part in parts:
+            for at in range(0, part.num_rows, 1024):
+                some = part.slice(at, 1024)
+                some = some.filter(pa.array(hits(bits, some.column(2))))
+                held = [shingles(text.as_py() or b"").view(np.int64) for text in some.column(1).cast(pa.binary())]
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(h) for h in held]))).astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held) if held else np.zeros(0, dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column(0), lists], ["row", "set"])
+
+    bits = marks(docs, "row")
+    found = rows.select("row", "text", place_of("row").alias("place")).mapInArrow(sets, f"row {rows.schema['row'].dataType.simpleString()}, set array<bigint>")
+    out = cut(found.join(docs, "row").select("doc", "set"))
+    bits.unpersist()
+    return out
+
+
+def prefix_keys(sets: DataFrame) -> DataFrame:
+    """key, doc, about: the keys of each set, and about = size * 2 ** 32 + how much of the set begins at the key."""
+    entries = sets.select("doc", F.size("set").alias("size"), F.explode("set").alias("key"))
+    often = repeated(entries)
+    of = entries.join(often, "key").groupBy("doc").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))  # bounded by the set
+    alone = F.col("size") - F.size("shared")
+    prefix = F.col("size") - F.floor((FIFTHS * F.col("size") + 4) / 5) + 1
+    keys = F.slice("shared", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
+    each = of.select("doc", "size", F.size("shared").alias("rest"), F.posexplode(keys).alias("at", "k"))
+    about = F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR((F.col("rest") - F.col("at")).cast("bigint"))
+    return each.select(F.col("k.key").alias("key"), "doc", about.alias("about"))
 
 
 def side(members: DataFrame, name: str, *more: str) -> DataFrame:
@@ -191,28 +222,12 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(rows: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of docs (doc, row) whose texts are near. Texts that are in no pair are not moved."""
-    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            part = part.filter(pa.array(hits(bits, part.column(2))))
-            held = [shingles(text.as_py() or b"").view(np.int64) for text in part.column(1).cast(pa.binary())]
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(h) for h in held]))).astype(np.int32))
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held) if held else np.zeros(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["row", "set"])
-
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    needed = cut(docs.join(ids, "doc").select("doc", "row"))
-    bits = marks(needed, "row")
-    some = rows.select("row", "text", place_of("row").alias("place"))
-    known = cut(some.mapInArrow(sets, f"row {rows.schema['row'].dataType.simpleString()}, set array<bigint>").join(needed, "row").select("doc", "set"))
-    of = lambda name: known.select(F.col("doc").alias(name), F.col("set").alias(f"set_{name}"))
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (doc, set) are near; those of docs without a set are not."""
+    of = lambda name: sets.select(F.col("doc").alias(name), F.col("set").alias(f"set_{name}"))
     common = F.size(F.array_intersect("set_a", "set_b")).alias("common")
     both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", (F.size("set_a") + F.size("set_b")).alias("sizes"), common)
-    out = cut(both.filter(5 * F.col("common") >= FIFTHS * (F.col("sizes") - F.col("common"))).select("a", "b"))
-    discard(known, needed)
-    bits.unpersist()
-    return out
+    return cut(both.filter(5 * F.col("common") >= FIFTHS * (F.col("sizes") - F.col("common"))).select("a", "b"))
 
 
 def alike_prints(prints: DataFrame) -> DataFrame:
@@ -226,15 +241,20 @@ def alike_prints(prints: DataFrame) -> DataFrame:
 
 def near_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, docs): a, b that connect the docs of every pair of near texts, and no others; doc, row of every text."""
-    found = cut(keyed(rows))
+    found = cut(sketches(rows))
     docs = cut(found.filter("row is not null").select("doc", "row", F.col("key").alias("fp")))
     close = cut(alike_prints(docs.select("doc", "fp")))
-    entries = found.filter("row is null").select("key", "doc", "about")
-    shared = cut(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    entries = found.filter("row is null").select("key", "doc", "need")
+    shared = repeated(entries)
     bits = marks(shared, "key")
-    members = cut(only(entries, bits, "key").join(shared, "key"))
-    discard(found, shared)
+    met = only(entries, bits, "key").join(shared, "key").groupBy("doc", "need").agg(F.count("*").alias("n")).filter("n >= need")
+    open_docs = cut(docs.select("doc", "row").join(met.select("doc"), "doc"))
     bits.unpersist()
+    discard(found, shared)
+    sets = known_sets(rows, open_docs)
+    keys = cut(prefix_keys(sets))
+    members = cut(keys.join(repeated(keys), "key"))
+    discard(keys, open_docs)
     few, hot = members.filter(F.col("n") <= JOINED), dealt(members.filter(F.col("n") > JOINED))
     pair = (F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     pairs = side(few, "a").join(side(few, "b"), "key").filter((F.col("doc_a") < F.col("doc_b")) & may_be_near()).select(*pair)
@@ -243,7 +263,7 @@ def near_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     hubs = hot.groupBy("key").agg(*chosen).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"hub{i}.doc", f"hub{i}.about") for i in range(HUBS)]))).alias("hub")).select("key", "hub.*")
     first = side(hot, "a").join(side(everywhere(hubs), "b"), ["key", "salt"]).filter((F.col("doc_a") != F.col("doc_b")) & may_be_near()).select(*pair)
     tested = cut(ordered(pairs.unionByName(first).unionByName(close)))
-    near = verified(rows, docs, tested)
+    near = verified(sets, tested)
     roots = components(near)
     labelled = cut(hot.join(roots, hot["doc"] == roots["node"], "left").select("key", "salt", "doc", "about", F.coalesce("root", "doc").alias("label")))
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -251,8 +271,8 @@ def near_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = labelled.join(everywhere(most), ["key", "salt"])
     rest = side(everywhere(open_.filter("label != most").drop("salt")), "a", "label").join(side(open_, "b", "label"), ["key", "salt"])
     rest = ordered(rest.filter((F.col("label_a") != F.col("label_b")) & may_be_near()).select(*pair))
-    more = verified(rows, docs, cut(rest.join(tested, ["a", "b"], "left_anti")))
-    discard(members, labelled, tested, close)
+    more = verified(sets, cut(rest.join(tested, ["a", "b"], "left_anti")))
+    discard(members, labelled, tested, close, sets)
     return near.unionByName(more), docs
 
 
