@@ -5,31 +5,38 @@ from codes, ties by id; the beam keeps the best ``ef`` distinct nodes, expanded
 first unexpanded node of the beam is expanded next; only expanded nodes enter the result, by exact
 squared distance; the search ends when the beam has no unexpanded node.
 
-Two forms give the same rows: a fixpoint over one state row a query, all queries in one loop, and a
-batch form in which each shard of the graph is searched by a task of its own.
+Three forms: a fixpoint over one state row a query, all queries in one loop; a batch form in which each
+shard of the graph is searched by a task of its own; and an exchange, in which shards advance the searches
+that are at one of their nodes, and hand over those that go on elsewhere. The first and the last give the
+same rows for any graph, and the batch form does where edges do not cross shards. A trace of a search is
+one row for each node that it expands: qid, round (from 0, the entry), node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import adc, l2
-from ..plans.scratch import cut, discard
-from .knn import query_blocks, top_k
+from ..plans.scratch import bucketed, cut, discard
+from .knn import exact_knn, matrix, query_blocks, top_k
 from .pq import PQModel
+from .walk import LANES, Nodes, Walks, matrix_of
 
 DIGITS = 9
-#: Queries whose current nodes (two numbers each) are broadcast, at most.
-FRONTIER_ROWS = 500_000
 #: Nodes of a graph that rounds may join as it is, and the rounds between two tables of their state then.
 SMALL_GRAPH, ROUNDS = 50_000, 4
+#: Nodes of a bucket of a larger graph, and queries of a bucket of its searches' state.
+BUCKET_ROWS, STATE_ROWS = 50_000, 10_000
 #: Vectors that one task of the batch form holds, at most.
 SHARD_ROWS = 200_000
+#: Bytes of a navigation sample with its graph that are broadcast; larger ones are walked in rounds.
+NAV_BYTES = 1 << 30
 _BEAM = "array<struct<d:double,id:bigint>>"
 
 
@@ -51,17 +58,17 @@ def merge_beam(beam, fresh, ef: int):
     return F.slice(F.array_sort(F.array_distinct(F.concat(beam, fresh))), 1, ef)
 
 
-def beam_round(state: DataFrame, graph: DataFrame, ef: int, k: int, scan: bool = False) -> DataFrame:
+def beam_round(state: DataFrame, graph: DataFrame, ef: int, k: int, apart: bool = False) -> DataFrame:
     """Expand node u of every state row (qid, qv, lut, beam, vis, result, u).
 
-    State and graph are joined as they are, or, for ``scan``, only (qid, u) of not more than FRONTIER_ROWS
-    queries meets the graph: that is broadcast, so that the graph is scanned but not shuffled, and the
-    records found, one a query at most, then join the wider state.
+    State and graph are joined as they are, or ``apart``: only (qid, u) goes to the graph, which is bucketed
+    by node and neither shuffled nor sorted, and the records found, one a query at most, go to the state,
+    which is bucketed by qid and stays where it is.
     """
-    if scan:
+    if apart:
         frontier = state.filter(F.col("u").isNotNull()).select(F.col("qid").alias("at_qid"), F.col("u").alias("at"))
-        found = graph.join(F.broadcast(frontier), F.col("node") == F.col("at")).drop("at")
-        joined = state.join(found, state["qid"] == found["at_qid"], "left").drop("at_qid")
+        found = graph.join(frontier.hint("shuffle_hash"), F.col("node") == F.col("at")).drop("at")
+        joined = state.join(found.hint("shuffle_hash"), state["qid"] == found["at_qid"], "left").drop("at_qid")
     else:
         joined = state.join(graph, state["u"] == graph["node"], "left")
     there = F.col("node").isNotNull()
@@ -85,78 +92,62 @@ def start_state(tables: DataFrame, entries: DataFrame) -> DataFrame:
         "qid", "qv", "lut", F.expr(f"cast(array() as {_BEAM})").alias("beam"), F.array("entry").alias("vis"), F.expr(f"cast(array() as {_BEAM})").alias("result"), F.col("entry").alias("u"))
 
 
-def beam_search(tables: DataFrame, entries: DataFrame, graph: DataFrame, ef: int, k: int, small: int = SMALL_GRAPH) -> DataFrame:
-    """qid, rk, vec_id, dist, n_expanded by the fixpoint form.
+def buckets_of(rows: int, each: int) -> int:
+    return max(1, -(-rows // each))
 
-    State goes to a table every few rounds; over a graph of more than ``small`` nodes every round, as a
-    round that scans reads the state twice. Both ways give the same rows.
+
+def beam_search(tables: DataFrame, entries: DataFrame, graph: DataFrame, ef: int, k: int, small: int = SMALL_GRAPH, trace: bool = False) -> DataFrame:
+    """qid, rk, vec_id, dist, n_expanded by the fixpoint form, or the trace.
+
+    A graph of more than ``small`` nodes is written bucketed by node, once, and the state bucketed by qid
+    every round; a smaller one is a plain table, and the state goes to a table every few rounds. Both ways
+    give the same rows.
     """
     if ef < k:
         raise ValueError("ef must be at least k")
     graph, state = cut(graph), cut(start_state(tables, entries))
-    scan = graph.count() > small and state.count() <= FRONTIER_ROWS
-    state_table = state
+    n, table = graph.count(), state
+    apart = n > small
+    if apart:
+        plain, many = graph, buckets_of(state.count(), STATE_ROWS)
+        graph, state = bucketed(graph, "node", buckets_of(n, BUCKET_ROWS)), bucketed(state, "qid", many)
+        discard(plain, table)
+        table = state
     while state.filter(F.col("u").isNotNull()).take(1):
-        for _ in range(1 if scan else ROUNDS):
-            state = beam_round(state, graph, ef, k, scan)
-        state, before = cut(state), state_table
-        discard(before)
-        state_table = state
+        for _ in range(1 if apart else ROUNDS):
+            state = beam_round(state, graph, ef, k, apart)
+        state = bucketed(state, "qid", many, spread=False) if apart else cut(state)
+        discard(table)
+        table = state
+    if trace:
+        return state.select("qid", F.posexplode("vis").alias("round", "node")).select("qid", F.col("round").cast("bigint").alias("round"), "node")
     found = state.select("qid", F.size("vis").alias("n_expanded"), F.posexplode("result").alias("pos", "r"))
     return found.select("qid", (F.col("pos") + 1).cast("bigint").alias("rk"), F.col("r.id").alias("vec_id"), F.col("r.d").alias("dist"), F.col("n_expanded").cast("bigint").alias("n_expanded"))
 
 
-def walk(query: np.ndarray, near: Callable[[list[int]], np.ndarray], entry: int, vectors: dict, links: dict, ef: int, k: int) -> tuple[list[tuple[float, int]], int]:
-    """One search in memory: the k best (distance, id) of the expanded nodes, and how many were expanded.
-
-    ``near`` gives the distances that guide the search, of a list of nodes.
-    """
-    beam: list[tuple[float, int]] = []
-    seen, result, at = {entry}, [], entry
-    while at is not None:
-        if at in vectors:
-            result.append((round(float(((query - vectors[at]) ** 2).sum()), DIGITS), at))
-            fresh = [n for n in links.get(at, ()) if n not in seen and n in vectors]
-            if fresh:
-                beam = sorted({(round(float(d), DIGITS), n) for d, n in zip(near(fresh), fresh)}.union(beam))[:ef]
-        at = next((n for _, n in beam if n not in seen), None)
-        if at is not None:
-            seen.add(at)
-    return sorted(result)[:k], len(seen)
-
-
-def _guide(query: np.ndarray, model: PQModel | None, vectors: dict, codes: dict) -> Callable[[list[int]], np.ndarray]:
-    """Distances of nodes to a query: from codes, or exact ones without a model."""
-    if model is None:
-        return lambda nodes: ((np.array([vectors[n] for n in nodes]) - query) ** 2).sum(axis=1)
-    table = model.table(query)
-    flat, chunk = np.zeros((len(table), max(map(len, table)))), np.arange(len(table))
-    for j, t in enumerate(table):
-        flat[j, : len(t)] = t
-    return lambda nodes: flat[chunk, np.array([codes[n] for n in nodes])].sum(axis=1)
-
-
 def shard_count(corpus: DataFrame, rows: int = SHARD_ROWS) -> int:
     """Shards that hold at most about ``rows`` vectors each."""
     return max(1, -(-corpus.count() // rows))
 
 
 def beam_search_batch(queries: DataFrame, model: PQModel | None, entry: int | DataFrame | None, edges: DataFrame, corpus: DataFrame, codes: DataFrame | None,
-                      ef: int, k: int, shards: int | None = None, shard_of: DataFrame | None = None, probes: DataFrame | None = None) -> DataFrame:
-    """qid, rk, vec_id, dist, n_expanded by the batch form.
+                      ef: int, k: int, shards: int | None = None, shard_of: DataFrame | None = None, probes: DataFrame | None = None, trace: bool = False) -> DataFrame:
+    """qid, rk, vec_id, dist, n_expanded by the batch form, or the trace, with the shard of each row.
 
     The corpus is dealt into shards by id, each small enough for a task (as many as its size asks for
     unless given); a shard is searched along the edges within it, from ``entry`` (a node, or qid, entry)
     or, if that lies elsewhere, from its smallest id. Build the edges of several shards with
-    shard_graph(): of another graph's edges most lead from shard to shard. Queries are broadcast in
-    bounded blocks, and the shards' results merge. Without model and codes distances are exact.
+    shard_graph(), or search another graph's by exchange_search(): here edges from shard to shard are left
+    out. Queries are broadcast in bounded blocks, and the shards' results merge. Without model and codes
+    distances are exact.
 
     With shard_of (vec_id, shard) shards are as it says, and probes (qid, shards: an array, of one
     length) names those that a query searches; edges must then lie within shards.
     """
     if ef < k:
         raise ValueError("ef must be at least k")
-    spark, schema, out = corpus.sparkSession, "shard bigint, qid bigint, vec_id bigint, dist double, n_expanded bigint", None
+    schema = "shard bigint, qid bigint, round bigint, node bigint" if trace else "shard bigint, qid bigint, vec_id bigint, dist double, n_expanded bigint"
+    spark, out = corpus.sparkSession, None
     shards = shard_count(corpus) if shards is None else shards
     of = (lambda c: F.pmod(c, F.lit(shards)))
     within = edges.filter(of(F.col("src")) == of(F.col("dst"))) if shard_of is None else edges
@@ -167,20 +158,28 @@ def beam_search_batch(queries: DataFrame, model: PQModel | None, entry: int | Da
     asked = queries.join(entry, "qid") if isinstance(entry, DataFrame) else queries.withColumn("entry", F.lit(-1 if entry is None else entry).cast("bigint"))
     asked = asked.withColumn("shards", F.array(F.lit(-1).cast("bigint"))) if probes is None else asked.join(probes, "qid")
 
-    probed = probes is not None
+    probed, coded = probes is not None, codes is not None
 
     def searcher(shared) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def search(part: pd.DataFrame) -> pd.DataFrame:
-            known = {int(i): np.array(v, dtype=np.float64) for i, v in zip(part["vec_id"], part["v"])}
-            code = {int(i): np.array(c, dtype=np.int64) for i, c in zip(part["vec_id"], part["code"]) if c is not None}
-            links = {int(i): [int(n) for n in nb] for i, nb in zip(part["vec_id"], part["nbrs"]) if nb is not None}
-            smallest, shard, rows = min(known), int(part["shard"].iloc[0]), []
-            for qid, q, first, mine in zip(*(column.tolist() if column.ndim == 1 else column for column in shared.value)):
-                if probed and shard not in mine:
-                    continue
-                found, n = walk(q, _guide(q, model, known, code), first if first in known else smallest, known, links, ef, k)
-                rows += [(shard, qid, i, d, n) for d, i in found]
-            return pd.DataFrame(rows, columns=["shard", "qid", "vec_id", "dist", "n_expanded"])
+            ids = part["vec_id"].to_numpy(dtype=np.int64)
+            code = np.array(part["code"].tolist(), dtype=np.int64) if coded else None
+            nodes = Nodes.closed(ids, np.array(part["v"].tolist(), dtype=np.float64), matrix_of(part["nbrs"].tolist()), code)
+            shard, found = int(part["shard"].iloc[0]), []
+            qids, vectors, entries, mine = shared.value
+            lanes = np.flatnonzero((mine == shard).any(axis=1)) if probed else np.arange(len(qids))
+            for at in range(0, len(lanes), LANES):
+                some = lanes[at : at + LANES]
+                first = np.where(nodes.rows(entries[some]) >= 0, entries[some], ids.min())
+                walks = Walks(vectors[some], first, ef, model.tables(vectors[some]) if model is not None else None)
+                walks.run(nodes)
+                if trace:
+                    lane, step = np.nonzero(walks.seen >= 0)
+                    found.append(pd.DataFrame({"shard": shard, "qid": qids[some][lane], "round": step, "node": walks.seen[lane, step]}))
+                else:
+                    lane, names, dist = walks.best(k)
+                    found.append(pd.DataFrame({"shard": shard, "qid": qids[some][lane], "vec_id": names, "dist": dist, "n_expanded": walks.count[lane]}))
+            return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
         return search
 
@@ -188,29 +187,152 @@ def beam_search_batch(queries: DataFrame, model: PQModel | None, entry: int | Da
         found = node.groupBy("shard").applyInPandas(searcher(spark.sparkContext.broadcast(block)), schema)
         out = found if out is None else out.unionByName(found)
     out = cut(spark.createDataFrame([], schema) if out is None else out)
+    if trace:
+        return out
     spent = out.select("shard", "qid", "n_expanded").distinct().groupBy("qid").agg(F.sum("n_expanded").alias("n_expanded"))
     best = top_k(out.drop("shard", "n_expanded"), k).join(spent, "qid")
     return best.select("qid", F.col("rk").cast("bigint").alias("rk"), "vec_id", "dist", "n_expanded")
 
 
+_STATE = "qid bigint, qv array<double>, beam_d array<double>, beam_id array<bigint>, seen array<bigint>, exact array<double>, next bigint"
+
+
+def _lists(rows: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The first so many entries of each row as lists."""
+    ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(rows[np.arange(rows.shape[1])[None] < counts[:, None]]))
+
+
+def _advance(graph: pa.Table, states: pa.Table, model: PQModel | None, ef: int) -> pa.Table:
+    """The states after their searches went on through one shard's part of the graph, as far as it goes."""
+    at = states.column("next").to_numpy()
+    graph, states = graph.combine_chunks(), states.combine_chunks()
+    if graph.num_rows:
+        near = graph.column("nb").combine_chunks()
+        counts = near.value_lengths().to_numpy()
+        owner, slot = np.repeat(np.arange(len(counts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        nbrs, place = np.full((len(counts), max(1, int(counts.max()))), -1, dtype=np.int64), None
+        flat = near.flatten()
+        nbrs[owner, slot] = flat.field("id").to_numpy()
+        place = np.zeros(nbrs.shape, dtype=np.int64)
+        place[owner, slot] = np.arange(len(owner))
+        beside = matrix(flat.field("code")) if len(flat) else np.zeros((0, 0))  # codes or vectors of neighbours, wherever these are
+        beside = beside if model is None else beside.astype(np.int64)
+        order = np.argsort(graph.column("node").to_numpy())
+        place, nbrs = place[order], nbrs[order]
+        guide = lambda walks, lanes, rows, slots: (walks.by_vectors if model is None else walks.by_codes)(lanes, beside[place[rows, slots]])
+        nodes = Nodes(graph.column("node").to_numpy()[order], matrix(graph.column("v").combine_chunks())[order], nbrs, guide)
+    else:
+        nodes = Nodes(np.zeros(0, dtype=np.int64), np.zeros((0, 0)), np.zeros((0, 0), dtype=np.int64), None)
+    out = []
+    for first in range(0, states.num_rows, LANES):
+        some = states.slice(first, LANES)
+        queries = matrix(some.column("qv").combine_chunks())
+        walks = Walks(queries, at[first : first + LANES], ef, model.tables(queries) if model is not None else None)
+        held = {c: some.column(c).to_pylist() for c in ("beam_d", "beam_id", "seen", "exact")}
+        walks.count = np.array([len(x) for x in held["seen"]])
+        walks.seen, walks.beam_id = matrix_of(held["seen"], int(walks.count.max())), matrix_of(held["beam_id"], ef)
+        walks.exact, walks.beam_d = np.full(walks.seen.shape, np.inf), np.full((len(queries), ef), np.inf)
+        for i, (d, e) in enumerate(zip(held["beam_d"], held["exact"])):
+            walks.beam_d[i, : len(d)], walks.exact[i, : len(e)] = d, e
+        walks.run(nodes)
+        gone = (walks.next == at[first : first + LANES]) & (nodes.rows(walks.next) < 0)  # owned by this shard, and not in the graph
+        walks.next[gone] = -1
+        full = (walks.beam_id >= 0).sum(axis=1)
+        out.append(pa.table([
+            some.column("qid").combine_chunks(), some.column("qv").combine_chunks(), _lists(walks.beam_d, full), _lists(walks.beam_id, full), _lists(walks.seen, walks.count),
+            _lists(walks.exact, walks.count), pa.array(walks.next)], names=[c.split()[0] for c in _STATE.split(", ")]))
+    return pa.concat_tables(out) if out else states.select([c.split()[0] for c in _STATE.split(", ")])
+
+
+def exchange_search(queries: DataFrame, model: PQModel | None, entries: DataFrame, graph: DataFrame, ef: int, k: int,
+                    shards: int | None = None, shard_of: DataFrame | None = None, trace: bool = False) -> DataFrame:
+    """qid, rk, vec_id, dist, n_expanded (or the trace) of a search through one graph whose nodes are dealt to shards.
+
+    graph is of search_graph(), with the codes of neighbours beside their ids. A round gives each shard the
+    states of the searches whose next node it owns; it takes them as far as its own nodes go and hands
+    them on. The rows are those of beam_search(), whatever the shards: by id (so many as the size asks for
+    unless given), or as shard_of (vec_id, shard) says, where near nodes share a shard and searches change it
+    seldom. The graph is written bucketed by shard, once; only states are shuffled.
+    """
+    if ef < k:
+        raise ValueError("ef must be at least k")
+    if shard_of is None:
+        shards = buckets_of(graph.count(), SHARD_ROWS) if shards is None else shards
+        graph = graph.withColumn("shard", F.pmod("node", F.lit(shards)).cast("bigint"))
+    else:
+        shard_of = cut(shard_of.select(F.col("vec_id").alias("owned"), F.col("shard").cast("bigint").alias("shard")))
+        shards = shard_of.select("shard").distinct().count()
+        graph = graph.join(shard_of, F.col("node") == F.col("owned")).drop("owned")
+    graph = bucketed(graph.select("shard", "node", "v", "nb"), "shard", max(1, shards))
+    names = [c.split()[0] for c in _STATE.split(", ")]
+
+    def owned(states: DataFrame) -> DataFrame:
+        if shard_of is None:
+            return states.withColumn("shard", F.pmod("next", F.lit(shards)).cast("bigint"))
+        return states.join(shard_of, F.col("next") == F.col("owned"), "left").drop("owned").withColumn("shard", F.coalesce("shard", F.lit(-1).cast("bigint")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _advance(left, right, model, ef)
+
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    start = queries.join(entries, "qid").select(
+        "qid", "qv", none("double").alias("beam_d"), none("bigint").alias("beam_id"), F.array("entry").alias("seen"), F.array(F.lit(float("inf"))).alias("exact"), F.col("entry").alias("next"))
+    states, done = cut(start), None
+    while True:
+        ended = states.filter("next < 0")
+        done = ended if done is None else done.unionByName(ended)
+        going = owned(states.filter("next >= 0"))
+        if not states.filter("next >= 0").take(1):
+            break
+        waiting = F.broadcast(going.select("shard").distinct())  # a row a shard
+        parts = graph.join(waiting, "shard", "left_semi").groupBy("shard").cogroup(going.groupBy("shard"))
+        states = cut(parts.applyInArrow(run, _STATE).select(*names))
+    if trace:
+        return done.select("qid", F.posexplode("seen").alias("round", "node")).select("qid", F.col("round").cast("bigint").alias("round"), "node")
+    met = done.select("qid", F.size("seen").cast("bigint").alias("n_expanded"), F.explode(F.arrays_zip("seen", "exact")).alias("x"))
+    best = top_k(met.select("qid", "n_expanded", F.col("x.seen").alias("vec_id"), F.col("x.exact").alias("dist")).filter(F.col("dist") < float("inf")), k)
+    return best.select("qid", F.col("rk").cast("bigint").alias("rk"), "vec_id", "dist", "n_expanded")
+
+
 def nav_entry(queries: DataFrame, nav: DataFrame, corpus: DataFrame) -> DataFrame:
     """qid, nav_id, entry, dist: the nearest vector of the navigation sample (nav_id, vec_id), ties by nav_id.
 
-    The sample is small by design, so all of it is looked at: the answer is at least as near as a walk's.
+    All of the sample is looked at, so the answer is at least as near as a walk's.
     """
-    rows = nav.join(corpus, "vec_id").select("nav_id", F.col("vec_id").alias("entry"), "v")
-    scored = queries.crossJoin(rows).select("qid", "nav_id", "entry", l2(F.col("qv"), F.col("v")).alias("dist"))
-    best = scored.groupBy("qid").agg(F.min(F.struct(F.round("dist", DIGITS).alias("dist"), "nav_id", "entry")).alias("b"))
-    return best.select("qid", "b.nav_id", "b.entry", "b.dist")
+    rows = nav.join(corpus, "vec_id").select(F.col("nav_id").alias("vec_id"), "v")
+    near = exact_knn(queries, rows, 1).select("qid", F.col("vec_id").alias("nav_id"), F.round("dist", DIGITS).alias("dist"))
+    return near.join(nav, "nav_id").select("qid", "nav_id", F.col("vec_id").alias("entry"), "dist")
 
 
-def nav_walk(queries: DataFrame, nav: DataFrame, links: DataFrame, start: int, width: int = 4) -> DataFrame:
+def nav_walk(queries: DataFrame, nav: DataFrame, links: DataFrame, start: int, width: int = 4, most: int = NAV_BYTES) -> DataFrame:
     """qid, nav_id, dist: the nearest node that a walk of the navigation graph meets.
 
     nav: vec_id (the node's number in the graph), v; links: src, dst between them. A beam of ``width`` is
-    led by exact distances from the start node on; it is beam_search() over a small graph.
+    led by exact distances from the start node on. Sample and graph are broadcast (a million vectors with 32
+    neighbours each are within ``most`` bytes up to some hundred dimensions), and the queries walk where they
+    are; what is larger is walked by beam_search(), in rounds.
     """
-    tables = queries.select("qid", "qv", F.expr("cast(null as array<array<double>>)").alias("lut"))
-    entries = queries.select("qid", F.lit(start).cast("bigint").alias("entry"))
-    found = beam_search(tables, entries, search_graph(links, nav), width, 1)
-    return found.select("qid", F.col("vec_id").alias("nav_id"), "dist")
+    spark, rows = nav.sparkSession, nav.select("vec_id", "v")
+    near = links.groupBy(F.col("src").alias("vec_id")).agg(F.sort_array(F.collect_set("dst")).alias("nbrs"))
+    table = cut(rows.join(near, "vec_id", "left"))
+    size = table.agg(F.coalesce(F.sum(8 * (1 + F.size("v")) + 8 * F.coalesce(F.size("nbrs"), F.lit(0))), F.lit(0)), F.coalesce(F.max(F.size("nbrs")), F.lit(0)), F.count("*")).first()
+    if size[0] + 8 * size[1] * size[2] > most:
+        tables = queries.select("qid", "qv", F.expr("cast(null as array<array<double>>)").alias("lut"))
+        entries = queries.select("qid", F.lit(start).cast("bigint").alias("entry"))
+        return beam_search(tables, entries, search_graph(links, nav), width, 1).select("qid", F.col("vec_id").alias("nav_id"), "dist")
+    held = list(table.toLocalIterator(prefetchPartitions=True))
+    ids, vectors = np.array([r.vec_id for r in held], dtype=np.int64), np.array([r.v for r in held], dtype=np.float64)
+    shared = spark.sparkContext.broadcast((ids, vectors, matrix_of([r.nbrs for r in held])))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = Nodes.closed(*shared.value)
+        for part in parts:
+            for at in range(0, part.num_rows, LANES):
+                some = part.slice(at, LANES)
+                walks = Walks(matrix(some.column(1)), np.full(some.num_rows, start, dtype=np.int64), width)
+                walks.run(nodes)
+                lane, names, dist = walks.best(1)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(lane)), pa.array(names), pa.array(dist)], ["qid", "nav_id", "dist"])
+
+    return queries.select("qid", "qv").mapInArrow(batches, "qid bigint, nav_id bigint, dist double")

@@ -18,6 +18,8 @@ PAGE_BYTES = 4096
 CELL_ROWS = 20_000
 #: Slices that a cell can be cut into.
 SLICES = 256
+#: Classes of hashes that nav_sample() counts, a power of 16.
+SAMPLE_CLASSES = 16**4
 #: Rows whose distances to their cell prune() holds at a time.
 PRUNE_ROWS = 256
 
@@ -61,18 +63,18 @@ def prune(ids: np.ndarray, m: np.ndarray, degree: int, alpha: float) -> list[tup
     return edges
 
 
-def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int = 2, seed: int = 7, within: Column | None = None) -> DataFrame:
-    """src, dst, rk: an alpha-pruned graph, built cell by cell, with reverse edges, degree at most.
+def cells(corpus: DataFrame, overlap: int = 2, seed: int = 7, within: Column | None = None) -> DataFrame:
+    """shard, cell, part, vec_id, v: corpus dealt to overlapping cells that a task can hold.
 
     Centres are a bounded sample (4096 at most); every vector goes to the cells of its ``overlap`` nearest
     centres, so that cells join up. A cell that is too large is cut into slices of like size across a
-    direction of its own, so that near vectors stay together at any size of the corpus. Edges stay within
-    groups of equal ``within``. Rows without an id or a whole vector take no part.
+    direction of its own, so that near vectors stay together at any size of the corpus. shard is ``within``,
+    which parts cells further. Rows without an id or a whole vector take no part.
     """
     corpus = usable(corpus, "v", "vec_id")
     n = corpus.count()
-    cells = max(1, min(4096, n * overlap * 2 // CELL_ROWS))
-    centres = [np.array(r.v) for r in corpus.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(cells).collect()]
+    many = max(1, min(4096, n * overlap * 2 // CELL_ROWS))
+    centres = [np.array(r.v) for r in corpus.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(many).collect()]
     shared = corpus.sparkSession.sparkContext.broadcast(np.array(centres))
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,10 +86,6 @@ def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int
             for which in np.argsort(near, axis=1, kind="stable")[:, :overlap].T:
                 yield part.assign(cell=which.astype(np.int64), along=((m - c[which]) * across[which]).sum(1))
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("vec_id")
-        return pd.DataFrame(prune(part["vec_id"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64), degree, alpha), columns=["src", "dst", "rk"])
-
     rows = corpus.select("vec_id", "v", (F.lit(0) if within is None else within).cast("bigint").alias("shard"))
     placed = cut(rows.mapInPandas(assign, "vec_id bigint, v array<double>, shard bigint, cell bigint, along double"))
     sizes = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
@@ -98,8 +96,19 @@ def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int
     fine = F.size(F.filter("cuts", lambda x: x <= F.col("along")))
     of = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.floor(fine * F.least("slices", F.lit(SLICES)) / SLICES))
     deal = F.pmod(F.xxhash64("vec_id"), F.greatest(F.ceil(F.coalesce("slices", F.lit(1)) / SLICES), F.lit(1)))
-    split = placed.join(F.broadcast(cuts), ["shard", "cell"], "left").select("shard", "cell", F.struct(of.alias("slice"), deal.alias("deal")).alias("part"), "vec_id", "v")
-    edges = split.groupBy("shard", "cell", "part").applyInPandas(build, "src bigint, dst bigint, rk bigint")
+    return placed.join(F.broadcast(cuts), ["shard", "cell"], "left").select("shard", "cell", F.struct(of.alias("slice"), deal.alias("deal")).alias("part"), "vec_id", "v")
+
+
+def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int = 2, seed: int = 7, within: Column | None = None) -> DataFrame:
+    """src, dst, rk: an alpha-pruned graph of each cell's nearest neighbours, with reverse edges, degree at most.
+
+    Cheaper than vamana.vamana_graph(), whose searches lead further. Edges stay within groups of equal ``within``.
+    """
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("vec_id")
+        return pd.DataFrame(prune(part["vec_id"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64), degree, alpha), columns=["src", "dst", "rk"])
+
+    edges = cells(corpus, overlap, seed, within).groupBy("shard", "cell", "part").applyInPandas(build, "src bigint, dst bigint, rk bigint")
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rk")).groupBy("src", "dst").agg(F.min("rk").alias("rk"))
     order = Window.partitionBy("src").orderBy("rk", "dst")
     return both.withColumn("rk", F.row_number().over(order).cast("bigint")).filter(F.col("rk") <= degree)
@@ -175,10 +184,28 @@ def hop_histogram(hops: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def nav_sample(corpus: DataFrame, n: int) -> DataFrame:
-    """nav_id, vec_id: n vectors by the MD5 of their id, numbered from 0; n is a small bound."""
-    key = F.md5(F.col("vec_id").cast("string"))
-    chosen = corpus.select("vec_id").orderBy(key, "vec_id").limit(n)
-    return chosen.select((F.row_number().over(Window.orderBy(key, "vec_id")) - 1).cast("bigint").alias("nav_id"), "vec_id")
+    """nav_id, vec_id: the n vectors with the smallest MD5 of their id, numbered from 0 in that order.
+
+    Hashes are counted in SAMPLE_CLASSES classes first, which say up to where they are needed; what is left
+    is sorted by ranges, and ranges number their rows from where the one before ends. No task sees the whole
+    sample.
+    """
+    rows = corpus.select(F.md5(F.col("vec_id").cast("string")).alias("key"), "vec_id")
+    of = F.conv(F.substring("key", 1, len(f"{SAMPLE_CLASSES - 1:x}")), 16, 10).cast("int")
+    upto, total = 0, 0
+    for r in rows.groupBy(of.alias("class")).agg(F.count("*").alias("n")).orderBy("class").collect():  # a row a class
+        if total >= n:
+            break
+        upto, total = r["class"], total + r["n"]
+    ranged = cut(rows.filter(of <= upto).repartitionByRange("key", "vec_id").sortWithinPartitions("key", "vec_id").withColumn("part", F.spark_partition_id()))
+    before, first = 0, []
+    for r in ranged.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row a partition
+        first.append((r["part"], before))
+        before += r["n"]
+    known = ranged.sparkSession.createDataFrame(first, "part int, before bigint")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("key", "vec_id")) - 1
+    numbered = ranged.join(F.broadcast(known), "part").select((F.col("before") + place).cast("bigint").alias("nav_id"), "vec_id")
+    return numbered.filter(F.col("nav_id") < n)
 
 
 def page_layout(vec_id: Column, record_bytes: int) -> tuple[Column, Column]:
@@ -203,8 +230,11 @@ def stripe_skew(pages: DataFrame, devices: int) -> DataFrame:
     return reads.withColumn("share", F.col("reads") / F.sum("reads").over(total))
 
 
-def access_frequency(expanded: DataFrame) -> DataFrame:
-    """How often nodes (node, one row a visit) are visited: distinct nodes, maximum, median, deciles."""
-    per_node = expanded.groupBy("node").agg(F.count("*").alias("n"))
+def access_frequency(trace: DataFrame) -> DataFrame:
+    """How often a search's trace (qid, round, node) visits nodes, round by round: distinct nodes, most, median, deciles.
+
+    Visits are counted by round and node first, so that a node that all queries pass is one row.
+    """
+    visits = trace.groupBy("round", "node").agg(F.count("*").alias("n"))
     tenths = [F.expr(f"percentile(n, {i / 10})").alias(f"p{i * 10}") for i in range(1, 10)]
-    return per_node.agg(F.count("*").alias("nodes"), F.max("n").alias("most"), *tenths)
+    return visits.groupBy("round").agg(F.count("*").alias("nodes"), F.max("n").alias("most"), *tenths)

@@ -43,10 +43,14 @@ f AS (SELECT x.qid, x.vec_id, n_expanded, round({l2}, 9) AS d FROM x JOIN q ON q
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rk FROM f)"""
 _SEARCH = "WITH RECURSIVE " + ", ".join((_H, _Q, _PIV, _LUT, _CODE, _ADC, _E)) + ", " + _BEAM.format(ef=20, start=1, l2=_l2("qv", "v"))
 #: The same over the navigation graph, by exact distances.
-_WALK = f"""WITH RECURSIVE a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), {_Q}, {_NAV.replace(' FROM c ', ' FROM a ')},
+_WALK_FROM = f"""WITH RECURSIVE a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), {_Q}, {_NAV.replace(' FROM c ', ' FROM a ')},
 c AS (SELECT nav_id AS vec_id, v FROM nav), adc AS (SELECT qid, vec_id, {_l2('qv', 'v')} AS d FROM q, c),
 e AS (SELECT * FROM (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_l2('a.v', 'b.v')}, b.vec_id) AS rk
-  FROM c a, c b WHERE a.vec_id <> b.vec_id) WHERE rk <= 8), """ + _BEAM.format(ef=4, start=0, l2=_l2("qv", "v"))
+  FROM c a, c b WHERE a.vec_id <> b.vec_id) WHERE rk <= 8), """
+_WALK = _WALK_FROM + _BEAM.format(ef=4, start=0, l2=_l2("qv", "v"))
+_WALK_5 = _WALK_FROM + _BEAM.format(ef=4, start=5, l2=_l2("qv", "v"))
+#: The nodes that a beam search expands, round by round.
+_TRACE = _SEARCH + ", t AS (SELECT qid, unnest(range(0, len(vis))) AS round, unnest(vis) AS node FROM l)"
 #: An item by Zipf's law for each draw u in [0, 1).
 _ZIPF = """w AS (SELECT i, pow(CAST(i AS DOUBLE), -1.1) AS w FROM range(1, 101) t(i)),
 z AS (SELECT i, sum(w) OVER (ORDER BY i) / sum(w) OVER () AS upto FROM w),
@@ -101,6 +105,8 @@ SELECT round((SELECT count(*) FROM n JOIN h USING (qid, vec_id) WHERE n.rk <= 10
     "nav_entry": f"""WITH {_C}, {_Q}, {_NAV}, x AS (SELECT qid, nav_id, vec_id, round({_l2('qv', 'nav.v')}, 9) AS d FROM q, nav),
 y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, nav_id) AS n FROM x) SELECT qid, nav_id, vec_id AS entry, round(d, 6) AS dist FROM y WHERE n = 1""",
     "nav_walk": _WALK + " SELECT qid, nav_id, nav.vec_id AS entry, round(d, 6) AS dist FROM r JOIN nav ON nav_id = r.vec_id WHERE rk = 1",
+    "nav_walk_start": _WALK_5 + " SELECT qid, nav_id, nav.vec_id AS entry, round(d, 6) AS dist FROM r JOIN nav ON nav_id = r.vec_id WHERE rk = 1",
+    "vamana_reach": "SELECT count(*) AS nodes, count(*) AS reached FROM embeddings",
     "nav_translate": f"WITH {_C}, {_Q}, {_NAV} SELECT qid, nav_id, nav.vec_id AS entry FROM q JOIN nav ON qid % 32 = nav_id",
     "centroid": f"WITH {_C} SELECT CAST(i AS INTEGER) AS i, round(avg(v[i + 1]), 6) AS x FROM c, range(64) r(i) GROUP BY i",
     "medoid": f"""WITH {_C}, m AS (SELECT i, avg(v[i + 1]) AS mean FROM c, range(64) r(i) GROUP BY i), d AS (
@@ -114,13 +120,15 @@ SELECT hop, count(*) AS n FROM c LEFT JOIN h ON c.vec_id = h.node GROUP BY hop""
     "expand_frontier": f"WITH {_C}, {_Q}, {_E} SELECT qid, src, dst, rk FROM q JOIN e ON qid + 1 = src",
     "neighbor_codes": f"""WITH {_C}, {_PIV}, {_CODE}, {_E}, s AS (SELECT vec_id, CAST(sum(pv) AS BIGINT) AS total, max(CASE WHEN chunk = 0 THEN pv END) AS f FROM code GROUP BY vec_id)
 SELECT src, dst, CAST(f AS INTEGER) AS first_code, total FROM e JOIN s ON e.dst = s.vec_id""",
-    "unvisited_anti": f"WITH {_C}, {_E} SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e s WHERE s.src = 1 AND s.dst = e.dst)",
+    "unvisited_anti": f"WITH {_C}, {_E}, seen AS MATERIALIZED (SELECT DISTINCT dst AS node FROM e WHERE src = 1) SELECT src, dst FROM e LEFT JOIN seen ON dst = node WHERE node IS NULL",
     "beam_union": f"WITH {_C}, {_E} SELECT dst FROM e WHERE src = 1 UNION SELECT dst FROM e WHERE src = 2",
     "sort_neighbors": f"""WITH {_C}, {_E}, s AS (SELECT src, dst, round({_l2('a.v', 'b.v')}, 6) AS dist FROM e JOIN c a ON a.vec_id = src JOIN c b ON b.vec_id = dst)
 SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1 AS INTEGER) AS pos, dst, dist FROM s""",
     "beam_merge": f"""WITH {_C}, {_Q}, {_P}, {_N} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vec_id) - 1 AS INTEGER) AS pos, vec_id
 FROM n WHERE rk <= 16 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vec_id) <= 12""",
     "beam_search": _SEARCH + " SELECT qid, rk, vec_id, round(d, 6) AS dist, n_expanded FROM r WHERE rk <= 10",
+    "beam_search_exchange": _SEARCH + " SELECT qid, rk, vec_id, round(d, 6) AS dist, n_expanded FROM r WHERE rk <= 10",
+    "search_trace": _TRACE + " SELECT qid, round, node FROM t",
     "beam_search_batch": _SEARCH + " SELECT qid, rk, vec_id, round(d, 6) AS dist, n_expanded FROM r WHERE rk <= 10",
     "beam_recall": _SEARCH + f""", {_P}, {_N} SELECT round((SELECT count(*) FROM n JOIN r USING (qid, vec_id) WHERE n.rk <= 10 AND r.rk <= 10)
   / ((SELECT count(*) FROM q) * 10.0::DOUBLE), 6) AS recall""",
@@ -129,8 +137,8 @@ FROM n WHERE rk <= 16 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round
     "beam_round": f"""WITH {_H}, {_Q}, {_PIV}, {_LUT}, {_CODE}, {_ADC}, {_E},
 x AS (SELECT adc.qid, adc.vec_id, adc.d, row_number() OVER (PARTITION BY adc.qid ORDER BY d, vec_id) - 1 AS pos FROM e JOIN adc ON adc.vec_id = e.dst WHERE e.src = 1)
 SELECT qid, CAST(pos AS INTEGER) AS pos, vec_id, round(d, 6) AS dist FROM x""",
-    "access_frequency": "WITH " + _C + ", " + _E + ", g AS (SELECT dst, count(*) AS n FROM e GROUP BY dst) SELECT count(*) AS nodes, max(n) AS most, "
-    + ", ".join(f"quantile_cont(n, {i / 10}) AS p{i * 10}" for i in range(1, 10)) + " FROM g",
+    "access_frequency": _TRACE + ", g AS (SELECT round, node, count(*) AS n FROM t GROUP BY 1, 2) SELECT round, count(*) AS nodes, max(n) AS most, "
+    + ", ".join(f"quantile_cont(n, {i / 10}) AS p{i * 10}" for i in range(1, 10)) + " FROM g GROUP BY round",
     "stripe_skew": f"""WITH {_C}, {_E}, d AS (SELECT {_PAGE.format(id='dst')} % 4 AS device, count(*) AS reads FROM e GROUP BY 1)
 SELECT device, reads, round(reads / CAST(sum(reads) OVER () AS DOUBLE), 6) AS share FROM d""",
     "index_file_scan": f"""WITH {_C}, {_E}, g AS (SELECT src, count(*) AS n, sum(dst) AS t FROM e GROUP BY src)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
-from ..operators import beam, graph, knn, pq, zipf
+from ..operators import beam, graph, knn, pq, vamana, zipf
 from ..index import VectorIndex
 from ..sources import index_files as files
 from ..sources import vecs
@@ -20,7 +20,9 @@ from ..streaming.search import search_stream
 from .scratch import cut, scratch_dir
 
 K, DEGREE, EF, CHUNKS, PIVOTS, NAV, DIGITS = 10, 12, 20, 16, 32, 32, 6
-ENTRY = 1
+#: Neighbours of a graph built by search, and the beam that it is built with.
+BUILT, WIDTH = 32, 64
+ENTRY, NAV_START, SHARDS = 1, 5, 4
 qv, v = "qv", "v"
 
 QUERIES = {}
@@ -258,7 +260,24 @@ def knn_graph(spark, sf_dir):
 
 @query
 def vamana_graph(spark, sf_dir):
-    return graph.cell_graph(everything(spark, sf_dir), DEGREE)
+    """The graph built by search."""
+    return vamana.vamana_graph(everything(spark, sf_dir), BUILT, WIDTH)
+
+
+@query
+def vamana_reach(spark, sf_dir):
+    """All vectors, and those that the medoid reaches in that graph."""
+    rows = everything(spark, sf_dir)
+    hops = graph.bfs_hops(vamana_graph(spark, sf_dir), graph.medoid(rows).first().vec_id, most=1 << 30)
+    return rows.join(hops, F.col("vec_id") == F.col("node"), "left").agg(F.count("*").alias("nodes"), F.count("hop").alias("reached"))
+
+
+@query
+def vamana_recall(spark, sf_dir):
+    """Recall of a beam of EF, led by exact distances, over such a graph of the rows that are no queries."""
+    rows, asked = corpus(spark, sf_dir), held_out(spark, sf_dir)
+    index = VectorIndex.build(rows, BUILT, width=WIDTH)
+    return knn.recall(index.search(asked, K, EF), knn.exact_knn(asked, rows, K), K).select(r6(F.col("recall"), "recall"))
 
 
 @query
@@ -286,8 +305,21 @@ def _nav_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query
 def nav_walk(spark, sf_dir):
     """The entry by a walk of the navigation graph from its node 0, with a beam of four."""
+    return _walked(spark, sf_dir, 0)
+
+
+@query
+def nav_walk_start(spark, sf_dir):
+    """The same walk from another node, as the header of a navigation file can name it."""
+    rows, links = _nav_tables(spark, sf_dir)
+    path = f"{_folder(spark)}/nav_index"
+    files.write_nav_graph(graph.adjacency(links).withColumnRenamed("node", "nav_id"), path, NAV_START)
+    return _walked(spark, sf_dir, files.read_nav_start(path))
+
+
+def _walked(spark, sf_dir, start: int) -> DataFrame:
     rows, links = _nav_tables(spark, sf_dir)
-    found = beam.nav_walk(held_out(spark, sf_dir), rows, links, 0)
+    found = beam.nav_walk(held_out(spark, sf_dir), rows, links, start)
     return rounded(found.join(graph.nav_sample(everything(spark, sf_dir), NAV), "nav_id").select("qid", "nav_id", F.col("vec_id").alias("entry"), "dist"))
 
 
@@ -403,6 +435,23 @@ def beam_search(spark, sf_dir):
     return rounded(beam.beam_search(tables, entries, beam.search_graph(links, rows, codes), EF, K))
 
 
+def _searched(spark, sf_dir, **more) -> DataFrame:
+    rows, m, codes, entries, links = _prepared(spark, sf_dir)
+    return beam.exchange_search(held_out(spark, sf_dir), m, entries, beam.search_graph(links, rows, codes), EF, K, SHARDS, **more)
+
+
+@query
+def beam_search_exchange(spark, sf_dir):
+    """The same search of one graph, whose nodes are dealt to shards that hand searches over."""
+    return rounded(_searched(spark, sf_dir))
+
+
+@query
+def search_trace(spark, sf_dir):
+    """The nodes that each search expands, round by round."""
+    return _searched(spark, sf_dir, trace=True)
+
+
 @query
 def beam_search_batch(spark, sf_dir):
     rows, m, codes, _, links = _prepared(spark, sf_dir)
@@ -423,7 +472,8 @@ def search_stats(spark, sf_dir):
 
 @query
 def access_frequency(spark, sf_dir):
-    return graph.access_frequency(graph.knn_graph(everything(spark, sf_dir), DEGREE).select(F.col("dst").alias("node")))
+    """How often the rounds of the searches visit nodes."""
+    return graph.access_frequency(_searched(spark, sf_dir, trace=True))
 
 
 @query

@@ -31,9 +31,25 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, by: str, buckets: int, spread: bool = True) -> DataFrame:
+    """df as a table in so many buckets of ``by``: joins and groups by it do not shuffle it.
+
+    spread deals the rows out first, so that a bucket is one file; leave it out where they lie so already.
+    """
+    name = f"vecloom_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{name}"
+    rows = df.repartition(buckets, by) if spread else df
+    rows.write.bucketBy(buckets, by).format("parquet").option("path", path).saveAsTable(name)
+    out = df.sparkSession.table(name)
+    out._vecloom_path, out._vecloom_table = path, name
+    return out
+
+
 def discard(*frames: DataFrame) -> None:
-    """Delete tables that cut() wrote and that nothing reads any more."""
+    """Delete tables that cut() and bucketed() wrote and that nothing reads any more."""
     for df in frames:
+        if name := getattr(df, "_vecloom_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path := getattr(df, "_vecloom_path", None):
             place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

@@ -270,6 +270,16 @@ def write_codes(codes: DataFrame, path: str) -> DataFrame:
     return write_vectors(codes, path, "bbin", "vec_id", "code")
 
 
+def read_nav_start(path: str) -> int:
+    """The node that walks of a navigation graph start from, of the file's header."""
+    where, name = open_at(path)
+    with where.open_input_file(name) as f:
+        head = f.read_at(24, 0)
+    if len(head) < 24:
+        raise ValueError(f"{path}: no header")
+    return int(np.frombuffer(head, dtype="<i4")[3])
+
+
 def read_nav_graph(spark: SparkSession, path: str) -> DataFrame:
     """nav_id, nbrs. Records vary in length, so one task streams the file; a navigation graph is a bounded sample."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
