@@ -8,8 +8,9 @@ vocabulary in other order and from everyday sentences that speak of licences. Pr
 calibrated by temperature scaling on rows that training did not see: models that lack some wordings,
 of known and of other licences, classify these, and garbled copies of those that they know; the former
 count as the share ``UNSEEN`` of all. A paragraph has a licence if its family is likely
-enough, if it then holds enough of the word n-grams of one of that family's templates, and if no
-licence of another kind is nearer.
+enough, if it then holds enough of the word n-grams of one of that family's templates, all those with the
+template's version among them, and if no licence of another kind, or other version, is nearer. Templates
+that several versions share (SHARED) confirm a licence only beside another paragraph that tells which it is.
 
 The scan explodes every line and every paragraph of several lines of every whole text into the hashes
 of its n-grams, joins them with the model (a broadcast: its size is that of the templates) and adds up
@@ -38,40 +39,60 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Apache License, Version 2.0",
+        "SPDX-License-Identifier: Apache-2.0",
     ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Licensed under the BSD 3-Clause License.",
+        "BSD 3-Clause License",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "CC-BY-NC-4.0": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ),
     "CC-BY-4.0": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
     ),
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "MIT License",
+        "The MIT License (MIT)",
+        "SPDX-License-Identifier: MIT",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one.",
+        "Mozilla Public License Version 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
     "Proprietary": (
         "All rights reserved.",
         "This software is proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ),
 }
+#: Templates that other versions of the family have as well.
+SHARED = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    "You should have received a copy of the GNU General Public License along with this program.",
+)
 UNKNOWN = "unknown"
 #: Sentences that speak of such things without granting a licence.
 EVERYDAY = (
@@ -81,7 +102,7 @@ EVERYDAY = (
     "A copy of the letter was sent to the office.", "The work was done under the terms of the agreement.", "Students of MIT released a new album.",
     "The Apache helicopter landed in the field.", "The commons were open to all creative people.", "Without warranty the radio was cheap.",
 )
-#: Licences of other families: what resembles one of these more than a known family is unknown.
+#: Licences of other families and other versions: what resembles one of these more than a known family is unknown.
 OTHERS = (
     "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "You should have received a copy of the GNU Lesser General Public License along with this library.",
@@ -102,6 +123,31 @@ OTHERS = (
     "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "Licensed under CC BY-SA 4.0.",
     "Licensed under CC BY-ND 4.0.",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License.",
+    "Mozilla Public License Version 1.1",
+    "The Apache Software License, Version 1.1",
+    "Licensed under the Apache License, Version 1.1.",
+    "Licensed under the BSD 2-Clause License.",
+    "BSD 2-Clause License",
+    "Licensed under CC BY 3.0.",
+    "Licensed under CC BY-NC 3.0.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.",
+    "SPDX-License-Identifier: GPL-2.0-or-later",
+    "SPDX-License-Identifier: GPL-2.0-only",
+    "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "SPDX-License-Identifier: LGPL-2.1-only",
+    "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "SPDX-License-Identifier: BSD-2-Clause",
+    "SPDX-License-Identifier: ISC",
+    "SPDX-License-Identifier: MPL-1.1",
+    "SPDX-License-Identifier: CC-BY-SA-4.0",
+    "SPDX-License-Identifier: CC-BY-3.0",
 )
 MIN_PROBABILITY, MIN_SIMILARITY = 0.5, 0.6
 VARIANTS, SEED, FOLDS, UNSEEN = 12, 7, 4, 0.1
@@ -129,6 +175,12 @@ def grams_of(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)}
 
 
+def version_grams(grams: frozenset[str] | set[str]) -> frozenset[str]:
+    """The pairs of words among n-grams that carry a number: a text without one of them has another version, or none."""
+    pairs = [g.split(" ") for g in grams]
+    return frozenset(" ".join(p) for p in pairs if len(p) == 2 and END not in p and any(w.isdigit() for w in p))
+
+
 @cache
 def anchors() -> tuple[str, ...]:
     """Words of which every text has one that holds MIN_SIMILARITY of some template's n-grams.
@@ -181,9 +233,9 @@ class Model:
         return list(p / p.sum())
 
     def similarity(self, text: str, family: str) -> float:
-        """Share of the n-grams of the family's nearest template that a text has."""
+        """Share of the n-grams of the family's nearest template that a text has; none of a template of another version."""
         grams = grams_of(words_of(text))
-        return max(len(t & grams) / len(t) for f, t in self.templates if f == family)
+        return max(len(t & grams) / len(t) if f == UNKNOWN or version_grams(t) <= grams else 0.0 for f, t in self.templates if f == family)
 
     def licence(self, text: str) -> tuple[str, float, float] | None:
         """family, probability, similarity of a paragraph that has a licence."""
@@ -267,13 +319,13 @@ def model_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def scan_paragraphs(base: DataFrame, key: str, text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """row, paragraph, line, family, probability, similarity of every paragraph or line that has a licence.
+    """row, paragraph, line, family, probability, similarity, sure of every paragraph or line that has a licence.
 
     Paragraphs lie between lines without words (blank, or comment marks only) and are counted from 0,
     as are the lines of each. A paragraph of several lines is classified line by line and as a whole,
     its lines joined, as licence texts are wrapped; as a whole it is line -1, and left out if one of
     its lines has that licence by itself. similarity is the share of the template's n-grams that it
-    has, for the nearest template of the family.
+    has, for the nearest template of the family; sure is whether a template that is not SHARED is near enough.
     """
     model, spark = model or train(), base.sparkSession
     names = [f"w{i}" for i in range(len(model.families))]
@@ -301,11 +353,15 @@ def scan_paragraphs(base: DataFrame, key: str, text_col: str = "text", model: Mo
     scored = scored.select("row", "paragraph", "line", "numbers", (F.array_max("e") / total).alias("probability"), F.element_at(F.array(*map(F.lit, model.families)), best.cast("int")).alias("family"))
     scored = scored.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
     place = {g: i for i, g in enumerate(sorted(model.weights))}
-    of = {family: [sorted(place[g] for g in grams) for f, grams in model.templates if f == family] for family in model.families}
-    compare = spark.createDataFrame([(f, of[f], of[UNKNOWN]) for f in model.families if f != UNKNOWN], "family string, grams array<array<int>>, others array<array<int>>")
-    share = lambda templates: F.array_max(F.transform(templates, lambda t: F.size(F.array_intersect("numbers", t)) / F.size(t)))
-    near = scored.join(F.broadcast(compare), "family").withColumn("similarity", share("grams")).filter(F.col("similarity") > share("others"))
-    near = near.select("row", "paragraph", "line", "family", "probability", "similarity")
+    numbers, shared = (lambda grams: sorted(place[g] for g in grams)), {frozenset(grams_of(words_of(t))) for t in SHARED}
+    of = {family: [(numbers(grams), numbers(version_grams(grams)) if family != UNKNOWN else [], grams not in shared) for f, grams in model.templates if f == family] for family in model.families}
+    template = "array<struct<grams:array<int>,version:array<int>,own:boolean>>"
+    compare = spark.createDataFrame([(f, of[f], of[UNKNOWN]) for f in model.families if f != UNKNOWN], f"family string, templates {template}, others {template}")
+    part = lambda t: F.when(F.size(F.array_except(t["version"], "numbers")) == 0, F.size(F.array_intersect("numbers", t["grams"])) / F.size(t["grams"])).otherwise(0.0)
+    share = lambda templates: F.array_max(F.transform(templates, part))
+    own = share(F.filter("templates", lambda t: t["own"]))
+    near = scored.join(F.broadcast(compare), "family").withColumn("similarity", share("templates")).filter(F.col("similarity") > share("others"))
+    near = near.select("row", "paragraph", "line", "family", "probability", "similarity", (own >= MIN_SIMILARITY).alias("sure"))
     last = F.max("line").over(Window.partitionBy("row", "paragraph", "family"))
     near = near.filter(F.col("similarity") >= MIN_SIMILARITY).withColumn("last", last)
     return near.filter((F.col("line") >= 0) | (F.col("last") < 0)).drop("last")
@@ -315,12 +371,14 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of df: row (its key), id, n_licenses, families, probability.
 
     n_licenses counts the lines with a licence and the paragraphs that have one only as a whole, families lists theirs in order without repeats
-    (empty if none), probability is the least certain of them (null if none). A null or empty text has
-    none; null ids and repeated rows are scanned like any other. An empty table gives an empty result;
+    (empty if none), probability is the least certain of them (null if none). A paragraph that versions of a
+    licence share counts only in a text that has another one of that version. A null or empty text has none; null ids and repeated rows are scanned like any other. An empty table gives an empty result;
     other columns are not read.
     """
     base, key = with_row_key(df)
-    found = scan_paragraphs(base, key, text_col).groupBy("row").agg(
+    met = scan_paragraphs(base, key, text_col)
+    sure = met.withColumn("known", F.max("sure").over(Window.partitionBy("row", "family"))).filter("known")
+    found = sure.groupBy("row").agg(
         F.count("*").alias("n"), F.sort_array(F.collect_set("family")).alias("found"), F.min("probability").alias("probability"))
     rows = base.select(F.col(key).alias("row"), F.col(id_col).alias("id"))
     return rows.join(found, "row", "left").select(
