@@ -230,3 +230,64 @@ def test_whole_graph_over_shards(spark, sf_dir, tmp_path):
     found = index.search(asked, 10, 20)
     assert knn.recall(found, knn.exact_knn(asked, rows, 10), 10).first().recall >= 0.9
     assert key(found) == key(index.search(asked, 10, 20, "loop"))
+
+
+@pytest.mark.parametrize("kind", ["clusters", "copies", "few"])
+def test_near_shards_hold_no_more_than_they_may(spark, kind):
+    rng = np.random.default_rng(11)
+    m = {"clusters": np.concatenate([rng.normal(size=(n, 4)) + 40 * i for i, n in enumerate((300, 20, 150, 5, 90))]), "copies": np.concatenate((np.ones((200, 4)), rng.normal(size=(60, 4)))), "few": rng.normal(size=(9, 4))}[kind]
+    shard_of, centres = graph.bounded_shards(frame(spark, m), 40, fan_out=3)
+    of = {r.vec_id: r.shard for r in shard_of.collect()}
+    assert sorted(of) == list(range(len(m)))
+    sizes = np.bincount(list(of.values()))
+    assert sizes.max() <= 40 and sizes.min() > 0 and len(sizes) <= 2 * -(-len(m) // 40) + 12
+    for r in centres.collect():
+        np.testing.assert_allclose(r.v, m[[i for i, s in of.items() if s == r.shard]].mean(axis=0))
+    if kind == "clusters":
+        home = np.repeat(range(5), (300, 20, 150, 5, 90))
+        assert np.mean([max(np.bincount(home[[i for i in of if of[i] == s]])) for s in set(of.values())]) > 0.8 * np.mean(sizes)
+
+
+def test_near_shards_of_an_index_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(beam, "SHARD_ROWS", 30)
+    rng = np.random.default_rng(12)
+    df = frame(spark, np.concatenate((rng.normal(size=(110, 4)), rng.normal(size=(10, 4)) + 90)))
+    index = VectorIndex.build(df, 6, shards=4, near=True)
+    assert index.shard_of.groupBy("shard").count().agg(F.max("count")).first()[0] <= 30 and index.shards == index.centres.count()
+    asked = df.filter("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
+    assert knn.recall(index.search(asked, 3, 30), knn.exact_knn(asked, df, 3), 3).first().recall == 1.0
+
+
+def test_latencies_of_batches(spark, sf_dir, tmp_path, capsys):
+    from vecloom.streaming.search import Latencies, percentiles, search_stream
+
+    assert percentiles([1.0, 2.0, 3.0]) == pytest.approx((2.0, 2.8, 2.98)) and all(np.isnan(percentiles([])))
+    asked, rows = q.held_out(spark, sf_dir).filter("qid < 200"), q.everything(spark, sf_dir)
+    asked.repartition(3).write.parquet(str(tmp_path / "in"))
+    heard = Latencies()
+    spark.streams.addListener(heard)
+    try:
+        stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        index = VectorIndex(rows, graph.knn_graph(rows, 4), 1)
+        search_stream(stream, index, 3, 5, str(tmp_path / "out"), str(tmp_path / "log"), "exact").awaitTermination()
+        for _ in range(100):
+            if sum(n for _, n, _ in heard.batches) == asked.count():
+                break
+            __import__("time").sleep(0.1)
+    finally:
+        spark.streams.removeListener(heard)
+    assert sum(n for _, n, _ in heard.batches) == asked.count() == spark.read.parquet(str(tmp_path / "out")).select("qid").distinct().count()
+    p50, p90, p99 = heard.percentiles()
+    assert 0 < p50 <= p90 <= p99 == pytest.approx(max(s for _, _, s in heard.batches), rel=0.2)
+
+
+def test_sweep_tells_latencies(spark, sf_dir, tmp_path, capsys):
+    from vecloom import cli
+    from vecloom.sources import vecs
+
+    rows = q.everything(spark, sf_dir).filter("vec_id < 60")
+    VectorIndex.build(rows, 6).save(str(tmp_path / "index"))
+    (written,) = vecs.write_vectors(rows.filter("vec_id < 9").coalesce(1), str(tmp_path / "q"), "fbin", "vec_id", "v").collect()
+    (row,) = cli.main(["search", "--index", str(tmp_path / "index"), "--query", written.file, "--topk", "3", "--ef_search", "8", "-B", "3"], spark)
+    p50, p90, p99 = row.latencies
+    assert 0 < p50 <= p90 <= p99 <= row[1] and "p99" in capsys.readouterr().out

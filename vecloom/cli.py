@@ -14,6 +14,13 @@ from .operators import graph, knn
 from .plans.scratch import cut
 from .sources import index_files as files
 from .sources import vecs
+from .streaming.search import percentiles
+
+
+class SweepRow(tuple):
+    """A row of a sweep; latencies: the 50th, 90th and 99th percentile of the seconds that a batch took."""
+
+    latencies: tuple[float, ...] = ()
 
 
 def kind_of(path: str, data_type: str = "float") -> str:
@@ -49,7 +56,8 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def search(spark: SparkSession, a: argparse.Namespace) -> list[tuple]:
-    """One row of the sweep an ef: L, seconds, queries a second, recall@k in percent (None without truth), mean seconds a batch, mean expansions.
+    """One row of the sweep an ef: L, seconds, queries a second, recall@k in percent (None without truth), mean seconds a batch, mean expansions,
+    and as ``latencies`` the 50th, 90th and 99th percentile of the seconds that a batch took.
 
     Queries go in batches of --batch (all at once without it), one after another.
     """
@@ -61,13 +69,15 @@ def search(spark: SparkSession, a: argparse.Namespace) -> list[tuple]:
     many = asked if a.repeat == 1 else knn.replicate_queries(asked, a.repeat)
     rows = []
     parts = max(1, -(-n * a.repeat // a.batch)) if a.batch else 1
-    print(f"{'L':>6} {'Run Time':>10} {'QPS':>10} {f'Recall@{a.topk}':>12} {'Latency':>10} {'Expanded':>10}")
+    print(f"{'L':>6} {'Run Time':>10} {'QPS':>10} {f'Recall@{a.topk}':>12} {'Latency':>10} {'Expanded':>10} {'p50':>10} {'p90':>10} {'p99':>10}")
     for ef in a.ef_search:
-        began, found = time.perf_counter(), None
+        began, found, each = time.perf_counter(), None, []
         for part in range(parts):
+            started = time.perf_counter()
             asked_now = many if parts == 1 else many.filter(F.pmod("qid", F.lit(parts)) == part)
             some = cut(index.search(asked_now, a.topk, ef, a.mode, a.probes).select("qid", "rk", "vec_id", "n_expanded"))
             found = some if found is None else found.unionByName(some)
+            each.append(time.perf_counter() - started)
         took = time.perf_counter() - began
         spent = found.select("qid", "n_expanded").distinct().agg(F.avg("n_expanded")).first()[0]
         share = None if truth is None else 100 * knn.recall(found.filter(F.col("qid") < n), truth, a.topk).first().recall
@@ -75,8 +85,9 @@ def search(spark: SparkSession, a: argparse.Namespace) -> list[tuple]:
             lists = found.filter(F.col("qid") < n).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rk", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
             whole = F.transform(F.sequence(F.lit(1), F.lit(a.topk)), lambda i: F.coalesce(F.get("ids", i - 1), F.lit(-1)))  # -1: fewer than k were found
             vecs.write_vectors(lists.select("qid", whole.alias("ids")).coalesce(1), f"{a.output}/ef={ef}", "ibin", "qid", "ids").collect()
-        rows.append((ef, took, n * a.repeat / took, share, took / parts, spent))
-        print(f"{ef:>6} {took:>10.3f} {n * a.repeat / took:>10.1f} {'' if share is None else f'{share:.2f}':>12} {took / parts:>10.3f} {'' if spent is None else f'{spent:.1f}':>10}")
+        rows.append(SweepRow((ef, took, n * a.repeat / took, share, took / parts, spent)))
+        rows[-1].latencies = tails = percentiles(each)
+        print(f"{ef:>6} {took:>10.3f} {n * a.repeat / took:>10.1f} {'' if share is None else f'{share:.2f}':>12} {took / parts:>10.3f} {'' if spent is None else f'{spent:.1f}':>10} {' '.join(f'{t:>10.3f}' for t in tails)}")
     return rows
 
 

@@ -59,8 +59,13 @@ class VectorIndex:
         shards = beam.shard_count(corpus) if shards is None else shards
         model = pq.train(corpus, chunks, pivots) if chunks else None
         codes = pq.encode(corpus, model) if model else None
-        shard_of, centres = graph.centre_shards(corpus, shards) if near and shards > 1 else (None, None)
-        shard_of = None if shard_of is None else cut(shard_of)
+        shard_of = centres = None
+        if near and shards > 1:
+            shard_of, centres = graph.centre_shards(corpus, shards)
+            shard_of = cut(shard_of)
+            if shard_of.groupBy("shard").count().agg(F.max("count")).first()[0] > beam.SHARD_ROWS:
+                shard_of, centres = graph.bounded_shards(corpus, beam.SHARD_ROWS)
+                shards = centres.count()
         if shards == 1 or whole:
             links = vamana.vamana_graph(corpus, degree, width)
         elif shard_of is not None:
@@ -155,11 +160,11 @@ class VectorIndex:
         whole graph, ``exchange`` does so in the shards, which hand over what goes on elsewhere, ``exact``
         looks at every vector (n_expanded is null then). Without a mode an index of several shards is
         searched shard by shard, or by exchange where edges cross shards. One of a single shard is searched
-        in a task or, if it is larger than a task may hold, by exchange: all but exact give the same rows
+        in a task or, if it is larger than a task may hold, in the loop: all but exact give the same rows
         then. probes: so many shards a query, those with the nearest centres, where shards go by nearness;
         all of them without it.
         """
-        mode = mode or ("exchange" if self.crossing or self.shards == 1 and beam.shard_count(self.corpus) > 1 else "batch")
+        mode = mode or ("exchange" if self.crossing else "batch" if self.shards > 1 or beam.shard_count(self.corpus) == 1 else "loop")
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
         queries = queries.select("qid", cast_vector(F.col("qv")).alias("qv"))

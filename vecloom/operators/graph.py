@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import l2, replicate
-from ..plans.scratch import cut
+from ..plans.scratch import cut, discard
 from .knn import exact_knn, usable
 
 PAGE_BYTES = 4096
@@ -20,6 +20,8 @@ CELL_ROWS = 20_000
 SLICES = 256
 #: Classes of hashes that nav_sample() counts, a power of 16.
 SAMPLE_CLASSES = 16**4
+#: Parts of a leaf that bounded_shards() splits, and bytes of centres that it broadcasts at a time.
+SPLIT, CENTRE_BYTES = 64, 1 << 26
 #: Rows whose distances to their cell prune() holds at a time.
 PRUNE_ROWS = 256
 
@@ -114,10 +116,84 @@ def cell_graph(corpus: DataFrame, degree: int, alpha: float = 1.2, overlap: int
     return both.withColumn("rk", F.row_number().over(order).cast("bigint")).filter(F.col("rk") <= degree)
 
 
+def bounded_shards(corpus: DataFrame, rows: int, seed: int = 11, fan_out: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, shard) of every whole vector, and (shard, v) of the centres: near vectors share a shard, which has ``rows`` at most.
+
+    A tree of centres: leaves that are too large are dealt to centres of their own, a sample of them, level
+    after level, until all are small enough; one that its centres do not divide (copies of one vector) is dealt
+    by hash. Small neighbours in the tree then share a shard. A level's centres are about twice as many as
+    full shards; they are broadcast by blocks of CENTRE_BYTES. centres are the means of the shards.
+    """
+    spark = corpus.sparkSession
+    placed = cut(usable(corpus, "v", "vec_id").select("vec_id", "v", F.lit("").alias("leaf")))
+    before: dict[str, int] = {}
+    while True:
+        sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row a leaf: about as many as shards
+        large = {leaf: n for leaf, n in sizes.items() if n > rows}
+        if not large:
+            break
+        stuck = {leaf for leaf, n in large.items() if leaf and before.get(leaf.rpartition(".")[0]) == n}
+        many = {leaf: min(fan_out, max(2, -(-2 * n // rows))) for leaf, n in large.items()}
+        known = spark.createDataFrame([(leaf, n, many[leaf], leaf in stuck) for leaf, n in large.items()], "leaf string, n bigint, many int, stuck boolean")
+        open_ = placed.join(F.broadcast(known), "leaf")
+        hashed = F.pmod(F.xxhash64("vec_id", F.lit(seed + len(before))), F.lit(1 << 30))
+        place = F.row_number().over(Window.partitionBy("leaf").orderBy("h", "vec_id"))
+        some = open_.filter("not stuck").withColumn("h", hashed).filter(F.col("h") / (1 << 30) * F.col("n") < 4 * F.col("many") + 64)  # some more than needed
+        chosen = some.withColumn("place", place).filter(F.col("place") <= F.col("many")).select("leaf", "v", "place").orderBy("leaf", "place")
+        dealt = open_.filter("stuck").select("vec_id", "v", F.concat("leaf", F.lit("."), F.lpad(F.pmod(hashed, F.col("many")).cast("string"), 4, "0")).alias("leaf"))
+        for block in _centre_blocks(chosen):
+            shared = spark.sparkContext.broadcast(block)
+            dealt = dealt.unionByName(open_.filter(F.col("leaf").isin(list(block))).select("vec_id", "v", "leaf").mapInPandas(_to_centres(shared), "vec_id bigint, v array<double>, leaf string"))
+        old, placed = placed, cut(placed.join(F.broadcast(known.select("leaf")), "leaf", "left_anti").select("vec_id", "v", "leaf").unionByName(dealt))
+        discard(old)
+        before = sizes
+    shard_of, shard, held = [], -1, rows
+    for leaf in sorted(sizes):
+        shard, held = (shard, held + sizes[leaf]) if held + sizes[leaf] <= rows else (shard + 1, sizes[leaf])
+        shard_of.append((leaf, shard))
+    shards = spark.createDataFrame(shard_of, "leaf string, shard bigint")
+    named = cut(placed.join(F.broadcast(shards), "leaf").select("vec_id", "shard", "v"))
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in (p for p in parts if len(p)):
+            for which, mine in part.groupby("shard"):
+                yield pd.DataFrame({"shard": [which], "n": [len(mine)], "s": [np.array(mine["v"].tolist()).sum(axis=0).tolist()]})
+
+    total = named.select("shard", "v").mapInPandas(sums, "shard bigint, n bigint, s array<double>").select("shard", "n", F.posexplode("s").alias("i", "x"))
+    means = total.groupBy("shard", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+    centres = means.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    return named.select("vec_id", "shard"), cut(centres)
+
+
+def _centre_blocks(chosen: DataFrame) -> Iterator[dict[str, np.ndarray]]:
+    """leaf -> its centres, as many leaves at a time as CENTRE_BYTES hold."""
+    block: dict[str, list] = {}
+    held = 0
+    for r in chosen.toLocalIterator():
+        if r.leaf not in block and held > CENTRE_BYTES:
+            yield {leaf: np.array(m) for leaf, m in block.items()}
+            block, held = {}, 0
+        block.setdefault(r.leaf, []).append(r.v)
+        held += 8 * len(r.v)
+    if block:
+        yield {leaf: np.array(m) for leaf, m in block.items()}
+
+
+def _to_centres(shared) -> Callable:
+    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in (p for p in parts if len(p)):
+            for leaf, mine in part.groupby("leaf"):
+                c, m = shared.value[leaf], np.array(mine["v"].tolist(), dtype=np.float64)
+                near = ((c * c).sum(1)[None] - 2 * m @ c.T).argmin(axis=1)
+                yield mine.assign(leaf=[f"{leaf}.{i:04d}" for i in near])
+
+    return assign
+
+
 def centre_shards(corpus: DataFrame, shards: int, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(vec_id, shard) of every whole vector, and (shard, v) of the centres: a shard holds what is nearest to its centre.
 
-    Centres are a sample, 4096 at most, so that they can be broadcast.
+    Centres are a sample, 4096 at most, so that they can be broadcast; bounded_shards() bounds what a shard holds.
     """
     corpus = usable(corpus, "v", "vec_id").select("vec_id", "v")
     chosen = corpus.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(min(4096, shards)).collect()
@@ -224,10 +300,9 @@ def replicate_dims(corpus: DataFrame, times: int) -> DataFrame:
 
 
 def stripe_skew(pages: DataFrame, devices: int) -> DataFrame:
-    """device, reads, share of the reads of each device when page p lies on device p mod n."""
-    total = Window.partitionBy()
-    reads = pages.groupBy(F.pmod("page", F.lit(devices)).cast("bigint").alias("device")).agg(F.count("*").alias("reads"))
-    return reads.withColumn("share", F.col("reads") / F.sum("reads").over(total))
+    """round, device, reads, share of a round's reads (round, page) of each device when page p lies on device p mod n."""
+    reads = pages.groupBy("round", F.pmod("page", F.lit(devices)).cast("bigint").alias("device")).agg(F.count("*").alias("reads"))
+    return reads.withColumn("share", F.col("reads") / F.sum("reads").over(Window.partitionBy("round")))
 
 
 def access_frequency(trace: DataFrame) -> DataFrame:

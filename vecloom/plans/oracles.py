@@ -139,8 +139,8 @@ x AS (SELECT adc.qid, adc.vec_id, adc.d, row_number() OVER (PARTITION BY adc.qid
 SELECT qid, CAST(pos AS INTEGER) AS pos, vec_id, round(d, 6) AS dist FROM x""",
     "access_frequency": _TRACE + ", g AS (SELECT round, node, count(*) AS n FROM t GROUP BY 1, 2) SELECT round, count(*) AS nodes, max(n) AS most, "
     + ", ".join(f"quantile_cont(n, {i / 10}) AS p{i * 10}" for i in range(1, 10)) + " FROM g GROUP BY round",
-    "stripe_skew": f"""WITH {_C}, {_E}, d AS (SELECT {_PAGE.format(id='dst')} % 4 AS device, count(*) AS reads FROM e GROUP BY 1)
-SELECT device, reads, round(reads / CAST(sum(reads) OVER () AS DOUBLE), 6) AS share FROM d""",
+    "stripe_skew": _TRACE + f", d AS (SELECT round, {_PAGE.format(id='node')} % 4 AS device, count(*) AS reads FROM t GROUP BY 1, 2) "
+    "SELECT round, device, reads, round(reads / CAST(sum(reads) OVER (PARTITION BY round) AS DOUBLE), 6) AS share FROM d",
     "index_file_scan": f"""WITH {_C}, {_E}, g AS (SELECT src, count(*) AS n, sum(dst) AS t FROM e GROUP BY src)
 SELECT vec_id AS node, CAST(coalesce(n, 0) AS INTEGER) AS degree, CAST(coalesce(t, 0) AS BIGINT) AS nbr_sum, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total
 FROM embeddings LEFT JOIN g ON vec_id = src""",

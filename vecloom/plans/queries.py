@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import distance as D
 from ..operators import beam, graph, knn, pq, vamana, zipf
 from ..index import VectorIndex
+from ..sources import datasource
 from ..sources import index_files as files
-from ..sources import vecs
 from ..streaming.search import search_stream
 from .scratch import cut, scratch_dir
 
@@ -147,10 +147,10 @@ def pq_adc(spark, sf_dir):
 
 @query
 def adc_neighbors(spark, sf_dir):
+    """Of every edge, the distance of its end to each query from codes: computed once a node, and joined with the edges."""
     m = model(spark, sf_dir)
-    near = edges(spark, sf_dir).join(pq.encode(everything(spark, sf_dir), m), F.col("dst") == F.col("vec_id"))
-    tables = pq.lookup_tables(held_out(spark, sf_dir), m)
-    return near.crossJoin(tables).select("qid", "src", "dst", r6(F.round(D.adc(F.col("lut"), F.col("code")), 9), "dist"))
+    near = pq.adc_distances(pq.lookup_tables(held_out(spark, sf_dir), m), pq.encode(everything(spark, sf_dir), m))
+    return edges(spark, sf_dir).join(near, F.col("dst") == F.col("vec_id")).select("qid", "src", "dst", r6(F.col("dist"), "dist"))
 
 
 @query
@@ -169,8 +169,10 @@ def pq_train(spark, sf_dir):
 
 @query
 def page_layout(spark, sf_dir):
-    page, offset = graph.page_layout(F.col("vec_id"), 64 * 4 + 4 + 4 * DEGREE)
-    return embeddings(spark, sf_dir).select("vec_id", page.alias("page"), offset.alias("byte_offset"))
+    """The page, and the byte in it, that each vector of a paged index was read from."""
+    datasource.register(spark)
+    read = spark.read.format("paged").option("place", "true").load(",".join(_paged(spark, sf_dir)))
+    return read.select(F.col("node").alias("vec_id"), "page", "byte_offset")
 
 
 @query
@@ -478,9 +480,9 @@ def access_frequency(spark, sf_dir):
 
 @query
 def stripe_skew(spark, sf_dir):
-    near = graph.knn_graph(everything(spark, sf_dir), DEGREE)
-    page, _ = graph.page_layout(F.col("dst"), 64 * 4 + 4 + 4 * DEGREE)
-    return graph.stripe_skew(near.select(page.alias("page")), 4).withColumn("share", F.round("share", DIGITS))
+    """Of each round of the searches, how the records that it reads are spread over the stripes of a paged index."""
+    page, _ = graph.page_layout(F.col("node"), 64 * 4 + 4 + 4 * DEGREE)
+    return graph.stripe_skew(_searched(spark, sf_dir, trace=True).select("round", page.alias("page")), 4).withColumn("share", F.round("share", DIGITS))
 
 
 def _folder(spark) -> str:
@@ -511,10 +513,13 @@ def index_node_read(spark, sf_dir):
 
 @query
 def vector_file_scan(spark, sf_dir):
-    """Written as an fvecs file and read again from its tenth row on."""
-    rows = embeddings(spark, sf_dir).select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vector")).coalesce(1)
-    (written,) = vecs.write_vectors(rows, _folder(spark), "fvecs").collect()
-    return vecs.read_vectors(spark, written.file, "fvecs", first=10).select("pos", r6(D.vec_sum(D.cast_vector(F.col("vector"))), "total"))
+    """Written as fvecs files, a range of ids a file, and read again as one table from its tenth row on."""
+    datasource.register(spark)
+    folder = _folder(spark)
+    rows = embeddings(spark, sf_dir).select("vec_id", F.col("embedding").alias("vector")).repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    rows.write.format("vecs").option("kind", "fvecs").mode("append").save(folder)
+    read = spark.read.format("vecs").option("kind", "fvecs").option("first", 10).load(folder)
+    return read.select("pos", r6(D.vec_sum(D.cast_vector(F.col("vector"))), "total"))
 
 
 @query

@@ -31,6 +31,8 @@ from .vecs import open_at, read_rows, read_vectors, shape, whole_file, write_vec
 ELEMENTS = {"float": ("<f4", "float"), "uint8": ("u1", "smallint")}
 PAGES_PER_TASK = 16_384
 PAGES_PER_BATCH = 256
+#: Records of a navigation graph that a task reads, and that it holds.
+NAV_ROWS, NAV_BATCH = 50_000, 4096
 #: Pivots a chunk in files; models with fewer are filled up with copies of their last one, which no code names.
 FILE_PIVOTS = 256
 #: Where the tables of a quantisation file begin.
@@ -280,35 +282,50 @@ def read_nav_start(path: str) -> int:
     return int(np.frombuffer(head, dtype="<i4")[3])
 
 
-def read_nav_graph(spark: SparkSession, path: str) -> DataFrame:
-    """nav_id, nbrs. Records vary in length, so one task streams the file; a navigation graph is a bounded sample."""
+def nav_places(path: str, rows: int) -> tuple[list[int], int]:
+    """Where every so many records of a navigation graph begin, and how many there are: one pass over the degrees."""
+    where, name = open_at(path)
+    most, node, at, out = 0, 0, 24, []
+    with where.open_input_stream(name, buffer_size=1 << 20) as f:
+        head = f.read(24)
+        if len(head) < 24:
+            raise ValueError(f"{path}: no header")
+        most = int(np.frombuffer(head, dtype="<i4")[2])
+        while len(raw := f.read(4)) == 4:
+            n = int.from_bytes(raw, "little", signed=True)
+            if not 0 <= n <= most or len(f.read(4 * n)) != 4 * n:
+                raise ValueError(f"{path}: node {node} is broken")
+            if node % rows == 0:
+                out.append(at)
+            node, at = node + 1, at + 4 + 4 * n
+    return out, node
+
+
+def nav_records(path: str, at: int, first: int, end: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(nav_ids, neighbours) of the records first .. end - 1, which begin at a byte of the file."""
+    where, name = open_at(path)
+    with where.open_input_file(name) as f:
+        f.seek(at)
+        for begin in range(first, end, NAV_BATCH):
+            held = []
+            for _ in range(begin, min(end, begin + NAV_BATCH)):
+                n = int.from_bytes(f.read(4), "little", signed=True)
+                held.append(np.frombuffer(f.read(4 * n), dtype="<i4").astype(np.int64))
+            yield np.arange(begin, begin + len(held)), held
+
+
+def read_nav_graph(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """nav_id, nbrs of a navigation graph, read by ranges of so many records: the driver looks at their lengths once."""
+    rows = NAV_ROWS if rows is None else rows
+    places, end = nav_places(path, rows)
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            if not part.num_rows:
-                continue
-            where, name = open_at(path)
-            with where.open_input_stream(name, buffer_size=1 << 20) as f:
-                head = f.read(24)
-                if len(head) < 24:
-                    raise ValueError(f"{path}: no header")
-                most, node, held = int(np.frombuffer(head, dtype="<i4")[2]), 0, []
-                while len(raw := f.read(4)) == 4:
-                    n = int.from_bytes(raw, "little", signed=True)
-                    near = f.read(4 * n) if 0 <= n <= most else b""
-                    if not 0 <= n <= most or len(near) != 4 * n:
-                        raise ValueError(f"{path}: node {node} is broken")
-                    held.append(np.frombuffer(near, dtype="<i4").astype(np.int64))
-                    node += 1
-                    if len(held) == 4096:
-                        yield _nav_batch(node, held)
-                        held = []
-            yield _nav_batch(node, held)
-
-    return spark.range(0, 1, 1, 1).mapInArrow(batches, "nav_id bigint, nbrs array<bigint>")
-
-
-def _nav_batch(end: int, held: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(end - len(held), end)), pa.array(held, pa.list_(pa.int64()))], ["nav_id", "nbrs"])
+            for task in part.column(0).to_pylist():
+                for ids, near in nav_records(path, places[task], task * rows, min(end, (task + 1) * rows)):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near, pa.list_(pa.int64()))], ["nav_id", "nbrs"])
+
+    return spark.range(0, len(places), 1, max(1, len(places))).mapInArrow(batches, "nav_id bigint, nbrs array<bigint>")
 
 
 def write_nav_graph(graph: DataFrame, path: str, start: int = 0) -> None:

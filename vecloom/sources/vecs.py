@@ -166,41 +166,49 @@ def append(f, name: str) -> None:
     where.delete_file(target)
 
 
+def write_file(name: str, kind: str, lists: Iterator[pa.Array]) -> Shape:
+    """Write vectors, batch by batch, as one file. No vectors make no file.
+
+    A batch at a time is held: where the header counts the rows, they go to a file beside it first.
+    """
+    dtype, _, per_row = FORMATS[kind]
+    rows = width = 0
+    body = name if per_row else f"{name}.{uuid.uuid4().hex}.body"
+    lists = (some for some in lists if len(some))
+    first = next(lists, None)
+    if first is None:
+        return Shape(0, 0)
+    with whole_file(body) as f:
+        for some in chain([first], lists):
+            m = some.flatten().to_numpy(zero_copy_only=False)
+            if some.null_count or len(m) % len(some) or np.ptp(some.value_lengths().to_numpy()) or rows and len(m) != width * len(some) or not len(m):
+                raise ValueError(f"{name}: rows differ in width")
+            m = m.reshape(len(some), -1).astype(dtype)
+            rows, width = rows + len(m), m.shape[1]
+            if per_row:
+                heads = np.full((len(m), 1), width, dtype="<i4").view(np.uint8)
+                f.write(np.concatenate((heads, m.view(np.uint8).reshape(len(m), -1)), axis=1).tobytes())
+            else:
+                f.write(m.tobytes())
+    if not per_row:
+        with whole_file(name) as f:
+            f.write(np.array([rows, width], dtype="<i4").tobytes())
+            append(f, body)
+    return Shape(rows, width)
+
+
 def write_vectors(df: DataFrame, path: str, kind: str, order: str = "pos", vector: str = "vector") -> DataFrame:
     """Write df's vectors under the folder path, a file a partition, in the order of a column.
 
     The result lists the files with their rows. For a single file, coalesce df to one partition first.
-    A task holds one batch at a time: where the header counts the rows, they go to a file beside it first.
     """
-    dtype, _, per_row = FORMATS[kind]
-
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         name = f"{path.rstrip('/')}/part-{TaskContext.get().partitionId():05d}.{kind}"
-        rows = width = 0
-        body = name if per_row else f"{name}.{uuid.uuid4().hex}.body"
-        parts = (part for part in parts if part.num_rows)
-        first = next(parts, None)
-        if first is None:
-            return
-        with whole_file(body) as f:
-            for part in chain([first], parts):
-                lists = part.column(0)
-                m = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(dtype)
-                if rows and m.shape[1] != width or np.ptp(np.diff(lists.offsets.to_numpy())):
-                    raise ValueError(f"{name}: rows differ in width")
-                rows, width = rows + len(m), m.shape[1]
-                if per_row:
-                    heads = np.full((len(m), 1), width, dtype="<i4").view(np.uint8)
-                    f.write(np.concatenate((heads, m.view(np.uint8).reshape(len(m), -1)), axis=1).tobytes())
-                else:
-                    f.write(m.tobytes())
-        if not per_row:
-            with whole_file(name) as f:
-                f.write(np.array([rows, width], dtype="<i4").tobytes())
-                append(f, body)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows])], ["file", "rows"])
+        written = write_file(name, kind, (part.column(0) for part in parts))
+        if written.rows:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([written.rows])], ["file", "rows"])
 
     return df.sortWithinPartitions(order).select(vector).mapInArrow(batches, "file string, rows bigint")
 
