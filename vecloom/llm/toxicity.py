@@ -2,7 +2,8 @@
 
 Texts are folded first: compatibility forms (full width, mathematical, ligatures) and accented letters
 to the plain ones, without marks and characters that do not show, in lower case; letters that are
-spelled out one by one are joined; then look-alike letters go to the Latin ones, digits and signs to
+spelled out one by one are joined, ! and | inside a word are an i, and a letter that is drawn out (three
+times or more) is there once; then look-alike letters go to the Latin ones, digits and signs to
 the letters they stand for, and l to i, as the digit 1 stands for either. One Aho-Corasick pass then finds the lexicon's entries, whole words or word
 beginnings, and the exception phrases, inside which entries do not count. The weights that are found
 add up; their sum and their density in the text's words give the score by a logistic curve.
@@ -47,10 +48,16 @@ HARMLESS = ("trash can", "trash bin", "clown fish", "stupid simple", "sore loser
 
 #: Letters of other scripts, digits and signs, with what they stand for.
 LOOKALIKES = dict(zip("аеорсухівкмнтгьѕјԁɡαβεηικνορτυχ012345789@$", "aeopcyxibkmhtrbsjdgabenikvoptuxoizeastbgas")) | {"l": "i"}
+#: Small capitals, Armenian letters, and letters with a stroke or without a dot.
+LOOKALIKES |= dict(zip("ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "abcdefghijkimnoprstuvwyz"))
+LOOKALIKES |= dict(zip("օոսհյցքզ", "onuhjgpq")) | dict(zip("øđłħŧƀıȷɨ", "odihtbiji"))
 _TABLE = str.maketrans(LOOKALIKES)
 _WORDS = re.compile(r"[^\W_](?:[^\W_]|[@$](?=[^\W_]))*")
 #: Four letters or more, one by one, with a sign or a space between them.
 _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\x20.*_·•-][^\W_]){3,}(?![^\W_])")
+#: A sign for i inside a word, and a letter that is drawn out.
+_INNER = re.compile(r"(?<=[^\W_])[!|](?=[^\W_])")
+_DRAWN = re.compile(r"([^\W\d_])\1\1+")
 _BETWEEN = re.compile(r"[\x20.*_·•-]")
 
 
@@ -70,6 +77,9 @@ def fold(text: str) -> tuple[str, str]:
     """The text in plain letters, and folded; both of one length."""
     plain = text.lower() if text.isascii() else text.translate(_PLAIN)
     plain = _SPELLED.sub(lambda m: _BETWEEN.sub("", m[0]), plain)
+    if "!" in plain or "|" in plain:
+        plain = _INNER.sub("i", plain)
+    plain = _DRAWN.sub(r"\1", plain)
     return plain, plain.translate(_TABLE)
 
 
