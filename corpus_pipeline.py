@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from vecloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from vecloom.llm._common import documents, scratch_dir
+from vecloom.llm._common import cut, discard, documents
 from vecloom.llm.queries import TOKENIZER
 
 
@@ -43,17 +41,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written to the shared folder and read again.
+    """All stages over documents; each one's result is written to the shared folder and read again, until the next one is there.
 
     Texts that are null or have no word leave in the mixing stage at the latest. No documents give no sequences.
     """
-    docs = documents(spark, sf_dir)
+    docs, read = documents(spark, sf_dir), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            before, read = read, cut(docs)
+            docs = read
+            if before is not None:
+                discard(before)
     return docs
 
 
