@@ -39,6 +39,8 @@ def robust_prune(m: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree:
     One goes if a nearer one that stays is nearer to it than the vector is, by a factor alpha in squared distances;
     with an infinite alpha none does.
     """
+    if not candidates.size:
+        return np.full((len(of), degree), -1, dtype=np.int64)
     v = m[candidates]
     near = np.where(candidates < 0, np.inf, ((v - m[of][:, None]) ** 2).sum(axis=2))
     order = np.lexsort((candidates, near), axis=1)
@@ -84,45 +86,42 @@ class Cell:
         size = max(1, min(BATCH, len(order) // SHARE))
         for at in range(0, len(order), size):
             self.insert(order[at : at + size], alpha)
-        every = np.arange(len(m))
-        self.prune(every[(self.nbrs >= 0).sum(axis=1) > degree], None, alpha)
+        full = np.flatnonzero((self.nbrs >= 0).sum(axis=1) > degree)
+        self.prune(full, self.nbrs[full], alpha)
         self.nbrs = self.nbrs[:, :degree].copy()
         self.join_up()
 
-    def prune(self, nodes: np.ndarray, lists: list[np.ndarray] | None, alpha: float) -> None:
-        """Give nodes the pruned candidates of the lists, or prune what they have."""
-        sizes = np.array([len(x) for x in lists]) if lists is not None else np.zeros(len(nodes))
-        order = np.argsort(sizes, kind="stable")
+    def prune(self, nodes: np.ndarray, candidates: np.ndarray, alpha: float) -> None:
+        """Give nodes what stays of their candidates, a row each."""
         for at in range(0, len(nodes), PRUNED):
-            some = order[at : at + PRUNED]
-            candidates = self.nbrs[nodes[some]] if lists is None else padded([lists[i] for i in some.tolist()])
-            self.nbrs[nodes[some]] = -1
-            self.nbrs[nodes[some], : self.degree] = robust_prune(self.m, nodes[some], candidates, self.degree, alpha)
+            some, held = nodes[at : at + PRUNED], candidates[at : at + PRUNED]
+            held = held[:, (held >= 0).any(axis=0)]
+            self.nbrs[some] = -1
+            self.nbrs[some, : self.degree] = robust_prune(self.m, some, held, self.degree, alpha)
 
     def insert(self, batch: np.ndarray, alpha: float) -> None:
         every = np.arange(len(self.m))
         walks = Walks(self.m[batch], np.full(len(batch), self.entry), self.width)
         walks.run(Nodes(every, self.m, self.nbrs, lambda w, lanes, rows, slots: w.by_vectors(lanes, self.m[self.nbrs[rows, slots]])))
-        lists = []
-        for lane, p in enumerate(batch.tolist()):
-            candidates = np.union1d(walks.seen[lane, : walks.count[lane]], self.nbrs[p])
-            lists.append(candidates[(candidates >= 0) & (candidates != p)])
-        self.prune(batch, lists, alpha)
-        back: dict[int, list[int]] = {}
-        for p in batch.tolist():
-            for q in self.nbrs[p][self.nbrs[p] >= 0].tolist():
-                back.setdefault(q, []).append(p)
-        over, lists = [], []
-        for q, new in back.items():
-            held = self.nbrs[q][self.nbrs[q] >= 0]
-            held = np.concatenate((held, np.setdiff1d(new, held)))
-            if len(held) <= self.nbrs.shape[1]:
-                self.nbrs[q, : len(held)] = held
-            else:
-                over.append(q)
-                lists.append(held)
-        if over:
-            self.prune(np.array(over), lists, alpha)
+        candidates = np.sort(np.concatenate((walks.seen, self.nbrs[batch]), axis=1), axis=1)[:, ::-1]
+        candidates[:, 1:][candidates[:, 1:] == candidates[:, :-1]] = -1
+        candidates[candidates == batch[:, None]] = -1
+        self.prune(batch, candidates, alpha)
+        lane, slot = np.nonzero(self.nbrs[batch] >= 0)
+        p, q = batch[lane], self.nbrs[batch][lane, slot]
+        new = ~(self.nbrs[q] == p[:, None]).any(axis=1)
+        order = np.lexsort((p[new], q[new]))
+        p, q = p[new][order], q[new][order]
+        nodes, first, count = np.unique(q, return_index=True, return_counts=True)
+        have, rank = (self.nbrs[nodes] >= 0).sum(axis=1), np.arange(len(q)) - np.repeat(first, count)
+        fits = np.repeat(have + count <= self.nbrs.shape[1], count)
+        self.nbrs[q[fits], (np.repeat(have, count) + rank)[fits]] = p[fits]
+        over = have + count > self.nbrs.shape[1]
+        if over.any():
+            candidates = np.full((int(over.sum()), self.nbrs.shape[1] + int(count[over].max())), -1, dtype=np.int64)
+            candidates[:, : self.nbrs.shape[1]] = self.nbrs[nodes[over]]
+            candidates[np.repeat(np.arange(len(candidates)), count[over]), self.nbrs.shape[1] + rank[~fits]] = p[~fits]
+            self.prune(nodes[over], candidates, alpha)
 
     def join_up(self) -> None:
         """Every node gets reached: edges that first reach a node are kept, others give way where there is no room."""

@@ -55,7 +55,7 @@ class Walks:
         n = len(queries)
         self.queries, self.ef = queries, ef
         self.tables = tables if tables is None else self.flat(tables)
-        self.beam_d, self.beam_id = np.full((n, ef), np.inf), np.full((n, ef), -1, dtype=np.int64)
+        self.beam_d, self.beam_id = np.full((n, ef), np.inf), np.full((n, ef), -1, dtype=np.int64)  # expanded nodes stay in the beam
         self.seen, self.exact = np.full((n, 8), -1, dtype=np.int64), np.full((n, 8), np.inf)
         self.seen[:, 0], self.count, self.next = entries, np.ones(n, dtype=np.int64), entries.astype(np.int64).copy()
 
