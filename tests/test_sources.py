@@ -10,7 +10,6 @@ from vecloom.sources import datasource, index_files, vecs
 @pytest.fixture(scope="module", autouse=True)
 def known(spark):
     datasource.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def rows(spark, n, parts=3, width=3):

@@ -7,8 +7,9 @@
 * ``truth``: qid, ids, dists; ``pqcodes``: vec_id, code; ``navgraph``: nav_id, nbrs, whose records vary in length:
   one pass over its degrees cuts it into ranges.
 
-Rows are read by ranges, a task a range. Comparisons of the first column with numbers narrow the ranges if the
-session has ``spark.sql.python.filterPushdown.enabled``, and the plan names them. With that setting for each query: Spark 4.1 keeps the ranges of a DataFrame's first filters for its later scans.
+Call register() first. Rows are read by ranges, a task a range. Comparisons of the first column with numbers
+narrow the ranges, and leave the plan. Load anew for each query: Spark 4.1 keeps the ranges of a DataFrame's
+first filters for its later scans.
 
 ``df.write.format("vecs").option("kind", ...).mode(...).save(folder)`` writes the column ``vector``, a file a task, in
 the order that the rows have in each partition. Files get their names when all tasks are done; those of tasks that
@@ -324,7 +325,8 @@ SOURCES = (VectorSource, TypedSource, PagedSource, TruthSource, CodeSource, NavS
 
 
 def register(spark: SparkSession) -> None:
-    """Make the formats known to the session."""
+    """Make the formats known to the session, and let Spark push filters down to them (it refuses sources that take any otherwise)."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in SOURCES:
         spark.dataSource.register(source)
 
