@@ -204,7 +204,9 @@ def trie_nodes(seqs: DataFrame, local_turns: int | None = None) -> DataFrame:
             F.first("depth").alias("depth"), F.first("parent").alias("parent"), F.sum("n").alias("n"), F.min(F.struct("ids", "bytes", "ends")).alias("low"), F.max("ids").alias("hi"))
         head = cut(ends.withColumn("common", common(F.col("low.ids"), F.col("hi"))).drop("hi"))
         heads.append(head)
-        keyed = cut(now.drop("depth", "parent").join(head.select("bucket", "common"), "bucket").filter(F.size("ids") > F.col("common")).withColumn("radix", F.col("ids")[F.col("common").cast("int")]))
+        rows = now.drop("depth", "parent")  # the root is one bucket: its head needs no join
+        rows = rows.join(head.select("bucket", "common"), "bucket") if step else rows.withColumn("common", F.lit(head.first()["common"]).cast("bigint"))
+        keyed = cut(rows.filter(F.size("ids") > F.col("common")).withColumn("radix", F.col("ids")[F.col("common").cast("int")]))
         kids = keyed.groupBy("bucket", "radix").agg(F.min("first").alias("child"), F.count("*").alias("classes"), F.sum(F.size("ids")).alias("turns"))
         dealt = cut(keyed.join(kids, ["bucket", "radix"]).select(
             F.col("child").alias("bucket"), (F.col("common") + 1).alias("depth"), F.col("bucket").alias("parent"), "ids", "bytes", "n", "first", "ends",
