@@ -181,6 +181,41 @@ def test_rounds_over_a_bucketed_graph_do_not_shuffle_it(spark, small):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def plain_hops(links, entry, most):
+    hops, at = {entry: 0}, [entry]
+    for hop in range(1, most + 1):
+        at = sorted({d for s, d in links if s in set(at)} - set(hops))
+        hops.update(dict.fromkeys(at, hop))
+    return hops
+
+
+def test_hops_over_bucketed_edges_do_not_shuffle_them(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOP_TABLES", 4)
+    rng = np.random.default_rng(3)
+    links = [(int(s), int(d)) for s, d in rng.integers(0, 60, (150, 2))] + [(5, 7), (5, 7)] + [(100 + i, 101 + i) for i in range(6)] + [(0, 100), (200, 201)]
+    edges = spark.createDataFrame(links, "src bigint, dst bigint").repartition(3)
+    for most, small in ((2, 10**6), (2, 0), (1 << 30, 0)):
+        want = plain_hops(links, 0, min(most, 60))
+        assert {r["node"]: r["hop"] for r in graph.bfs_hops(edges, 0, most, small).collect()} == want and max(want.values()) >= min(most, 6)
+    assert graph.bfs_hops(edges.limit(0), 4).collect() == [(4, 0)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = graph.hop_from(spark.range(3).withColumnRenamed("id", "node"), bucketed(edges, "src", 3), apart=True)
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        exchanged = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+        assert "Bucketed: true" in plan and len(exchanged) == 2 and not any("src" in line for line in exchanged)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("rows, asked", [([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0, 4.0])], [(5, [1.0, 2.0, 3.0])]), ([(1, [1.0, 2.0])], [(5, [1.0])]), ([(1, [1.0])], [(5, [1.0]), (6, [1.0, 2.0])])])
+def test_exact_search_of_several_widths_says_so(spark, rows, asked):
+    corpus = spark.createDataFrame(rows, "vec_id bigint, v array<double>").coalesce(1)
+    queries = spark.createDataFrame(asked, "qid bigint, qv array<double>")
+    with pytest.raises(Exception, match="width"):
+        knn.exact_knn(queries, corpus, 1).collect()
+
+
 def test_access_frequency_counts_rounds(spark):
     trace = spark.createDataFrame([(1, 0, 5), (2, 0, 5), (3, 0, 6), (1, 1, 7)], "qid bigint, round bigint, node bigint")
     got = {r["round"]: (r.nodes, r.most, r.p50) for r in graph.access_frequency(trace).collect()}

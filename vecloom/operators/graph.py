@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import l2, replicate
-from ..plans.scratch import cut, discard
+from ..plans.scratch import bucketed, cut, discard
 from .knn import exact_knn, usable
 
 PAGE_BYTES = 4096
@@ -22,6 +22,8 @@ SLICES = 256
 SAMPLE_CLASSES = 16**4
 #: Parts of a leaf that bounded_shards() splits, and bytes of centres that it broadcasts at a time.
 SPLIT, CENTRE_BYTES = 64, 1 << 26
+#: Edges of a graph that hops may shuffle whole, and of a bucket of a larger one; hops that become one table.
+HOP_EDGES, HOP_TABLES = 1_000_000, 16
 #: Rows whose distances to their cell prune() holds at a time.
 PRUNE_ROWS = 256
 
@@ -240,17 +242,45 @@ def dangling_edges(edges: DataFrame, corpus: DataFrame) -> DataFrame:
     return edges.join(corpus.select(F.col("vec_id").alias("dst")), "dst", "left_anti").select("src", "dst")
 
 
-def bfs_hops(edges: DataFrame, entry: int, most: int = 9) -> DataFrame:
-    """node, hop: fewest edges from the entry, up to ``most``; unreached nodes are absent."""
-    links = cut(edges.select("src", "dst").distinct())
+def hop_from(frontier: DataFrame, links: DataFrame, apart: bool = False) -> DataFrame:
+    """node: what links (src, dst) lead to from the frontier's nodes, each once.
+
+    With ``apart`` links are bucketed by src, and only the frontier is shuffled.
+    """
+    asked = frontier.select(F.col("node").alias("at"))
+    return links.join(asked.hint("shuffle_hash") if apart else asked, F.col("at") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+
+
+def bfs_hops(edges: DataFrame, entry: int, most: int = 9, small: int = HOP_EDGES) -> DataFrame:
+    """node, hop: fewest edges from the entry, up to ``most``; unreached nodes are absent.
+
+    More than ``small`` edges are written bucketed by their source, once, so that a hop shuffles nodes and
+    never the graph. A hop is a table; every HOP_TABLES of them become one, so that plans stay short however
+    deep the graph is.
+    """
+    links = cut(edges.select("src", "dst"))
+    n = links.count()
+    apart = n > small
+    if apart:
+        plain, links = links, bucketed(links, "src", -(-n // HOP_EDGES))
+        discard(plain)
     seen = cut(links.sparkSession.createDataFrame([(entry, 0)], "node bigint, hop int"))
+    tables = [seen]
     for hop in range(1, most + 1):
-        step = seen.filter(F.col("hop") == hop - 1).join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = tables[-1].filter(F.col("hop") == hop - 1)
         found = Observation()  # counts what is written, so that a hop is one job
-        fresh = cut(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)).observe(found, F.count("*").alias("n")))
+        met = hop_from(frontier, links, apart).join(seen, "node", "left_anti")
+        fresh = cut(met.withColumn("hop", F.lit(hop)).observe(found, F.count("*").alias("n")))
         if not found.get["n"]:
+            discard(fresh)
             break
         seen = seen.unionByName(fresh)
+        tables.append(fresh)
+        if len(tables) == HOP_TABLES:
+            seen = cut(seen)
+            discard(*tables)
+            tables = [seen]
+    discard(links)
     return seen
 
 
