@@ -465,6 +465,31 @@ def test_revealing_words_equal_brute_force(spark):
     assert out == want and sum(map(len, want.values())) > 20
 
 
+def test_thousands_of_revealing_words(spark):
+    """Each of 1,500 owners has a word of its own beside every value; words that all share reveal none."""
+    import random
+
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda n: "".join(letters[n // 26**i % 26] for i in range(4))
+    common, texts = [f"shared{name(i)}" for i in range(300)], []
+    for owner in range(1500):
+        own, value = f"of{name(owner * 7)}", [f"user@site{owner}.net", f"10.{owner // 250}.{owner % 250}.7", f"+44 20 {1000 + owner} 0{rng.randrange(1000, 9999)}"][owner % 3]
+        for _ in range(rng.choice((1, 5, 9))):
+            words = rng.choices(common, k=rng.randrange(8, 25))
+            at = rng.randrange(len(words))
+            words[at:at] = [own, value][:: rng.choice((1, -1))]
+            texts.append(" ".join(words))
+        if owner % 2:  # its word elsewhere, without the value
+            texts += [f"{own} {' '.join(rng.choices(common, k=9))}" for _ in range(rng.randrange(4))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    out = {r.id: sorted((s.start, s.end) for s in r.spans if s.kind == pii.TERM) for r in pii.find_personal_data(df).collect()}
+    want = brute_terms(texts)
+    assert out == want
+    found = {texts[i][s:e] for i, spans in want.items() for s, e in spans}
+    assert len(found) > 800 and not any(w.startswith("shared") for w in found)
+
+
 def test_secrets():
     text = 'token = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72" and 1234567890123456789012345 or abcdefghijklmnopqrstuvwxyzabc or aaaaaaaaaaaaaaaaaaaaaa11111111'
     assert [text[s:e] for _, s, e in pii.secrets(text)] == ["cb1a9fee807a05366fcb8b6c95c7c565ede51a72"]
