@@ -43,10 +43,18 @@ def test_pairs_equal_the_columns(odd, kind, digits):
             assert a.dist == pytest.approx(b.dist, rel=1e-12, abs=1e-12 if digits is None else 0, nan_ok=True), (a, b)
 
 
-@pytest.mark.parametrize("name", ["cosine_distance"])
+@pytest.mark.parametrize("name", ["cosine_distance", "cosine_similarity"])
 def test_pairs_are_not_joined(spark, sf_dir, name):
     """The join computes pairs one by one, in as few tasks as the table has files."""
     df = __spark_entry__.queries()[name](spark, sf_dir)
     assert "CartesianProduct" not in plan_of(df) and "BroadcastNestedLoopJoin" not in plan_of(df)
     tasks = knn.SPREAD * spark.sparkContext.defaultParallelism
     assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and df.rdd.getNumPartitions() % tasks == 0
+
+
+def test_lateral_search_sorts_no_pairs(spark, sf_dir):
+    """What the lateral subquery ranks was cut to each task's nearest before."""
+    df = __spark_entry__.queries()["exact_knn_lateral"](spark, sf_dir)
+    assert "CartesianProduct" not in plan_of(df) and "BroadcastNestedLoopJoin" not in plan_of(df) and "MapInArrow" in plan_of(df)
+    want = __spark_entry__.queries()["exact_knn"](spark, sf_dir).drop("rk")
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect()))
