@@ -106,3 +106,24 @@ def test_truth_files_round_trip(spark, tmp_path):
     back = [tuple(r) for r in vecs.read_truth(spark, written.file).orderBy("qid").collect()]
     assert written.rows == 2 and back == [(0, [3, 4], [0.25, 2.0]), (1, [5, 6], [0.5, 1.0])]
     assert [p.name for p in tmp_path.iterdir()] == ["truth.bin"]
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot", "cosine"])
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e30])
+def test_exact_knn_of_copies_compares_each_vector_once(spark, metric, scale, monkeypatch):
+    """A third of all rows are copies and some ids come again: what is compared one by one grows with queries, not with pairs of copies."""
+    rng = np.random.default_rng(2)
+    m = rng.integers(-3, 4, size=(600, 5)) * scale
+    m[::3] = m[1]
+    ids = np.concatenate((np.arange(590), [0, 0, 3, 3, 3, 9, 9, 9, 9, 9]))
+    k, metric_of = 4, knn.refine
+    seen, refined = [], lambda kind, q, rows: seen.append(len(q)) or metric_of(kind, q, rows)
+    best, who = np.full((600, k), np.inf), np.zeros((600, k), dtype=np.int64)
+    monkeypatch.setattr(knn, "refine", refined)
+    knn.merge(metric, ids, m, ids, m, best, who, True)
+    assert sum(seen) < 600 * 100 or (metric, scale) == ("cosine", 1e-30)  # where all are as good as equally near
+    exact = metric_of(metric, m, np.broadcast_to(m, (600, 600, 5)))
+    for i in range(600):
+        other = ids != ids[i]
+        order = np.lexsort((ids[other], exact[i][other]))[:k]
+        assert best[i].tolist() == exact[i][other][order].tolist() and who[i].tolist() == ids[other][order].tolist()
