@@ -43,7 +43,7 @@ def test_pairs_equal_the_columns(odd, kind, digits):
             assert a.dist == pytest.approx(b.dist, rel=1e-12, abs=1e-12 if digits is None else 0, nan_ok=True), (a, b)
 
 
-@pytest.mark.parametrize("name", ["cosine_distance", "cosine_similarity", "l2_distance"])
+@pytest.mark.parametrize("name", ["cosine_distance", "cosine_similarity", "l2_distance", "inner_product"])
 def test_pairs_are_not_joined(spark, sf_dir, name):
     """The join computes pairs one by one, in as few tasks as the table has files."""
     df = __spark_entry__.queries()[name](spark, sf_dir)
