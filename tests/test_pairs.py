@@ -58,3 +58,14 @@ def test_lateral_search_sorts_no_pairs(spark, sf_dir):
     assert "CartesianProduct" not in plan_of(df) and "BroadcastNestedLoopJoin" not in plan_of(df) and "MapInArrow" in plan_of(df)
     want = __spark_entry__.queries()["exact_knn"](spark, sf_dir).drop("rk")
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_edges_take_codes_not_pairs(spark, sf_dir):
+    """No join has rows for all pairs of queries and vectors: distances are made last, where nothing follows."""
+    df = __spark_entry__.queries()["adc_neighbors"](spark, sf_dir)
+    plan = plan_of(df)
+    assert "Join" not in plan[: plan.index("MapInArrow")] and "Exchange" not in plan[: plan.index("MapInArrow")]
+    near = __spark_entry__.queries()["pq_adc"](spark, sf_dir).filter("qid < 100")
+    links = __spark_entry__.queries()["knn_graph"](spark, sf_dir)
+    want = links.join(near, F.col("dst") == F.col("vec_id")).select("qid", "src", "dst", "dist")
+    assert sorted(map(tuple, df.filter("qid < 100").collect())) == sorted(map(tuple, want.collect()))
