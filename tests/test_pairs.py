@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -69,3 +70,14 @@ def test_edges_take_codes_not_pairs(spark, sf_dir):
     links = __spark_entry__.queries()["knn_graph"](spark, sf_dir)
     want = links.join(near, F.col("dst") == F.col("vec_id")).select("qid", "src", "dst", "dist")
     assert sorted(map(tuple, df.filter("qid < 100").collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("few", [5, 1_000_000])
+def test_percentiles_of_distances_keep_no_pairs(spark, monkeypatch, few):
+    """Grid points, so that many distances are equal and lie on edges of bins."""
+    m = np.random.default_rng(4).integers(0, 4, size=(90, 3)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(90, None)], "vec_id bigint, v array<double>")
+    asked = rows.filter("vec_id < 40 or v is null").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
+    monkeypatch.setattr(knn, "BINS", 16)
+    want = np.quantile(((m[:40, None] - m[None]) ** 2).sum(axis=2), [0.0, 0.5, 0.9, 0.99, 1.0])
+    assert knn.distance_percentiles(asked, rows, (0.0, 0.5, 0.9, 0.99, 1.0), few) == pytest.approx(want)
