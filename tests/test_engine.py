@@ -127,3 +127,23 @@ def test_exact_knn_of_copies_compares_each_vector_once(spark, metric, scale, mon
         other = ids != ids[i]
         order = np.lexsort((ids[other], exact[i][other]))[:k]
         assert best[i].tolist() == exact[i][other][order].tolist() and who[i].tolist() == ids[other][order].tolist()
+
+
+def test_scans_of_several_blocks_read_packed_rows(spark, monkeypatch):
+    """Rows that are gone over block by block are read as bytes, not number by number; the neighbours stay the same."""
+    m = np.random.default_rng(4).normal(size=(90, 5))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id bigint, v array<double>")
+    want = {(r.src, r.rk): r.dst for r in graph.knn_graph(rows, 3).collect()}
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 16)
+    near = graph.knn_graph(rows, 3)
+    assert {(r.src, r.rk): r.dst for r in near.collect()} == want
+    assert "v:binary" in near._jdf.queryExecution().executedPlan().toString()
+    wide = rows.unionByName(spark.createDataFrame([(99, [1.0, 2.0])], rows.schema))
+    with pytest.raises(Exception, match="widths"):
+        knn.exact_knn(rows.selectExpr("vec_id AS qid", "v AS qv"), wide, 3).collect()
+
+
+@pytest.mark.parametrize("shape", [(0, 5), (3, 0), (3, 5), (16, 8), (7, 13)])
+def test_places_of_true_ones(shape):
+    hit = np.random.default_rng(1).random(shape) < 0.3
+    assert knn.places(hit).tolist() == np.flatnonzero(hit).tolist()
