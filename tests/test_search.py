@@ -326,3 +326,22 @@ def test_sweep_tells_latencies(spark, sf_dir, tmp_path, capsys):
     (row,) = cli.main(["search", "--index", str(tmp_path / "index"), "--query", written.file, "--topk", "3", "--ef_search", "8", "-B", "3"], spark)
     p50, p90, p99 = row.latencies
     assert 0 < p50 <= p90 <= p99 <= row[1] and "p99" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_merged_cells_equal_pruning_by_hand(spark, single):
+    """A vector goes to the edges that end in it, in single precision where it is exact; rows that repeat an id change nothing."""
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(60, 5))
+    m = m.astype(np.float32).astype(np.float64) if single else m
+    df = frame(spark, m)
+    kind = knn.lean(df).schema["v"].dataType.elementType.typeName()
+    assert kind == ("float" if single else "double")
+    lists = {p: sorted(set(rng.choice(60, size=3 if p % 2 else 15).tolist()) - {p}) for p in range(60)}
+    edges = spark.createDataFrame([(p, o, 1) for p, near in lists.items() for o in near], "src bigint, dst bigint, rk bigint")
+    got: dict = {}
+    for r in sorted(vamana.merge_cells(edges.unionByName(edges), df.unionByName(df.filter("vec_id % 3 = 0")), 4, 1.2).collect(), key=lambda r: (r.src, r.rk)):
+        got.setdefault(r.src, []).append(r.dst)
+    for p, near in lists.items():
+        want = vamana.robust_prune(m, np.array([p]), np.array([near]), 4, np.inf if len(near) <= 4 else 1.2)[0]
+        assert got[p] == want[want >= 0].tolist()
