@@ -1,6 +1,7 @@
 """Graphs built by search, searches over shards and bucketed tables, traces, walks from any node: against plain NumPy and SQL-free Python."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from vecloom.index import VectorIndex
@@ -345,3 +346,20 @@ def test_merged_cells_equal_pruning_by_hand(spark, single):
     for p, near in lists.items():
         want = vamana.robust_prune(m, np.array([p]), np.array([near]), 4, np.inf if len(near) <= 4 else 1.2)[0]
         assert got[p] == want[want >= 0].tolist()
+
+
+def test_a_shard_is_held_once_and_in_the_precision_it_comes_in():
+    """Batches of a shard, out of order and with neighbours elsewhere, become arrays without a list a node."""
+    rng = np.random.default_rng(3)
+    ids, m = rng.permutation(50) * 3, rng.normal(size=(50, 4)).astype(np.float32)
+    near = [rng.integers(0, 160, size=n).tolist() for n in rng.integers(0, 6, size=50)]
+    table = pa.table({"vec_id": ids, "v": pa.array(list(m), pa.list_(pa.float32())), "code": pa.array([[i % 7, i % 5] for i in range(50)], pa.list_(pa.int16())), "nbrs": pa.array(near, pa.list_(pa.int64()))})
+    nodes = beam.shard_nodes(pa.Table.from_batches(table.to_batches(max_chunksize=16)), True)
+    assert nodes.vectors.dtype == np.float32 and nodes.ids.tolist() == sorted(ids.tolist())
+    at = {int(n): i for i, n in enumerate(ids)}
+    for row, node in enumerate(nodes.ids.tolist()):
+        assert nodes.vectors[row].tolist() == m[at[node]].tolist()
+        assert nodes.nbrs[row][: len(near[at[node]])].tolist() == [n if n in at else -1 for n in near[at[node]]] and (nodes.nbrs[row][len(near[at[node]]):] == -1).all()
+    walks = type("", (), {"by_codes": lambda self, lanes, codes: codes.sum(axis=1)})()
+    rows, slots = np.nonzero(nodes.nbrs >= 0)
+    assert nodes.guide(walks, rows, rows, slots).tolist() == [at[n] % 7 + at[n] % 5 for n in nodes.nbrs[rows, slots].tolist()]
