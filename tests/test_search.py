@@ -363,3 +363,17 @@ def test_a_shard_is_held_once_and_in_the_precision_it_comes_in():
     walks = type("", (), {"by_codes": lambda self, lanes, codes: codes.sum(axis=1)})()
     rows, slots = np.nonzero(nodes.nbrs >= 0)
     assert nodes.guide(walks, rows, rows, slots).tolist() == [at[n] % 7 + at[n] % 5 for n in nodes.nbrs[rows, slots].tolist()]
+
+
+def test_codes_beside_a_shards_nodes_are_not_widened(spark, monkeypatch):
+    """A shard of the exchange holds its neighbours' codes as the small integers that they are."""
+    rng, kinds = np.random.default_rng(9), []
+    m = rng.normal(size=(40, 4))
+    df = frame(spark, m)
+    model, edges = pq.model_from_rows(df, 2, 8), graph.knn_graph(df, 4)
+    table = beam.search_graph(edges, df, pq.encode(df, model)).toArrow()
+    monkeypatch.setattr(beam.Walks, "by_codes", lambda self, lanes, codes: kinds.append(codes.dtype) or self.tables[lanes[:, None], np.arange(codes.shape[1]), codes].sum(axis=1))
+    none = pa.array([[]], pa.list_(pa.float64()))
+    states = pa.table({"qid": [0], "qv": pa.array([m[5].tolist()]), "beam_d": none, "beam_id": none.cast(pa.list_(pa.int64())), "seen": pa.array([[1]]), "exact": pa.array([[float("inf")]]), "next": [1]})
+    found = beam._advance(table, states, model, 8)
+    assert found.column("next").to_pylist() == [-1] and set(kinds) == {np.dtype(np.int16)}
