@@ -1,5 +1,7 @@
 """Graphs built by search, searches over shards and bucketed tables, traces, walks from any node: against plain NumPy and SQL-free Python."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -377,3 +379,22 @@ def test_codes_beside_a_shards_nodes_are_not_widened(spark, monkeypatch):
     states = pa.table({"qid": [0], "qv": pa.array([m[5].tolist()]), "beam_d": none, "beam_id": none.cast(pa.list_(pa.int64())), "seen": pa.array([[1]]), "exact": pa.array([[float("inf")]]), "next": [1]})
     found = beam._advance(table, states, model, 8)
     assert found.column("next").to_pylist() == [-1] and set(kinds) == {np.dtype(np.int16)}
+
+
+def test_a_cells_edges_are_ranked_block_by_block(monkeypatch):
+    """The vectors of both ends of all edges are never held together: a full cell's would take a gigabyte."""
+    rng = np.random.default_rng(3)
+    cell = vamana.Cell.__new__(vamana.Cell)
+    cell.m, cell.nbrs = rng.normal(size=(2_000, 64)), rng.integers(-1, 2_000, size=(2_000, 32))
+    ids = np.arange(2_000) * 3
+    src, slot = np.nonzero(cell.nbrs >= 0)
+    dst = cell.nbrs[src, slot]
+    near = ((cell.m[src] - cell.m[dst]) ** 2).sum(axis=1)
+    order = np.lexsort((dst, near, src))
+    monkeypatch.setattr(vamana, "EDGES", 1_000)
+    tracemalloc.start()
+    got = cell.edges(ids)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["src"].tolist() == ids[src[order]].tolist() and got["dst"].tolist() == ids[dst[order]].tolist()
+    assert held < len(src) * 64 * 8 / 2  # half of one end's vectors
