@@ -143,6 +143,19 @@ def test_scans_of_several_blocks_read_packed_rows(spark, monkeypatch):
         knn.exact_knn(rows.selectExpr("vec_id AS qid", "v AS qv"), wide, 3).collect()
 
 
+def test_many_blocks_are_packed_and_searched_by_many_tasks(spark, monkeypatch):
+    """However many blocks of queries there are, no task packs or searches the whole table."""
+    m = np.random.default_rng(6).normal(size=(90, 5))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id bigint, v array<double>")
+    want = {(r.src, r.rk): r.dst for r in graph.knn_graph(rows, 3).collect()}
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 4)
+    tasks, write = [], knn.cut
+    monkeypatch.setattr(knn, "cut", lambda df: tasks.append(df.rdd.getNumPartitions()) or write(df))
+    found = knn.nearest_of_tasks(rows.selectExpr("vec_id AS qid", "v AS qv"), rows, 3, skip_self=True)
+    assert tasks and min(tasks) == knn.tasks_for(spark) and found.rdd.getNumPartitions() >= 23
+    assert {(r.src, r.rk): r.dst for r in graph.knn_graph(rows, 3).collect()} == want
+
+
 @pytest.mark.parametrize("shape", [(0, 5), (3, 0), (3, 5), (16, 8), (7, 13)])
 def test_places_of_true_ones(shape):
     hit = np.random.default_rng(1).random(shape) < 0.3

@@ -32,6 +32,29 @@ def test_index_round_trip(spark, tmp_path, element, stripes, n):
         assert edges.count() == sum(len(r[2]) for r in rows)
 
 
+@pytest.mark.parametrize("batch", [1, 7, 78])
+def test_pages_go_on_from_batch_to_batch(spark, tmp_path, batch):
+    rows, df = nodes(spark, 300)
+    (want,) = files.write_index(df, str(tmp_path / "whole"), 7, 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        (name,) = files.write_index(df, str(tmp_path / "index"), 7, 4)
+        striped = files.write_index(df, str(tmp_path / "striped"), 7, 4, stripes=3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert open(name, "rb").read() == open(want, "rb").read()
+    back = files.read_index(spark, striped).orderBy("node").collect()
+    assert [(r.node, list(map(float, r.vector)), r.nbrs) for r in back] == rows
+
+
+def test_what_a_record_cannot_hold_raises(spark, tmp_path):
+    for i, (vector, near, element) in enumerate(((None, [1], "float"), ([1.0], [None], "float"), ([1.0], [2**31], "float"), ([256.0], [1], "uint8"), ([None], [1], "uint8"))):
+        df = spark.createDataFrame([(0, [1.0], [0]), (1, vector, near)], SCHEMA)
+        with pytest.raises(Exception, match="null|out of bounds"):
+            files.write_index(df, str(tmp_path / str(i)), 2, 0, element)
+        assert not (tmp_path / str(i)).exists()
+
+
 def test_pages_hold_records_where_the_layout_says(spark, tmp_path):
     rows, df = nodes(spark, 300)
     (name,) = files.write_index(df, str(tmp_path / "index"), 7, 4)
