@@ -156,6 +156,27 @@ def test_exchange_gives_the_rows_of_one_graph(spark, small, coded):
     assert {(t[0], t[2]) for t in trace if t[1] == 0} == {(r.qid, 1) for r in asked.collect()}
 
 
+@pytest.mark.parametrize("coded", [True, False])
+def test_one_graph_is_searched_whole_at_any_size(spark, small, monkeypatch, coded):
+    """Where tasks hold less than the graph, the batch form still gives the rows of one graph: no edge is left out."""
+    rows, asked, edges, entries = small
+    model = pq.model_from_rows(rows, 16, 16) if coded else None
+    codes = pq.encode(rows, model) if coded else None
+    whole = beam.search_graph(edges, rows, codes)
+    tables = pq.lookup_tables(asked, model) if coded else asked.withColumn("lut", F.expr("cast(null as array<array<double>>)"))
+    least, far = rows.agg(F.min("vec_id")).first()[0], asked.select("qid", F.when(F.col("qid") == 25, 10**9).otherwise(1).cast("bigint").alias("entry"))
+    monkeypatch.setattr(beam, "SHARD_ROWS", 40)
+    monkeypatch.setattr(beam.shard_count, "__defaults__", (40,))
+    assert beam.shard_count(rows) == 4
+    want = key(beam.beam_search(tables, entries, whole, 12, 5))
+    assert key(beam.beam_search_batch(asked, model, 1, edges, rows, codes, 12, 5)) == want
+    trace = beam.beam_search_batch(asked, model, 1, edges, rows, codes, 12, 5, trace=True).select("qid", "round", "node")
+    assert sorted(map(tuple, trace.collect())) == sorted(map(tuple, beam.beam_search(tables, entries, whole, 12, 5, trace=True).collect()))
+    elsewhere = entries.withColumn("entry", F.when(F.col("qid") == 25, least).otherwise(F.col("entry")))
+    assert key(beam.beam_search_batch(asked, model, far, edges, rows, codes, 12, 5)) == key(beam.beam_search(tables, elsewhere, whole, 12, 5))
+    assert key(beam.beam_search_batch(asked, model, None, edges, rows, codes, 12, 5)) == key(beam.beam_search(tables, entries.withColumn("entry", F.lit(least)), whole, 12, 5))
+
+
 def test_entries_that_are_not_there_end_a_search(spark, small):
     rows, asked, edges, _ = small
     entries = asked.select("qid", F.when(F.col("qid") == 25, 10**9).otherwise(1).cast("bigint").alias("entry"))
