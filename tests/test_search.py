@@ -177,6 +177,21 @@ def test_one_graph_is_searched_whole_at_any_size(spark, small, monkeypatch, code
     assert key(beam.beam_search_batch(asked, model, None, edges, rows, codes, 12, 5)) == key(beam.beam_search(tables, entries.withColumn("entry", F.lit(least)), whole, 12, 5))
 
 
+def test_blocks_of_queries_share_one_table_of_shards(spark, monkeypatch):
+    """The graph of several shards is put together once, and what the shards hold is joined once, however many blocks of queries there are."""
+    monkeypatch.setattr(graph, "CELL_ROWS", 30)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 5)
+    df = frame(spark, np.random.default_rng(13).normal(size=(120, 4)))
+    index, plans, write = VectorIndex.build(df, 6, shards=3), [], beam.cut
+    plan_of = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan_of(index.edges)
+    monkeypatch.setattr(beam, "cut", lambda rows: plans.append(plan_of(rows)) or write(rows))
+    asked = df.filter("vec_id < 15").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
+    found = index.search(asked, 3, 60)
+    assert plans[-1].count("FlatMapGroupsInArrow") == 3 and "Join" not in plans[-1]
+    assert knn.recall(found, knn.exact_knn(asked, df, 3), 3).first().recall == 1.0
+
+
 def test_entries_that_are_not_there_end_a_search(spark, small):
     rows, asked, edges, _ = small
     entries = asked.select("qid", F.when(F.col("qid") == 25, 10**9).otherwise(1).cast("bigint").alias("entry"))
