@@ -160,3 +160,32 @@ def test_many_blocks_are_packed_and_searched_by_many_tasks(spark, monkeypatch):
 def test_places_of_true_ones(shape):
     hit = np.random.default_rng(1).random(shape) < 0.3
     assert knn.places(hit).tolist() == np.flatnonzero(hit).tolist()
+
+
+@pytest.mark.parametrize("kind", ["cosine", "l2", "codes"])
+def test_pairs_of_equal_values_leave_together(spark, monkeypatch, kind):
+    """Values that come again are neighbours, so that files hold them once; the pairs are the same, whatever is held at a time."""
+    m = np.random.default_rng(8).integers(-2, 3, size=(90, 4)).astype(float)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id bigint, v array<double>").coalesce(1)
+    asked = rows.filter("vec_id % 3 = 0").selectExpr("vec_id AS qid", "v AS qv")
+    model = pq.model_from_rows(rows, 2, 8)
+    tables, codes = pq.lookup_tables(asked, model), pq.encode(rows, model)
+    pairs = lambda: (pq.adc_distances(tables, codes, (9, 6)) if kind == "codes" else knn.score_all(asked, rows, kind, 6)).collect()
+    want = pairs()
+    assert len(want) == 2700
+    monkeypatch.setattr(knn, "FEW_PAIRS", 1)
+    monkeypatch.setattr(knn, "spread", lambda df: df.coalesce(1))
+    monkeypatch.setattr(pq, "spread", lambda df: df.coalesce(1))
+    got = pairs()
+    assert [r.dist for r in got] == sorted(r.dist for r in want) and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    monkeypatch.setattr(knn, "SORTED", 700)
+    assert sorted(map(tuple, pairs())) == sorted(map(tuple, want))
+
+
+def test_values_that_have_no_digits_or_come_once_stay_by_row(monkeypatch):
+    rng = np.random.default_rng(9)
+    for m in (np.round(rng.normal(size=(40, 30)), 6), np.full((40, 30), np.nan), np.full((40, 30), 1e300), np.full((40, 30), 1 / 3)):
+        assert knn.by_value(40, 30, 6, lambda rows, asked, m=m: m[rows, asked], 1) is None
+    twos = np.round(rng.integers(-3, 4, size=(40, 30)) / 7, 6)
+    query, row, got = (np.concatenate(x) for x in zip(*knn.by_value(40, 30, 6, lambda rows, asked: twos[rows, asked], 1)))
+    assert (twos[row, query] == got).all() and (np.diff(got) >= 0).all() and len(set(zip(row, query))) == 1200
